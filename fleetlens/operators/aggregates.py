@@ -192,3 +192,46 @@ def bus_status_counts(bus: DataFrame) -> DataFrame:
     return bus.agg(F.count(F.lit(1)).alias("total_buses"),
                    count_if(F.col("status") == BUS_STATUS_ACTIVE).cast("bigint").alias("active_buses"),
                    count_if(F.col("status") == BUS_STATUS_IN_MAINTENANCE).cast("bigint").alias("in_maintenance"))
+
+
+def kpi_suite(bus, maintenance, legacy_trip, as_of) -> DataFrame:
+    """The six fleet KPIs as (metric, value, error) rows.
+
+    Inputs are zero-argument callables returning DataFrames, so a missing or
+    broken table only fails the metrics that read it: its error text goes to
+    ``error`` and the other metrics are still computed.  The four bus and
+    maintenance counts and the two trip measures fuse into three scans.
+    """
+    from pyspark.errors import AnalysisException
+
+    from fleetlens.operators.filters import overdue
+
+    groups = [
+        (("total_buses", "active_buses", "in_maintenance"), lambda: bus_status_counts(bus())),
+        (("overdue_maintenance",),
+         lambda: overdue(maintenance(), as_of).agg(F.count(F.lit(1)).alias("overdue_maintenance"))),
+        (("total_km", "avg_occupancy"),
+         lambda: legacy_trip().agg(F.coalesce(F.sum("km"), F.lit(0)).alias("total_km"),
+                                   exact_avg("occupancy_pct", 2).alias("avg_occupancy"))),
+    ]
+    spark = None
+    parts = []
+    for names, build in groups:
+        try:
+            wide = build()
+            spark = wide.sparkSession
+            args = ", ".join(f"'{n}', CAST(`{n}` AS DECIMAL(22,2))" for n in names)
+            parts.append(wide.selectExpr(f"stack({len(names)}, {args}) AS (metric, value)")
+                         .withColumn("error", F.lit(None).cast("string")))
+        except AnalysisException as e:  # missing table or column: report, keep going
+            parts.append((names, str(e).splitlines()[0][:500]))
+    if spark is None:
+        raise ValueError("no KPI input could be read")
+    out = None
+    for p in parts:
+        if isinstance(p, tuple):
+            names, msg = p
+            p = spark.createDataFrame([(n, None, msg) for n in names],
+                                      "metric string, value decimal(22,2), error string")
+        out = p if out is None else out.unionByName(p)
+    return out
