@@ -49,7 +49,11 @@ FROM events""",
 SELECT CASE WHEN l_orderkey % 19 = 0 THEN 'x' ELSE CAST(l_orderkey AS VARCHAR) END AS trip_id_raw,
        CASE WHEN l_partkey % 23 = 0 THEN 'n/a' ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) END AS amount_raw,
        CASE WHEN l_partkey % 29 = 0 THEN '25:61:00'
-            ELSE concat(lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0'), ':', lpad(CAST(l_suppkey % 60 AS VARCHAR), 2, '0'), ':00') END AS time_raw
+            ELSE concat(lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0'), ':', lpad(CAST(l_suppkey % 60 AS VARCHAR), 2, '0'), ':00') END AS time_raw,
+       strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS validated_at_raw,
+       concat(l_returnflag, l_linestatus) AS fare_type,
+       CASE l_linenumber % 4 WHEN 0 THEN 'Bar' WHEN 1 THEN 'eTicket' WHEN 2 THEN 'Handy' ELSE 'Karte' END AS payment_method,
+       concat('H', CAST(l_suppkey AS VARCHAR)) AS stop
 FROM lineitem""",
     "known_trip": "SELECT * FROM trip WHERE trip_id % 20 <> 0",
 }

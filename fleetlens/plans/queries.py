@@ -785,20 +785,25 @@ _BAD_TIME_EVERY = 37
 
 
 def _trip_csv_frame(trip):
-    start = F.when(F.col("trip_id") % _BAD_TIME_EVERY == 0, F.lit("25:61:00")).otherwise(seconds_to_hms("start_sec"))
+    hms = seconds_to_hms("start_sec")
+    start = F.when(F.col("trip_id") % _BAD_TIME_EVERY == 0, F.lit("25:61:00")).otherwise(hms)
+    none = F.lit(None).cast("string")
     return trip.select(
         F.col("trip_id").cast("string").alias("trip_id"),
         F.date_format("service_date", "yyyy-MM-dd").alias("service_date"),
         "line", "direction", "vehicle_no", "driver_id", start.alias("start_time"),
+        none.alias("end_time"), hms.alias("planned_start"), none.alias("planned_end"),
         *[F.col(c).cast("string").alias(c) for c in ("delay_min", "km", "boardings", "occupancy_pct",
                                                      "energy_kwh")],
-        "status")
+        "status", F.lit("true").alias("productive"), none.alias("trip_type"))
 
 
 @register("src_csv_trips", with_tables("trip") + f"""
 SELECT trip_id, service_date, line, direction, vehicle_no, driver_id,
        CASE WHEN trip_id % {_BAD_TIME_EVERY} = 0 THEN NULL ELSE start_sec END AS start_sec,
-       delay_min, km, boardings, occupancy_pct, energy_kwh, status
+       CAST(NULL AS INT) AS end_sec, start_sec AS planned_start_sec, CAST(NULL AS INT) AS planned_end_sec,
+       delay_min, km, boardings, occupancy_pct, energy_kwh, status, TRUE AS productive,
+       CAST(1 AS SMALLINT) AS trip_type
 FROM trip""")
 def q_csv_trips(spark, d):
     path = scratch_path(spark, "trips-csv")
@@ -806,18 +811,16 @@ def q_csv_trips(spark, d):
     return read_trips_csv(spark, path)
 
 
-@register("src_csv_tickets", with_tables("raw_ticket") + f"""
-SELECT TRY_CAST(trip_id_raw AS BIGINT) AS trip_id,
-       CASE WHEN {_TIME_OK} THEN CAST(substr(time_raw, 1, 2) AS INT) * 3600 + CAST(substr(time_raw, 4, 2) AS INT) * 60
-                                 + CAST(substr(time_raw, 7, 2) AS INT) END AS validated_sec,
-       TRY_CAST(amount_raw AS DECIMAL(12,2)) AS amount_eur
+@register("src_csv_tickets", with_tables("raw_ticket") + """
+SELECT TRY_CAST(trip_id_raw AS BIGINT) AS trip_id, CAST(validated_at_raw AS TIMESTAMP) AS validated_at, fare_type,
+       TRY_CAST(amount_raw AS DECIMAL(12,2)) AS amount_eur, payment_method, stop
 FROM raw_ticket""")
 def q_csv_tickets(spark, d):
-    raw = T(spark, d).raw_ticket.select(F.col("trip_id_raw").alias("trip_id"),
-                                        F.col("time_raw").alias("validated_time"),
-                                        F.col("amount_raw").alias("amount_eur"))
+    raw = T(spark, d).raw_ticket
+    frame = raw.select(F.col("trip_id_raw").alias("trip_id"), F.col("validated_at_raw").alias("validated_at"),
+                       "fare_type", F.col("amount_raw").alias("amount_eur"), "payment_method", "stop")
     path = scratch_path(spark, "tickets-csv")
-    write_csv(raw, path)
+    write_csv(frame, path)
     return read_tickets_csv(spark, path)
 
 

@@ -57,16 +57,19 @@ def trip_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def ticket_from_lineitem(lineitem: DataFrame) -> DataFrame:
+def _payment() -> Column:
     n = F.col("l_linenumber") % 4
-    payment = (F.when(n == 0, F.lit("Bar")).when(n == 1, F.lit("eTicket"))
-               .when(n == 2, F.lit("Handy")).otherwise(F.lit("Karte")))
+    return (F.when(n == 0, F.lit("Bar")).when(n == 1, F.lit("eTicket"))
+            .when(n == 2, F.lit("Handy")).otherwise(F.lit("Karte")))
+
+
+def ticket_from_lineitem(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_orderkey").cast("bigint").alias("trip_id"),
         F.col("l_shipdate").alias("validated_at"),
         F.concat("l_returnflag", "l_linestatus").alias("fare_type"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("amount_eur"),
-        payment.alias("payment_method"),
+        _payment().alias("payment_method"),
         F.concat(F.lit("H"), F.col("l_suppkey").cast("string")).alias("stop"),
     )
 
@@ -100,7 +103,8 @@ def maintenance_from_events(events: DataFrame) -> DataFrame:
 
 
 def raw_ticket_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """All-string tickets with malformed ids, amounts and times (lenient parsing input)."""
+    """All-string tickets with malformed ids, amounts and times (lenient parsing input),
+    plus the untouched text fields of a ticket export line."""
     pk, sk = F.col("l_partkey"), F.col("l_suppkey")
     good_time = F.concat(F.lpad((pk % 24).cast("string"), 2, "0"), F.lit(":"),
                          F.lpad((sk % 60).cast("string"), 2, "0"), F.lit(":00"))
@@ -110,6 +114,10 @@ def raw_ticket_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.when(pk % 23 == 0, F.lit("n/a"))
          .otherwise(F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("amount_raw"),
         F.when(pk % 29 == 0, F.lit("25:61:00")).otherwise(good_time).alias("time_raw"),
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("validated_at_raw"),
+        F.concat("l_returnflag", "l_linestatus").alias("fare_type"),
+        _payment().alias("payment_method"),
+        F.concat(F.lit("H"), F.col("l_suppkey").cast("string")).alias("stop"),
     )
 
 

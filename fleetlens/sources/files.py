@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.scalars import lenient_cast, lenient_time_seconds, strict_date
 
-TRIP_CSV_COLUMNS = ("trip_id", "service_date", "line", "direction", "vehicle_no",
-                    "driver_id", "start_time", "delay_min", "km", "boardings",
-                    "occupancy_pct", "energy_kwh", "status")
-TICKET_CSV_COLUMNS = ("trip_id", "validated_time", "amount_eur")
+# Field order of the operator's trip and ticket export files
+# (the header text is ignored; fields are taken by position).
+TRIP_CSV_COLUMNS = ("trip_id", "service_date", "line", "direction", "vehicle_no", "driver_id",
+                    "start_time", "end_time", "planned_start", "planned_end", "delay_min", "km",
+                    "boardings", "occupancy_pct", "energy_kwh", "status", "productive", "trip_type")
+TICKET_CSV_COLUMNS = ("trip_id", "validated_at", "fare_type", "amount_eur", "payment_method", "stop")
 
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -29,7 +31,8 @@ def read_trips_csv(spark: SparkSession, path: str) -> DataFrame:
     Never infers a schema: every field is read as text and typed here.  The
     service date is parsed strictly (a bad date fails the job), times of day
     leniently (a bad time becomes NULL), line numbers stay text so leading
-    zeros survive.
+    zeros survive.  A file without the productive / trip-type fields gets
+    true / 1.
     """
     raw = spark.read.schema(_all_strings(TRIP_CSV_COLUMNS)).option("header", True).csv(path)
     return raw.select(
@@ -40,22 +43,31 @@ def read_trips_csv(spark: SparkSession, path: str) -> DataFrame:
         F.col("vehicle_no"),
         F.col("driver_id"),
         lenient_time_seconds("start_time").alias("start_sec"),
+        lenient_time_seconds("end_time").alias("end_sec"),
+        lenient_time_seconds("planned_start").alias("planned_start_sec"),
+        lenient_time_seconds("planned_end").alias("planned_end_sec"),
         F.col("delay_min").cast("int").alias("delay_min"),
         F.col("km").cast("decimal(12,2)").alias("km"),
         F.col("boardings").cast("int").alias("boardings"),
         F.col("occupancy_pct").cast("decimal(5,2)").alias("occupancy_pct"),
         F.col("energy_kwh").cast("decimal(8,2)").alias("energy_kwh"),
         F.col("status"),
+        F.coalesce(F.col("productive").cast("boolean"), F.lit(True)).alias("productive"),
+        F.coalesce(F.col("trip_type").cast("smallint"), F.lit(1).cast("smallint")).alias("trip_type"),
     )
 
 
 def read_tickets_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Tickets from CSV: ids and amounts parsed leniently (bad value -> NULL)."""
+    """Tickets from CSV: trip ids and amounts parsed leniently (bad value ->
+    NULL), the validation time strictly (a bad timestamp fails the job)."""
     raw = spark.read.schema(_all_strings(TICKET_CSV_COLUMNS)).option("header", True).csv(path)
     return raw.select(
         lenient_cast(F.col("trip_id"), "bigint").alias("trip_id"),
-        lenient_time_seconds("validated_time").alias("validated_sec"),
+        F.to_timestamp_ntz(F.col("validated_at"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("validated_at"),
+        F.col("fare_type"),
         lenient_cast(F.col("amount_eur"), "decimal(12,2)").alias("amount_eur"),
+        F.col("payment_method"),
+        F.col("stop"),
     )
 
 
