@@ -67,8 +67,10 @@ def thousands(col) -> Column:
 
 
 def fixed_digits(col, digits: int) -> Column:
-    """Number printed with exactly ``digits`` decimals, no separators."""
-    return F.format_string(f"%.{digits}f", _c(col).cast("double"))
+    """Number printed with exactly ``digits`` decimals, no separators; NULL
+    stays NULL (``format_string`` alone would print a truncated 'null')."""
+    c = _c(col)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))
 
 
 def dayofweek_is_weekend(date_col) -> Column:
