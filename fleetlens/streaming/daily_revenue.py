@@ -2,8 +2,10 @@
 
 file stream -> event time (tz-independent) -> watermark -> window('1 day')
 -> update mode -> foreachBatch upsert by date into a versioned table.  The
-state holds one running sum per open day; rows later than the watermark are
-dropped by the stateful aggregate.
+state holds one running sum per open day and is evicted once the watermark
+passes the day's end; a row is dropped as late when its day ends before the
+watermark of the previous micro-batch (Spark's rule for late events), so a
+late row whose day is still in state is still counted.
 """
 
 from __future__ import annotations
