@@ -15,6 +15,7 @@ SECONDS_PER_DAY = 86400
 # so text operators strip exactly what the report code strips (SQL TRIM only
 # removes spaces).
 PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+# The same rule as a regular expression (used by the SQL oracle).
 _WS_CLASS = "[" + PY_WHITESPACE + "]"  # none of these is special inside [...]
 STRIP_PATTERN = "^" + _WS_CLASS + "+|" + _WS_CLASS + "+$"
 
@@ -24,8 +25,9 @@ def _c(col) -> Column:
 
 
 def py_strip(col) -> Column:
-    """Python ``str.strip()`` semantics."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    """Python ``str.strip()`` semantics: ``btrim`` with the Unicode whitespace
+    set (a character scan from both ends, no regular expression)."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def lenient_time_seconds(col) -> Column:

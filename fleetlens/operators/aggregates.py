@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.measures import (avg_delay, count_if, decimal_sum, exact_avg,
-                                          long_sum, on_time_flag, on_time_rate, rounded_ratio)
+from fleetlens.functions.measures import (avg_delay, count_if, decimal_sum, exact_avg, from_unscaled,
+                                          long_sum, on_time_flag, on_time_rate, rounded_ratio, scaled_sum,
+                                          unscaled)
 from fleetlens.schemas import (BUS_STATUS_ACTIVE, BUS_STATUS_IN_MAINTENANCE,
                                TRIP_STATUS_CANCELLED, UNKNOWN_PLATE)
 
@@ -37,7 +38,7 @@ def report_kpi(trip: DataFrame) -> DataFrame:
         long_sum("boardings").alias("boardings"),
         exact_avg("occupancy_pct", 1).alias("avg_occupancy"),
         avg_delay("delay_min", "null_as_zero", 1).alias("avg_delay_min"),
-        F.round(F.sum("km"), 0).cast("decimal(22,0)").alias("total_km"),
+        decimal_sum("km", 0, "decimal(22,0)").alias("total_km"),
         on_time_rate("delay_min", null_is_on_time=True, digits=1).alias("on_time_pct"),
     )
 
@@ -67,7 +68,7 @@ def count_where(df: DataFrame, cond, name: str) -> DataFrame:
 
 
 def total_km(legacy_trip: DataFrame) -> DataFrame:
-    return legacy_trip.agg(F.coalesce(F.sum("km"), F.lit(0)).cast("decimal(22,2)").alias("total_km"))
+    return legacy_trip.agg(F.coalesce(scaled_sum("km"), F.lit(0)).cast("decimal(22,2)").alias("total_km"))
 
 
 def avg_occupancy(legacy_trip: DataFrame) -> DataFrame:
@@ -117,10 +118,17 @@ def daily_revenue(ticket: DataFrame) -> DataFrame:
             .orderBy("validation_date"))
 
 
-def revenue_per_trip(ticket: DataFrame) -> DataFrame:
-    """Ticket revenue per trip id: the many side pre-aggregated to the join key."""
+def revenue_cents_per_trip(ticket: DataFrame) -> DataFrame:
+    """Ticket revenue per trip id in cents (BIGINT): the many side
+    pre-aggregated to the join key, map-side combined."""
     return (ticket.where(F.col("trip_id").isNotNull())
-            .groupBy("trip_id").agg(F.sum("amount_eur").alias("trip_revenue")))
+            .groupBy("trip_id").agg(F.sum(unscaled("amount_eur")).alias("trip_revenue_cents")))
+
+
+def revenue_per_trip(ticket: DataFrame) -> DataFrame:
+    """Ticket revenue per trip id as DECIMAL."""
+    return revenue_cents_per_trip(ticket).select(
+        "trip_id", from_unscaled(F.col("trip_revenue_cents")).alias("trip_revenue"))
 
 
 def daily_kpi(trip: DataFrame, ticket: DataFrame) -> DataFrame:
@@ -132,11 +140,12 @@ def daily_kpi(trip: DataFrame, ticket: DataFrame) -> DataFrame:
     the trip side is exchanged; AQE turns it into a broadcast when the
     runtime size allows) -> partial/final aggregate by service_date.
     """
-    per_trip = trip.join(revenue_per_trip(ticket), "trip_id", "left")
+    per_trip = trip.join(revenue_cents_per_trip(ticket), "trip_id", "left")
+    revenue = from_unscaled(F.sum(F.coalesce(F.col("trip_revenue_cents"), F.lit(0))))
     return (per_trip.groupBy("service_date")
-            .agg(F.sum("km").cast("decimal(22,2)").alias("total_km"),
+            .agg(scaled_sum("km").alias("total_km"),
                  long_sum("boardings").alias("total_boardings"),
-                 F.sum(F.coalesce(F.col("trip_revenue"), F.lit(0))).cast("decimal(22,2)").alias("total_revenue"),
+                 revenue.alias("total_revenue"),
                  exact_avg("occupancy_pct", 2).alias("avg_occupancy"),
                  avg_delay("delay_min", "null_as_zero", 2).alias("avg_delay_min"),
                  on_time_rate("delay_min", null_is_on_time=True, digits=2).alias("on_time_pct")))
@@ -161,7 +170,8 @@ def daily_kpi_active(trip: DataFrame, exclude_status: str = TRIP_STATUS_CANCELLE
         return F.sum(F.when(active, c))
 
     return (trip.groupBy("service_date")
-            .agg(F.coalesce(active_sum(F.col("km")), F.lit(0)).cast("decimal(22,2)").alias("total_km"),
+            .agg(F.coalesce(scaled_sum(F.when(active, F.col("km"))), F.lit(0)).cast("decimal(22,2)")
+                 .alias("total_km"),
                  F.coalesce(active_sum(F.col("boardings")), F.lit(0)).cast("bigint").alias("total_boardings"),
                  rounded_ratio(F.coalesce(active_sum(F.col("occupancy_pct")), F.lit(0)), divisor, 2)
                  .alias("avg_occupancy"),
@@ -178,12 +188,12 @@ def vehicle_mileage(trip: DataFrame, bus: DataFrame) -> DataFrame:
     Trips are reduced to one row per bus before the join; the exact average
     is carried as (sum, count) through the join and combined per plate.
     """
-    per_bus = trip.groupBy("bus_id").agg(F.sum("km").alias("km_sum"),
+    per_bus = trip.groupBy("bus_id").agg(F.sum(unscaled("km")).alias("km_cents"),
                                          F.sum("occupancy_pct").alias("occ_sum"),
                                          F.count("occupancy_pct").alias("occ_n"))
     joined = per_bus.join(bus.select("bus_id", "plate"), "bus_id", "left")
     return (joined.groupBy(F.coalesce(F.col("plate"), F.lit(UNKNOWN_PLATE)).alias("plate"))
-            .agg(F.sum("km_sum").cast("decimal(22,2)").alias("total_km"),
+            .agg(from_unscaled(F.sum("km_cents")).alias("total_km"),
                  rounded_ratio(F.sum("occ_sum"), F.sum("occ_n"), 2).alias("avg_occupancy")))
 
 
@@ -211,7 +221,7 @@ def kpi_suite(bus, maintenance, legacy_trip, as_of) -> DataFrame:
         (("overdue_maintenance",),
          lambda: overdue(maintenance(), as_of).agg(F.count(F.lit(1)).alias("overdue_maintenance"))),
         (("total_km", "avg_occupancy"),
-         lambda: legacy_trip().agg(F.coalesce(F.sum("km"), F.lit(0)).alias("total_km"),
+         lambda: legacy_trip().agg(F.coalesce(scaled_sum("km"), F.lit(0)).alias("total_km"),
                                    exact_avg("occupancy_pct", 2).alias("avg_occupancy"))),
     ]
     spark = None

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.aggregates import revenue_per_trip
+from fleetlens.functions.measures import from_unscaled
+from fleetlens.operators.aggregates import revenue_cents_per_trip
 from fleetlens.schemas import UNKNOWN_PLATE
 
 
@@ -29,9 +30,9 @@ def with_revenue(trip: DataFrame, ticket: DataFrame) -> DataFrame:
     Tickets are aggregated to one row per trip before the join, so a trip
     with millions of validations never fans out.
     """
-    return (trip.join(revenue_per_trip(ticket), "trip_id", "left")
-            .withColumn("revenue", F.coalesce(F.col("trip_revenue"), F.lit(0)).cast("decimal(22,2)"))
-            .drop("trip_revenue"))
+    return (trip.join(revenue_cents_per_trip(ticket), "trip_id", "left")
+            .withColumn("revenue", from_unscaled(F.coalesce(F.col("trip_revenue_cents"), F.lit(0))))
+            .drop("trip_revenue_cents"))
 
 
 def keep_known(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

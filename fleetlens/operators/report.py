@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.measures import avg_delay, exact_avg, on_time_rate
+from fleetlens.functions.measures import avg_delay, decimal_sum, exact_avg, on_time_rate
 from fleetlens.functions.scalars import fixed_digits, thousands
 from fleetlens.operators.aggregates import avg_occupancy, bus_status_counts, total_km
 from fleetlens.operators.topk import overdue_list, recent_with_plate, top_odometer
@@ -177,6 +177,6 @@ def period_report(trip: DataFrame, period: str = "month", start: _dt.date | None
                  F.sum("boardings").cast("bigint").alias("boardings"),
                  exact_avg("occupancy_pct", 1).alias("avg_occupancy"),
                  avg_delay("delay_min", "null_as_zero", 1).alias("avg_delay_min"),
-                 F.round(F.sum("km"), 0).cast("decimal(22,0)").alias("total_km"),
+                 decimal_sum("km", 0, "decimal(22,0)").alias("total_km"),
                  on_time_rate("delay_min", null_is_on_time=True, digits=1).alias("on_time_pct"))
             .orderBy("period_start"))

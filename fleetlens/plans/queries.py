@@ -961,28 +961,39 @@ def q_report_tables(spark, d):
 # --------------------------------------------------------------------------
 
 
-def _write_by_year(df, date_col, path):
-    """Stream input: one file per year, written oldest first, so the file
-    source (oldest file first) sees event time in order."""
-    years = sorted(r[0] for r in df.select(F.year(date_col).alias("y")).distinct().collect())
-    for y in years:
-        df.where(F.year(date_col) == y).coalesce(1).write.mode("append").parquet(path)
+def _write_in_time_chunks(df, ts_col, path, chunk_days: int = 366):
+    """Stream input: the rows in consecutive ``chunk_days`` ranges of
+    ``ts_col``, each range written by a normal distributed write after the
+    previous one, so file times follow event time from chunk to chunk.  The
+    range bounds are literals, so each write's filter reaches the Parquet scan.
+    Inside a chunk the order is arbitrary: the watermark delay of the stream
+    must exceed ``chunk_days``."""
+    lo, hi = df.agg(F.min(F.to_date(ts_col)), F.max(F.to_date(ts_col))).first()
+    if lo is None:
+        return
+    start = lo
+    while start <= hi:
+        end = start + _dt.timedelta(days=chunk_days)
+        col = F.col(ts_col)
+        bounds = (col >= F.lit(start)) & (col < F.lit(end))
+        df.where(bounds).write.mode("append").parquet(path)
+        start = end
 
 
 @register("stream_daily_revenue", DAILY_REVENUE_SQL)
 def q_stream_revenue(spark, d):
     ticket = T(spark, d).ticket
     src = scratch_path(spark, "stream-tickets")
-    _write_by_year(ticket.select(*TICKET.fieldNames()), "validated_at", src)
+    _write_in_time_chunks(ticket.select(*TICKET.fieldNames()), "validated_at", src)
     return stream_daily_revenue(spark, src, scratch_path(spark, "daily-revenue"),
-                                scratch_path(spark, "ckpt-revenue"), watermark="30 days",
-                                files_per_trigger=1)
+                                scratch_path(spark, "ckpt-revenue"), watermark="400 days",
+                                files_per_trigger=8)
 
 
 @register("stream_upsert_kpi", DAILY_KPI_SQL)
 def q_stream_kpi(spark, d):
     t = T(spark, d)
     src = scratch_path(spark, "stream-trips")
-    _write_by_year(t.trip, "service_date", src)
+    _write_in_time_chunks(t.trip, "service_date", src)
     return stream_upsert_kpi(spark, src, t.ticket, scratch_path(spark, "daily-kpi-stream"),
-                             scratch_path(spark, "ckpt-kpi"), files_per_trigger=1)
+                             scratch_path(spark, "ckpt-kpi"), files_per_trigger=8)
