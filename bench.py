@@ -48,7 +48,7 @@ def main() -> None:
         if sql is None:
             continue
         t = time.time()
-        con.execute(sql).fetch_arrow_table()  # full materialisation, like the noop sink
+        con.execute(sql).to_arrow_table()  # full materialisation, like the noop sink
         duck_times[k] = round(time.time() - t, 3)
     spark.stop()
 
