@@ -30,10 +30,21 @@ def py_strip(col) -> Column:
     return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
+# H:M:S with one or two digits per field (the rule of a %H:%M:%S parse).
+TIME_PATTERN = r"^(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+
+
 def lenient_time_seconds(col) -> Column:
-    """'HH:MM:SS' -> seconds since midnight; malformed or out of range -> NULL."""
-    ts = F.try_to_timestamp(_c(col), F.lit("HH:mm:ss"))
-    return (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("int")
+    """'HH:MM:SS' -> seconds since midnight; malformed or out of range -> NULL.
+
+    Parsed with one pattern match and integer checks instead of a timestamp
+    parser, so a malformed value costs no exception per row.
+    """
+    c = _c(col)
+    h, m, s = [F.regexp_extract(c, TIME_PATTERN, i).cast("string") for i in (1, 2, 3)]
+    h, m, s = [F.when(x != "", x.cast("int")) for x in (h, m, s)]
+    ok = (h < 24) & (m < 60) & (s < 60)
+    return F.when(ok, h * 3600 + m * 60 + s).cast("int")
 
 
 def strict_date(col, fmt: str = "yyyy-MM-dd") -> Column:

@@ -507,8 +507,14 @@ def q_fill_defaults(spark, d):
     return dq.fill_defaults(T(spark, d).trip, {"status": "planmäßig", "productive": True})
 
 
-_TIME_OK = ("(TRY_CAST(substr(time_raw, 1, 2) AS INT) < 24 AND TRY_CAST(substr(time_raw, 4, 2) AS INT) < 60"
-            " AND TRY_CAST(substr(time_raw, 7, 2) AS INT) < 60)")
+_TIME_RE = r"^(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+
+
+def _time_part(i: int) -> str:
+    return f"TRY_CAST(regexp_extract(time_raw, '{_TIME_RE}', {i}) AS INT)"
+
+
+_TIME_OK = f"COALESCE({_time_part(1)} < 24 AND {_time_part(2)} < 60 AND {_time_part(3)} < 60, FALSE)"
 
 
 @register("dq_coerce_report", with_tables("raw_ticket") + f"""

@@ -242,3 +242,10 @@ def test_schema_has_no_nulls_where_declared():
 def test_missing_table_raises_analysis(spark):
     with pytest.raises(AnalysisException):
         spark.read.parquet("/nonexistent/fleetlens/x.parquet")
+
+
+def test_lenient_time_field_widths(spark):
+    df = spark.createDataFrame([("7:05:00",), ("07:5:9",), ("23:59:59",), ("24:00:00",), ("12:60:00",),
+                                ("12:00:60",), (" 07:00:00",), ("070000",)], "t string")
+    got = [r.s for r in df.select(lenient_time_seconds("t").alias("s")).collect()]
+    assert got == [7 * 3600 + 300, 7 * 3600 + 5 * 60 + 9, 86399, None, None, None, None, None]
