@@ -16,12 +16,26 @@ from fleetlens.operators.aggregates import revenue_cents_per_trip
 from fleetlens.schemas import UNKNOWN_PLATE
 
 
-def with_plate(trip: DataFrame, bus: DataFrame, unknown: str = UNKNOWN_PLATE) -> DataFrame:
-    """Left join trips to buses; unmatched or missing bus -> ``unknown`` plate."""
-    plates = bus.select("bus_id", F.col("plate").alias("_plate"))
-    return (trip.join(plates, "bus_id", "left")
+NULL_KEY_SPREAD = 1024
+
+
+def with_plate(trip: DataFrame, bus: DataFrame, unknown: str = UNKNOWN_PLATE,
+               row_key: str = "trip_id") -> DataFrame:
+    """Left join trips to buses; unmatched or missing bus -> ``unknown`` plate.
+
+    Trips without a bus id can never match, but a plain equi-join would hash
+    all of them to one partition.  Their join key is spread over
+    ``NULL_KEY_SPREAD`` values derived from ``row_key`` and the join
+    condition excludes them from matching, so they stay unmatched and are
+    spread evenly.  A hot non-NULL bus is left to AQE's skew-join split.
+    """
+    plates = bus.select(F.col("bus_id").alias("_bus_id"), F.col("plate").alias("_plate"))
+    spread = -(F.pmod(F.hash(F.col(row_key)), F.lit(NULL_KEY_SPREAD)).cast("bigint")) - 1
+    keyed = trip.withColumn("_join_key", F.coalesce(F.col("bus_id"), spread))
+    cond = (keyed["_join_key"] == plates["_bus_id"]) & keyed["bus_id"].isNotNull()
+    return (keyed.join(plates, cond, "left")
             .withColumn("plate", F.coalesce(F.col("_plate"), F.lit(unknown)))
-            .drop("_plate"))
+            .drop("_plate", "_bus_id", "_join_key"))
 
 
 def with_revenue(trip: DataFrame, ticket: DataFrame) -> DataFrame:

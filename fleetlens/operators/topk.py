@@ -94,7 +94,7 @@ def top_odometer(bus: DataFrame, n: int = 10, min_km: int | None = None) -> Data
 
 def overdue_list(maintenance: DataFrame, bus: DataFrame, as_of: _dt.date) -> DataFrame:
     """All overdue maintenance rows with the bus plate and due date."""
-    return (with_plate(overdue(maintenance, as_of), bus)
+    return (with_plate(overdue(maintenance, as_of), bus, row_key="maintenance_id")
             .select("maintenance_id", "bus_id", "plate", "kind", "status", "next_due"))
 
 

@@ -249,3 +249,11 @@ def test_lenient_time_field_widths(spark):
                                 ("12:00:60",), (" 07:00:00",), ("070000",)], "t string")
     got = [r.s for r in df.select(lenient_time_seconds("t").alias("s")).collect()]
     assert got == [7 * 3600 + 300, 7 * 3600 + 5 * 60 + 9, 86399, None, None, None, None, None]
+
+
+def test_plate_lookup_null_and_unmatched(spark):
+    from fleetlens.operators.joins import with_plate
+    trips = spark.createDataFrame([(1, None), (2, 7), (3, 8), (4, None)], "trip_id bigint, bus_id bigint")
+    buses = spark.createDataFrame([(7, "K-7"), (-100, "NEG")], "bus_id bigint, plate string")
+    got = {r.trip_id: r.plate for r in with_plate(trips, buses).collect()}
+    assert got == {1: "Unbekannt", 2: "K-7", 3: "Unbekannt", 4: "Unbekannt"}
