@@ -140,7 +140,13 @@ def daily_kpi(trip: DataFrame, ticket: DataFrame) -> DataFrame:
     the trip side is exchanged; AQE turns it into a broadcast when the
     runtime size allows) -> partial/final aggregate by service_date.
     """
-    per_trip = trip.join(revenue_cents_per_trip(ticket), "trip_id", "left")
+    return daily_kpi_from_revenue(trip, revenue_cents_per_trip(ticket))
+
+
+def daily_kpi_from_revenue(trip: DataFrame, trip_revenue_cents: DataFrame) -> DataFrame:
+    """``daily_kpi`` from trips and an already aggregated per-trip revenue
+    table (trip_id, trip_revenue_cents): one row per trip on both sides."""
+    per_trip = trip.join(trip_revenue_cents, "trip_id", "left")
     revenue = from_unscaled(F.sum(F.coalesce(F.col("trip_revenue_cents"), F.lit(0))))
     return (per_trip.groupBy("service_date")
             .agg(scaled_sum("km").alias("total_km"),

@@ -1001,5 +1001,7 @@ def q_stream_kpi(spark, d):
     t = T(spark, d)
     src = scratch_path(spark, "stream-trips")
     _write_in_time_chunks(t.trip, "service_date", src)
-    return stream_upsert_kpi(spark, src, t.ticket, scratch_path(spark, "daily-kpi-stream"),
+    # the stored per-trip revenue table (one row per trip), written once
+    revenue = tbl.materialize(agg.revenue_cents_per_trip(t.ticket), scratch_path(spark, "trip-revenue"))
+    return stream_upsert_kpi(spark, src, revenue, scratch_path(spark, "daily-kpi-stream"),
                              scratch_path(spark, "ckpt-kpi"), files_per_trigger=8)

@@ -3,37 +3,41 @@ recomputes the service dates it touches from the stored base tables and
 upserts those days by date.
 
 Averages are never merged from partial results: a touched day is recomputed
-from all of its trips, so late or replayed files give the same table.
+from all of its trips, so late or replayed files give the same table.  The
+ticket side is read through the per-trip revenue table (one row per trip,
+maintained apart from the ticket stream), so a micro-batch never rescans the
+raw tickets: its cost follows the touched trips, not the ticket history.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.operators.aggregates import daily_kpi
+from fleetlens.operators.aggregates import daily_kpi_from_revenue
 from fleetlens.operators.joins import keep_known
 from fleetlens.operators.tables import upsert
 from fleetlens.schemas import DAILY_KPI, TRIP
 from fleetlens.streaming.versioned import VersionedTable
 
 
-def recompute_days(trip_base: DataFrame, ticket: DataFrame, days: DataFrame) -> DataFrame:
-    """Daily KPIs of the given days only (semi joins restrict trips and tickets)."""
+def recompute_days(trip_base: DataFrame, trip_revenue_cents: DataFrame, days: DataFrame) -> DataFrame:
+    """Daily KPIs of the given days only (semi joins restrict trips and revenue rows)."""
     trips = keep_known(trip_base, days, "service_date")
-    tickets = keep_known(ticket, trips.select("trip_id"), "trip_id")
-    return daily_kpi(trips, tickets)
+    revenue = keep_known(trip_revenue_cents, trips.select("trip_id"), "trip_id")
+    return daily_kpi_from_revenue(trips, revenue)
 
 
-def stream_upsert_kpi(spark: SparkSession, src_dir: str, ticket: DataFrame, out_dir: str,
+def stream_upsert_kpi(spark: SparkSession, src_dir: str, trip_revenue_cents: DataFrame, out_dir: str,
                       checkpoint: str, files_per_trigger: int = 2) -> DataFrame:
     """Drain ``src_dir`` (trip Parquet files, also the stored trip table) and
-    return the maintained daily KPI table."""
+    return the maintained daily KPI table.  ``trip_revenue_cents`` is the
+    stored per-trip revenue table (``revenue_cents_per_trip`` of the tickets)."""
     table = VersionedTable(spark, out_dir)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         days = batch.select("service_date").distinct()
         base = spark.read.schema(TRIP).parquet(src_dir)
-        fresh = recompute_days(base, ticket, days)
+        fresh = recompute_days(base, trip_revenue_cents, days)
         prev = table.read(table.latest(below=batch_id), schema=DAILY_KPI)
         new = fresh if prev is None else upsert(prev, fresh, ["service_date"])
         table.commit(new, batch_id)

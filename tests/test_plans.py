@@ -62,3 +62,21 @@ def test_no_cartesian_product(spark, key):
     df = registry()[key].build(spark, SF)
     p = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in p and "CartesianProduct" not in p
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from fleetlens.operators.aggregates import revenue_cents_per_trip
+    from fleetlens.operators.tables import write_bucketed
+    from fleetlens.session import scratch_path
+    t = FleetTables(spark, SF)
+    write_bucketed(t.trip, "fl_trip_b", scratch_path(spark, "trip-b"), "trip_id", 8)
+    write_bucketed(revenue_cents_per_trip(t.ticket), "fl_rev_b", scratch_path(spark, "rev-b"), "trip_id", 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # large-table case: no broadcast
+    try:
+        joined = spark.table("fl_trip_b").join(spark.table("fl_rev_b"), "trip_id", "left")
+        p = plan(joined)
+        assert "SortMergeJoin" in p and "Exchange" not in p   # co-located buckets, no shuffle
+        assert joined.count() == t.trip.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
