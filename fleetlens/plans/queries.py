@@ -66,10 +66,6 @@ def _daily(t: FleetTables):
     return agg.daily_kpi(t.trip, t.ticket)
 
 
-def _trip_cols(prefix: str = "") -> str:
-    return ", ".join(prefix + f.name for f in TRIP.fields)
-
-
 # --------------------------------------------------------------------------
 # A8 flagship and the other grouped aggregations
 # --------------------------------------------------------------------------
