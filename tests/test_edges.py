@@ -257,3 +257,16 @@ def test_plate_lookup_null_and_unmatched(spark):
     buses = spark.createDataFrame([(7, "K-7"), (-100, "NEG")], "bus_id bigint, plate string")
     got = {r.trip_id: r.plate for r in with_plate(trips, buses).collect()}
     assert got == {1: "Unbekannt", 2: "K-7", 3: "Unbekannt", 4: "Unbekannt"}
+
+
+def test_upsert_partitions_on_disk(spark):
+    path = scratch_path(spark, "upsert-parts")
+    base = spark.createDataFrame([(D1, 1), (D1 + dt.timedelta(days=1), 2), (D1 + dt.timedelta(days=2), 3)],
+                                 "service_date date, v int")
+    base.write.partitionBy("service_date").parquet(path)
+    incoming = spark.createDataFrame([(D1 + dt.timedelta(days=1), 20), (D1 + dt.timedelta(days=5), 50)],
+                                     "service_date date, v int")
+    tbl.upsert_partitions(incoming, path, "service_date")
+    got = sorted((r.service_date, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [(D1, 1), (D1 + dt.timedelta(days=1), 20), (D1 + dt.timedelta(days=2), 3),
+                   (D1 + dt.timedelta(days=5), 50)]
