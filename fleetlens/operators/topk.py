@@ -109,7 +109,9 @@ def with_surrogate_key(df: DataFrame, name: str, order, partitions: int | None =
     """
     checkpoint_root(df.sparkSession)  # reliable checkpoints go to the shared root
     cols = [F.col(c).asc_nulls_first() for c in order]
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    # as many range partitions as the session's shuffle width (sized to the data
+    # on a cluster), so each sorted range stays a normal shuffle-partition size
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     staged = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     pos = staged.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
