@@ -41,5 +41,12 @@ class VersionedTable:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.path}/v={v}")
 
-    def commit(self, df: DataFrame, version: int) -> None:
+    def commit(self, df: DataFrame, version: int, keep: int = 3) -> None:
+        """Write ``version`` and drop all but the newest ``keep`` versions, so a
+        long-running stream keeps a bounded number of snapshots."""
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        self.retain(keep)
+
+    def retain(self, keep: int) -> None:
+        for v in self.versions()[:-keep] if keep > 0 else []:
+            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}"), True)

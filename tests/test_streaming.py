@@ -47,3 +47,13 @@ def test_restart_is_idempotent(spark):
     again = stream_daily_revenue(spark, src, out_dir, ckpt, watermark="1 day")
     assert first.collect() == again.collect()
     assert again.agg(F.sum("revenue")).first()[0] == Decimal("1.50")
+
+
+def test_versioned_table_retention(spark):
+    from fleetlens.streaming.versioned import VersionedTable
+    t = VersionedTable(spark, scratch_path(spark, "versions"))
+    for v in range(6):
+        t.commit(spark.createDataFrame([(v,)], "x int"), v, keep=3)
+    assert t.versions() == [3, 4, 5]
+    assert t.read().first().x == 5
+    assert t.latest(below=5) == 4
