@@ -1,8 +1,8 @@
 """Shares and day-over-day trends.
 
-Unpartitioned windows are used only on results whose size is bounded by a
-domain (statuses, payment methods) or by the calendar (one row per day), never
-on raw trips or tickets.
+The only unpartitioned window is the trend over the daily result, whose size
+is bounded by the calendar (one row per day); raw trips and tickets never go
+through one.
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ from fleetlens.functions.measures import rounded_ratio
 
 
 def share(counts: DataFrame, value_col: str, digits: int = 2, name: str = "share_pct") -> DataFrame:
-    """Percent of the total per row of an already grouped (small) result."""
-    total = F.sum(value_col).over(Window.partitionBy())
+    """Percent of the total per row of an already grouped result.
+
+    The total is a scalar subquery (a partial + one-row final aggregate,
+    computed once), so the division runs in every partition in parallel with
+    no global window and no join, whatever the number of groups.
+    """
+    total = counts.select(F.sum(value_col)).scalar()
     return counts.withColumn(name, rounded_ratio(F.col(value_col) * 100, total, digits))
 
 
