@@ -989,7 +989,7 @@ def q_stream_revenue(spark, d):
     _write_in_time_chunks(ticket.select(*TICKET.fieldNames()), "validated_at", src)
     return stream_daily_revenue(spark, src, scratch_path(spark, "daily-revenue"),
                                 scratch_path(spark, "ckpt-revenue"), watermark="400 days",
-                                files_per_trigger=8)
+                                files_per_trigger=2)
 
 
 @register("stream_upsert_kpi", DAILY_KPI_SQL)
@@ -1000,4 +1000,4 @@ def q_stream_kpi(spark, d):
     # the stored per-trip revenue table (one row per trip), written once
     revenue = tbl.materialize(agg.revenue_cents_per_trip(t.ticket), scratch_path(spark, "trip-revenue"))
     return stream_upsert_kpi(spark, src, revenue, scratch_path(spark, "daily-kpi-stream"),
-                             scratch_path(spark, "ckpt-kpi"), files_per_trigger=8)
+                             scratch_path(spark, "ckpt-kpi"), files_per_trigger=2)
