@@ -34,9 +34,17 @@ def stream_daily_revenue(spark: SparkSession, src_dir: str, out_dir: str, checkp
     table = VersionedTable(spark, out_dir)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        prev = table.read(table.latest(below=batch_id))
-        new = batch if prev is None else upsert(prev, batch, ["validation_date"])
-        table.commit(new, batch_id)
+        # The upsert reads the batch twice (anti join and union): keep it so
+        # the stateful aggregation runs once per micro-batch.
+        batch.persist()
+        try:
+            if batch.isEmpty():  # a no-data batch only evicts state
+                return
+            prev = table.read(table.latest(below=batch_id))
+            new = batch if prev is None else upsert(prev, batch, ["validation_date"])
+            table.commit(new, batch_id)
+        finally:
+            batch.unpersist()
 
     src = (spark.readStream.schema(TICKET).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(src_dir))

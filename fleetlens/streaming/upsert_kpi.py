@@ -12,6 +12,7 @@ raw tickets: its cost follows the touched trips, not the ticket history.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.operators.aggregates import daily_kpi_from_revenue
 from fleetlens.operators.joins import keep_known
@@ -20,8 +21,18 @@ from fleetlens.schemas import DAILY_KPI, TRIP
 from fleetlens.streaming.versioned import VersionedTable
 
 
-def recompute_days(trip_base: DataFrame, trip_revenue_cents: DataFrame, days: DataFrame) -> DataFrame:
-    """Daily KPIs of the given days only (semi joins restrict trips and revenue rows)."""
+def recompute_days(trip_base: DataFrame, trip_revenue_cents: DataFrame, days: DataFrame,
+                   bounds=None) -> DataFrame:
+    """Daily KPIs of the given days only (semi joins restrict trips and revenue rows).
+
+    ``bounds`` = (first, last) touched day, as literals: the range filter
+    reaches the Parquet scan, so files and row groups of other days are
+    skipped by their statistics (or directories, if the store is partitioned
+    by date) and a micro-batch does not read the whole trip history.
+    """
+    if bounds is not None:
+        lo, hi = bounds
+        trip_base = trip_base.where(F.col("service_date").between(F.lit(lo), F.lit(hi)))
     trips = keep_known(trip_base, days, "service_date")
     revenue = keep_known(trip_revenue_cents, trips.select("trip_id"), "trip_id")
     return daily_kpi_from_revenue(trips, revenue)
@@ -35,12 +46,19 @@ def stream_upsert_kpi(spark: SparkSession, src_dir: str, trip_revenue_cents: Dat
     table = VersionedTable(spark, out_dir)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
+        lo, hi = batch.agg(F.min("service_date"), F.max("service_date")).first()
+        if lo is None:  # no trips in this batch
+            return
         days = batch.select("service_date").distinct()
         base = spark.read.schema(TRIP).parquet(src_dir)
-        fresh = recompute_days(base, trip_revenue_cents, days)
-        prev = table.read(table.latest(below=batch_id), schema=DAILY_KPI)
-        new = fresh if prev is None else upsert(prev, fresh, ["service_date"])
-        table.commit(new, batch_id)
+        # one row per touched day, read twice by the upsert: computed once
+        fresh = recompute_days(base, trip_revenue_cents, days, (lo, hi)).persist()
+        try:
+            prev = table.read(table.latest(below=batch_id), schema=DAILY_KPI)
+            new = fresh if prev is None else upsert(prev, fresh, ["service_date"])
+            table.commit(new, batch_id)
+        finally:
+            fresh.unpersist()
 
     src = (spark.readStream.schema(TRIP).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(src_dir))
