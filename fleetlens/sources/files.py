@@ -16,9 +16,14 @@ TRIP_CSV_COLUMNS = ("trip_id", "service_date", "line", "direction", "vehicle_no"
 TICKET_CSV_COLUMNS = ("trip_id", "validated_at", "fare_type", "amount_eur", "payment_method", "stop")
 
 
-def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """Full table scan of ``<directory>/<name>.parquet`` (columns pruned lazily)."""
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+def load(spark: SparkSession, directory: str, name: str, schema: str | None = None) -> DataFrame:
+    """Full table scan of ``<directory>/<name>.parquet`` (columns pruned lazily).
+
+    With a declared ``schema`` the reader skips schema inference (no footer
+    reads while planning); without one the schema is inferred from the files.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
 def _all_strings(columns) -> T.StructType:
