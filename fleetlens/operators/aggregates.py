@@ -46,7 +46,7 @@ def report_kpi(trip: DataFrame) -> DataFrame:
 def report_kpi_nullsafe(trip: DataFrame) -> DataFrame:
     """``report_kpi`` with every missing measure replaced by 0 (empty input)."""
     kpi = report_kpi(trip)
-    return kpi.select(*[F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name)
+    return kpi.select(*[F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType.simpleString())).alias(f.name)
                         for f in kpi.schema.fields])
 
 

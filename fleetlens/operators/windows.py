@@ -39,7 +39,7 @@ def trend(daily_kpi: DataFrame, cols=TREND_COLUMNS, latest_only: bool = False) -
         src = daily_kpi.orderBy(F.desc("service_date")).limit(2)
     w = Window.orderBy("service_date")
     out = src
-    types = {f.name: f.dataType for f in src.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     for c in cols:
         prev = F.lag(c).over(w)
         delta = (F.col(c) - F.coalesce(prev, F.col(c))).cast(types[c])
