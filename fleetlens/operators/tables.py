@@ -28,6 +28,16 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def partition_values(spark: SparkSession, path: str, col: str, cast=str) -> list:
+    """The values of partition column ``col`` of a table written with
+    ``partitionBy(col)``, sorted, read from the directory names (a listing of
+    one level, no data scan)."""
+    fs, root, _ = _fs(spark, path)
+    prefix = f"{col}="
+    names = [st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()]
+    return sorted(cast(n[len(prefix):]) for n in names if n.startswith(prefix))
+
+
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Full refresh: write the new contents to a sibling directory, then swap
     it in (delete the old directory, rename the new one).  A failed write

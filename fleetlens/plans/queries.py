@@ -964,22 +964,22 @@ def q_report_tables(spark, d):
 
 
 def _write_in_time_chunks(df, ts_col, path, chunk_days: int = 366):
-    """Stream input: the rows in consecutive ``chunk_days`` ranges of
-    ``ts_col``, each range written by a normal distributed write after the
-    previous one, so file times follow event time from chunk to chunk.  The
-    range bounds are literals, so each write's filter reaches the Parquet scan.
-    Inside a chunk the order is arbitrary: the watermark delay of the stream
-    must exceed ``chunk_days``."""
-    lo, hi = df.agg(F.min(F.to_date(ts_col)), F.max(F.to_date(ts_col))).first()
-    if lo is None:
-        return
-    start = lo
-    while start <= hi:
-        end = start + _dt.timedelta(days=chunk_days)
-        col = F.col(ts_col)
-        bounds = (col >= F.lit(start)) & (col < F.lit(end))
-        df.where(bounds).write.mode("append").parquet(path)
-        start = end
+    """Stream input: the rows in consecutive ``chunk_days`` ranges of ``ts_col``
+    (ranges counted from 1970-01-01), each range appended by its own write after
+    the previous one, so file times follow event time from range to range.
+
+    One scan writes a staging table partitioned by range number; each range is
+    then copied from its own partition directory (partition pruning), so the
+    source is read once, not once per range.  Inside a range the order is
+    arbitrary: the watermark delay of the stream must exceed ``chunk_days``."""
+    spark = df.sparkSession
+    staging = scratch_path(spark, "stream-staging")
+    chunk = F.floor(F.unix_date(F.to_date(ts_col)) / F.lit(chunk_days)).cast("int")
+    (df.where(F.col(ts_col).isNotNull()).withColumn("chunk", chunk)
+     .write.partitionBy("chunk").parquet(staging))
+    staged = spark.read.parquet(staging)
+    for k in tbl.partition_values(spark, staging, "chunk", int):
+        staged.where(F.col("chunk") == k).drop("chunk").write.mode("append").parquet(path)
 
 
 @register("stream_daily_revenue", DAILY_REVENUE_SQL)
