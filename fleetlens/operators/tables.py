@@ -40,15 +40,25 @@ def partition_values(spark: SparkSession, path: str, col: str, cast=str) -> list
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Full refresh: write the new contents to a sibling directory, then swap
-    it in (delete the old directory, rename the new one).  A failed write
-    leaves the old contents untouched."""
+    it in by renames (old -> ``._previous``, new -> path) and drop the old
+    one last.  A failed write leaves the old contents untouched, and a stop
+    between the renames leaves them under ``._previous``, never deleted."""
     spark = df.sparkSession
     staging = path.rstrip("/") + "._staging"
     df.write.mode("overwrite").format(fmt).save(staging)
     fs, target, jvm = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target)
+    previous = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "._previous")
+    if fs.exists(previous):
+        fs.delete(previous, True)
+    had_old = fs.exists(target)
+    if had_old and not fs.rename(target, previous):
+        raise IOError(f"could not move {path} aside")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+        if had_old:
+            fs.rename(previous, target)
+        raise IOError(f"could not move the new contents to {path}")
+    if had_old:
+        fs.delete(previous, True)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys) -> DataFrame:

@@ -270,3 +270,25 @@ def test_upsert_partitions_on_disk(spark):
     got = sorted((r.service_date, r.v) for r in spark.read.parquet(path).collect())
     assert got == [(D1, 1), (D1 + dt.timedelta(days=1), 20), (D1 + dt.timedelta(days=2), 3),
                    (D1 + dt.timedelta(days=5), 50)]
+
+
+def test_jdbc_partitioned_read_needs_bounds(spark):
+    # argument check only: a partitioned read is split on key ranges, so the
+    # bounds must be given (no database is started by the tests)
+    from fleetlens.sources.jdbc import read_jdbc
+
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:none", "trip", key="trip_id")
+
+
+def test_full_refresh_replaces_and_leaves_no_sibling(spark):
+    from fleetlens.operators.tables import overwrite
+    from fleetlens.session import scratch_path
+
+    path = scratch_path(spark, "refresh-swap")
+    overwrite(spark.range(5), path)
+    overwrite(spark.range(3), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + "._previous")
+    assert not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
