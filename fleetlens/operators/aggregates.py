@@ -125,6 +125,16 @@ def revenue_cents_per_trip(ticket: DataFrame) -> DataFrame:
             .groupBy("trip_id").agg(F.sum(unscaled("amount_eur")).alias("trip_revenue_cents")))
 
 
+def dated_revenue_cents_per_trip(trip: DataFrame, ticket: DataFrame) -> DataFrame:
+    """(trip_id, service_date, trip_revenue_cents): the per-trip revenue with
+    the trip's service date, so a store of it can be clustered and pruned by
+    date.  One row per trip on both sides of the join (no fan-out); tickets of
+    unknown trips and trips without tickets have no row, as in the left join
+    of ``daily_kpi_from_revenue``."""
+    return (trip.select("trip_id", "service_date")
+            .join(revenue_cents_per_trip(ticket), "trip_id"))
+
+
 def revenue_per_trip(ticket: DataFrame) -> DataFrame:
     """Ticket revenue per trip id as DECIMAL."""
     return revenue_cents_per_trip(ticket).select(
@@ -146,7 +156,7 @@ def daily_kpi(trip: DataFrame, ticket: DataFrame) -> DataFrame:
 def daily_kpi_from_revenue(trip: DataFrame, trip_revenue_cents: DataFrame) -> DataFrame:
     """``daily_kpi`` from trips and an already aggregated per-trip revenue
     table (trip_id, trip_revenue_cents): one row per trip on both sides."""
-    per_trip = trip.join(trip_revenue_cents, "trip_id", "left")
+    per_trip = trip.join(trip_revenue_cents.select("trip_id", "trip_revenue_cents"), "trip_id", "left")
     revenue = from_unscaled(F.sum(F.coalesce(F.col("trip_revenue_cents"), F.lit(0))))
     return (per_trip.groupBy("service_date")
             .agg(scaled_sum("km").alias("total_km"),

@@ -997,7 +997,9 @@ def q_stream_kpi(spark, d):
     t = T(spark, d)
     src = scratch_path(spark, "stream-trips")
     _write_in_time_chunks(t.trip, "service_date", src)
-    # the stored per-trip revenue table (one row per trip), written once
-    revenue = tbl.materialize(agg.revenue_cents_per_trip(t.ticket), scratch_path(spark, "trip-revenue"))
+    # the stored per-trip revenue table (one row per trip, with the trip's date),
+    # written once and clustered by (date, trip) so micro-batches prune it by date
+    revenue = tbl.materialize_clustered(agg.dated_revenue_cents_per_trip(t.trip, t.ticket),
+                                        scratch_path(spark, "trip-revenue"), ["service_date", "trip_id"])
     return stream_upsert_kpi(spark, src, revenue, scratch_path(spark, "daily-kpi-stream"),
                              scratch_path(spark, "ckpt-kpi"), files_per_trigger=2)

@@ -26,15 +26,21 @@ def recompute_days(trip_base: DataFrame, trip_revenue_cents: DataFrame, days: Da
     """Daily KPIs of the given days only (semi joins restrict trips and revenue rows).
 
     ``bounds`` = (first, last) touched day, as literals: the range filter
-    reaches the Parquet scan, so files and row groups of other days are
-    skipped by their statistics (or directories, if the store is partitioned
-    by date) and a micro-batch does not read the whole trip history.
+    reaches the Parquet scans of the trips and, when the revenue store
+    carries the trip's ``service_date``, of the revenue store too.  Files and
+    row groups of other days are skipped by their statistics (or directories,
+    if a store is partitioned by date), so a micro-batch reads neither the
+    whole trip history nor the whole revenue history.
     """
     if bounds is not None:
         lo, hi = bounds
-        trip_base = trip_base.where(F.col("service_date").between(F.lit(lo), F.lit(hi)))
+        in_range = F.col("service_date").between(F.lit(lo), F.lit(hi))
+        trip_base = trip_base.where(in_range)
+        if "service_date" in trip_revenue_cents.columns:
+            trip_revenue_cents = trip_revenue_cents.where(in_range)
     trips = keep_known(trip_base, days, "service_date")
-    revenue = keep_known(trip_revenue_cents, trips.select("trip_id"), "trip_id")
+    revenue = keep_known(trip_revenue_cents.select("trip_id", "trip_revenue_cents"),
+                         trips.select("trip_id"), "trip_id")
     return daily_kpi_from_revenue(trips, revenue)
 
 
@@ -42,7 +48,8 @@ def stream_upsert_kpi(spark: SparkSession, src_dir: str, trip_revenue_cents: Dat
                       checkpoint: str, files_per_trigger: int = 2) -> DataFrame:
     """Drain ``src_dir`` (trip Parquet files, also the stored trip table) and
     return the maintained daily KPI table.  ``trip_revenue_cents`` is the
-    stored per-trip revenue table (``revenue_cents_per_trip`` of the tickets)."""
+    stored per-trip revenue table: ``dated_revenue_cents_per_trip`` clustered
+    by date (pruned per micro-batch), or ``revenue_cents_per_trip``."""
     table = VersionedTable(spark, out_dir)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:

@@ -117,3 +117,30 @@ def test_bounded_recompute_equals_unbounded(spark):
     p = bounded._jdf.queryExecution().executedPlan().toString()
     pushed = p.split("PushedFilters: [")[1].split("]")[0]  # the trip scan comes first
     assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
+
+
+def test_dated_revenue_store_is_pruned_by_day(spark):
+    """With the revenue store clustered by (date, trip), the touched-day range
+    also reaches the store's scan, and the result is unchanged."""
+    from fleetlens.operators.aggregates import dated_revenue_cents_per_trip, revenue_cents_per_trip
+    from fleetlens.operators.tables import materialize_clustered
+    from fleetlens.sources.bindings import FleetTables
+    from fleetlens.streaming.upsert_kpi import recompute_days
+
+    t = FleetTables(spark, "/root/testdata/sf0.001")
+    store = materialize_clustered(dated_revenue_cents_per_trip(t.trip, t.ticket),
+                                  scratch_path(spark, "rev-store"), ["service_date", "trip_id"])
+    days = t.trip.select("service_date").distinct().orderBy(F.desc("service_date")).limit(4)
+    lo, hi = days.agg(F.min("service_date"), F.max("service_date")).first()
+    got = recompute_days(t.trip, store, days, (lo, hi))
+    want = recompute_days(t.trip, revenue_cents_per_trip(t.ticket), days)
+    assert got.count() == 4
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # untruncated scan details
+    try:
+        p = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    store_scan = [ln for ln in p.splitlines() if "FileScan" in ln and "trip_revenue_cents" in ln][0]
+    pushed = store_scan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(service_date" in pushed and "LessThanOrEqual(service_date" in pushed
