@@ -155,10 +155,14 @@ def write_clustered(df: DataFrame, path: str, partition_col: str = "service_date
      .write.mode("errorifexists").partitionBy(partition_col).parquet(path))
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, key: str = "trip_id", buckets: int = 64) -> None:
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "trip_id",
+                   buckets: int | None = None) -> None:
     """Bucketed table by ``key`` at an explicit shared path: later joins of
-    two tables bucketed the same way on ``key`` need no shuffle."""
-    (df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).sortBy(key)
+    two tables bucketed the same way on ``key`` need no shuffle.  The bucket
+    count defaults to the session's shuffle width, which is sized to the data
+    on a cluster; tables that are joined must use the same count."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.mode("errorifexists").format("parquet").bucketBy(n, key).sortBy(key)
      .option("path", path).saveAsTable(table))
 
 
