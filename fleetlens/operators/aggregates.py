@@ -18,36 +18,59 @@ from fleetlens.schemas import (BUS_STATUS_ACTIVE, BUS_STATUS_IN_MAINTENANCE,
                                TRIP_STATUS_CANCELLED, UNKNOWN_PLATE)
 
 
-def overview_kpi(trip: DataFrame) -> DataFrame:
+def _overview_measures() -> dict:
     """Dashboard tiles: trips, occupancy, delay (NULL skipped), boardings,
     energy (NULL as 0, whole kWh), punctuality (NULL delay on time)."""
-    return trip.agg(
-        F.count(F.lit(1)).alias("trips"),
-        exact_avg("occupancy_pct", 1).alias("avg_occupancy"),
-        avg_delay("delay_min", "skip_null", 1).alias("avg_delay_min"),
-        long_sum("boardings").alias("boardings"),
-        F.round(F.sum(F.coalesce(F.col("energy_kwh"), F.lit(0))), 0).cast("decimal(22,0)").alias("energy_kwh"),
-        on_time_rate("delay_min", null_is_on_time=True, digits=1).alias("on_time_pct"),
-    )
+    return {
+        "trips": F.count(F.lit(1)),
+        "avg_occupancy": exact_avg("occupancy_pct", 1),
+        "avg_delay_min": avg_delay("delay_min", "skip_null", 1),
+        "boardings": long_sum("boardings"),
+        "energy_kwh": F.round(F.sum(F.coalesce(F.col("energy_kwh"), F.lit(0))), 0).cast("decimal(22,0)"),
+        "on_time_pct": on_time_rate("delay_min", null_is_on_time=True, digits=1),
+    }
 
 
-def report_kpi(trip: DataFrame) -> DataFrame:
+def _report_measures() -> dict:
     """Report tiles: trips, boardings, occupancy, delay (NULL as 0), km, punctuality."""
-    return trip.agg(
-        F.count(F.lit(1)).alias("trips"),
-        long_sum("boardings").alias("boardings"),
-        exact_avg("occupancy_pct", 1).alias("avg_occupancy"),
-        avg_delay("delay_min", "null_as_zero", 1).alias("avg_delay_min"),
-        decimal_sum("km", 0, "decimal(22,0)").alias("total_km"),
-        on_time_rate("delay_min", null_is_on_time=True, digits=1).alias("on_time_pct"),
-    )
+    return {
+        "trips": F.count(F.lit(1)),
+        "boardings": long_sum("boardings"),
+        "avg_occupancy": exact_avg("occupancy_pct", 1),
+        "avg_delay_min": avg_delay("delay_min", "null_as_zero", 1),
+        "total_km": decimal_sum("km", 0, "decimal(22,0)"),
+        "on_time_pct": on_time_rate("delay_min", null_is_on_time=True, digits=1),
+    }
+
+
+def _null_as_zero(df: DataFrame, names) -> DataFrame:
+    """Replace NULL by 0 (of the column's type) in ``names``; other columns kept."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(*[F.coalesce(F.col(c), F.lit(0).cast(types[c])).alias(c) if c in names else F.col(c)
+                       for c in df.columns])
+
+
+def overview_kpi(trip: DataFrame) -> DataFrame:
+    return trip.agg(*[c.alias(n) for n, c in _overview_measures().items()])
+
+
+def report_kpi(trip: DataFrame) -> DataFrame:
+    return trip.agg(*[c.alias(n) for n, c in _report_measures().items()])
 
 
 def report_kpi_nullsafe(trip: DataFrame) -> DataFrame:
     """``report_kpi`` with every missing measure replaced by 0 (empty input)."""
     kpi = report_kpi(trip)
-    return kpi.select(*[F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType.simpleString())).alias(f.name)
-                        for f in kpi.schema.fields])
+    return _null_as_zero(kpi, kpi.columns)
+
+
+def overview_and_report_kpi(trip: DataFrame) -> DataFrame:
+    """The overview block (``o_<name>``) and the NULL-safe report block
+    (``r_<name>``) from one aggregate pass over the trips.  Measures the two
+    blocks share (trip count, punctuality, ...) are computed once."""
+    o, r = _overview_measures(), _report_measures()
+    row = trip.agg(*[c.alias("o_" + n) for n, c in o.items()], *[c.alias("r_" + n) for n, c in r.items()])
+    return _null_as_zero(row, ["r_" + n for n in r])
 
 
 def ticket_kpi(ticket: DataFrame) -> DataFrame:
@@ -75,6 +98,12 @@ def avg_occupancy(legacy_trip: DataFrame) -> DataFrame:
     return legacy_trip.agg(exact_avg("occupancy_pct", 2).alias("avg_occupancy"))
 
 
+def occupancy_and_km(legacy_trip: DataFrame) -> DataFrame:
+    """``avg_occupancy`` and ``total_km`` in one aggregate pass."""
+    return legacy_trip.agg(exact_avg("occupancy_pct", 2).alias("avg_occupancy"),
+                           F.coalesce(scaled_sum("km"), F.lit(0)).cast("decimal(22,2)").alias("total_km"))
+
+
 def line_punctuality(trip: DataFrame) -> DataFrame:
     """Per line: punctuality with NULL delay counted late, delay average
     skipping NULLs (the dashboard chart)."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import avg_delay, decimal_sum, exact_avg, on_time_rate
 from fleetlens.functions.scalars import fixed_digits, thousands
-from fleetlens.operators.aggregates import avg_occupancy, bus_status_counts, total_km
+from fleetlens.operators.aggregates import bus_status_counts, occupancy_and_km, overview_and_report_kpi
 from fleetlens.operators.topk import overdue_list, recent_with_plate, top_odometer
 from fleetlens.schemas import (DASHBOARD_TILES, DELAY_LIMIT_MIN, NO_PROBLEM_LINES,
                                PROBLEM_LINE_TEMPLATE, PUNCTUALITY_TARGET_PCT, REPORT_KIND_LABELS,
@@ -26,24 +26,23 @@ def _txt(c: Column) -> Column:
     return F.coalesce(c, F.lit("None"))
 
 
-def _cards(one_row: DataFrame, set_name: str, tiles) -> DataFrame:
-    """Stack (label, text, warn) triples of a one-row frame into rows."""
+def _cards(one_row: DataFrame, groups) -> DataFrame:
+    """Stack the tiles of a one-row frame into (card_set, position, label,
+    value_text, warn) rows; ``groups`` = [(card_set, [(label, text, warn)])]."""
     cols = []
-    for i, (label, text, warn) in enumerate(tiles):
-        cols += [F.lit(i + 1), F.lit(label), text, warn]
+    for set_name, tiles in groups:
+        for i, (label, text, warn) in enumerate(tiles):
+            cols += [F.lit(set_name), F.lit(i + 1), F.lit(label), text, warn]
     args = ", ".join(f"_a{j}" for j in range(len(cols)))
     wide = one_row.select(*[c.alias(f"_a{j}") for j, c in enumerate(cols)])
-    return wide.selectExpr(f"'{set_name}' AS card_set",
-                           f"stack({len(tiles)}, {args}) AS (position, label, value_text, warn)")
+    return wide.selectExpr(f"stack({len(cols) // 5}, {args}) AS (card_set, position, label, value_text, warn)")
 
 
-def kpi_cards(overview: DataFrame, report_nullsafe: DataFrame) -> DataFrame:
-    """The six dashboard tiles (from the overview KPIs) and the six report
-    tiles (from the NULL-safe report KPIs) as one long table."""
+def _dashboard_tiles(o) -> list:
+    """The six dashboard tiles; ``o(name)`` gives an overview measure."""
     no = F.lit(False)
-    o = F.col
     p = o("on_time_pct")
-    dash = [
+    return [
         (DASHBOARD_TILES[0], thousands(o("trips")), no),
         (DASHBOARD_TILES[1], F.concat(_txt(fixed_digits(o("avg_occupancy"), 1)), F.lit("%")), no),
         (DASHBOARD_TILES[2], F.concat(_txt(fixed_digits(o("avg_delay_min"), 1)), F.lit(" min")), no),
@@ -52,15 +51,35 @@ def kpi_cards(overview: DataFrame, report_nullsafe: DataFrame) -> DataFrame:
         (DASHBOARD_TILES[5], F.concat(_txt(fixed_digits(p, 1)), F.lit("%")),
          F.coalesce(p < PUNCTUALITY_TARGET_PCT, F.lit(True))),
     ]
-    rep = [
-        (REPORT_TILES[0], thousands(o("trips")), no),
-        (REPORT_TILES[1], thousands(o("boardings")), no),
-        (REPORT_TILES[2], F.concat(fixed_digits(o("avg_occupancy"), 1), F.lit("%")), no),
-        (REPORT_TILES[3], fixed_digits(o("avg_delay_min"), 1), o("avg_delay_min") > DELAY_LIMIT_MIN),
-        (REPORT_TILES[4], thousands(o("total_km")), no),
+
+
+def _report_tiles(r) -> list:
+    """The six report tiles; ``r(name)`` gives a NULL-safe report measure."""
+    no = F.lit(False)
+    p = r("on_time_pct")
+    return [
+        (REPORT_TILES[0], thousands(r("trips")), no),
+        (REPORT_TILES[1], thousands(r("boardings")), no),
+        (REPORT_TILES[2], F.concat(fixed_digits(r("avg_occupancy"), 1), F.lit("%")), no),
+        (REPORT_TILES[3], fixed_digits(r("avg_delay_min"), 1), r("avg_delay_min") > DELAY_LIMIT_MIN),
+        (REPORT_TILES[4], thousands(r("total_km")), no),
         (REPORT_TILES[5], F.concat(fixed_digits(p, 1), F.lit("%")), p < PUNCTUALITY_TARGET_PCT),
     ]
-    return _cards(overview, "dashboard", dash).unionByName(_cards(report_nullsafe, "report", rep))
+
+
+def kpi_cards(overview: DataFrame, report_nullsafe: DataFrame) -> DataFrame:
+    """The six dashboard tiles (from the overview KPIs) and the six report
+    tiles (from the NULL-safe report KPIs) as one long table."""
+    return _cards(overview, [("dashboard", _dashboard_tiles(F.col))]).unionByName(
+        _cards(report_nullsafe, [("report", _report_tiles(F.col))]))
+
+
+def kpi_cards_from_trips(trip: DataFrame) -> DataFrame:
+    """``kpi_cards`` of a trip table in one scan: both blocks come from one
+    aggregate row and all twelve tiles from one ``stack``."""
+    row = overview_and_report_kpi(trip)
+    return _cards(row, [("dashboard", _dashboard_tiles(lambda n: F.col("o_" + n))),
+                        ("report", _report_tiles(lambda n: F.col("r_" + n)))])
 
 
 def problem_lines_text(problem_lines: DataFrame) -> DataFrame:
@@ -129,8 +148,7 @@ def fleet_snapshot(bus: DataFrame, maintenance: DataFrame, legacy_trip: DataFram
     frames; they are combined by a union and a global ``first`` (no cross
     join)."""
     counts = bus_status_counts(bus)
-    occ = avg_occupancy(legacy_trip)
-    km = total_km(legacy_trip)
+    totals = occupancy_and_km(legacy_trip)
     overdue = (overdue_list(maintenance, bus, as_of)
                .orderBy(F.col("next_due").asc_nulls_last(), F.col("maintenance_id").asc()).limit(n_list))
 
@@ -148,7 +166,7 @@ def fleet_snapshot(bus: DataFrame, maintenance: DataFrame, legacy_trip: DataFram
         ranked_array(top_odometer(bus, n_list), [F.col("odometer_km").desc(), F.col("bus_id")],
                      "high_odometer"),
     ]
-    parts = [counts, occ, km] + arrays
+    parts = [counts, totals] + arrays
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p, allowMissingColumns=True)

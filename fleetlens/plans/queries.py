@@ -655,8 +655,7 @@ UNION ALL SELECT 'report', 6, 'Pünktlichkeit', concat({_fmt1('on_time_pct')}, '
 @register("kpi_cards", with_tables("trip", extra=(("o", _OVERVIEW_SQL), ("r", _REPORT_NULLSAFE_SQL)))
           + _CARDS_SQL)
 def q_kpi_cards(spark, d):
-    trip = T(spark, d).trip
-    return rpt.kpi_cards(agg.overview_kpi(trip), agg.report_kpi_nullsafe(trip))
+    return rpt.kpi_cards_from_trips(T(spark, d).trip)
 
 
 @register("problem_lines_text", with_tables("trip", extra=(("k4", _PROBLEM_LINES_SQL),)) + f"""

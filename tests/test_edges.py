@@ -21,6 +21,7 @@ from fleetlens.operators import text as txt
 from fleetlens.operators import topk, windows
 from fleetlens.schemas import DAILY_KPI, TICKET, TRIP
 from fleetlens.session import scratch_path
+from fleetlens.sources.bindings import FleetTables
 
 D1 = dt.date(2024, 3, 4)  # a Monday
 
@@ -292,3 +293,16 @@ def test_full_refresh_replaces_and_leaves_no_sibling(spark):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path + "._previous")
     assert not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def test_one_pass_cards_equal_two_block_cards(spark):
+    """Cards from one aggregate row equal cards from the two separate KPI
+    blocks, on real trips and on an empty table (NULL-safe report tiles)."""
+    t = FleetTables(spark, "/root/testdata/sf0.001").trip
+    for trips in (t, spark.createDataFrame([], TRIP)):
+        one = rpt.kpi_cards_from_trips(trips)
+        two = rpt.kpi_cards(agg.overview_kpi(trips), agg.report_kpi_nullsafe(trips))
+        assert one.columns == two.columns
+        assert [f.dataType for f in one.schema.fields] == [f.dataType for f in two.schema.fields]
+        assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+        assert one.count() == 12
