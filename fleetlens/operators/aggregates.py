@@ -265,9 +265,7 @@ def kpi_suite(bus, maintenance, legacy_trip, as_of) -> DataFrame:
         (("total_buses", "active_buses", "in_maintenance"), lambda: bus_status_counts(bus())),
         (("overdue_maintenance",),
          lambda: overdue(maintenance(), as_of).agg(F.count(F.lit(1)).alias("overdue_maintenance"))),
-        (("total_km", "avg_occupancy"),
-         lambda: legacy_trip().agg(F.coalesce(scaled_sum("km"), F.lit(0)).alias("total_km"),
-                                   exact_avg("occupancy_pct", 2).alias("avg_occupancy"))),
+        (("total_km", "avg_occupancy"), lambda: occupancy_and_km(legacy_trip())),
     ]
     spark = None
     parts = []
