@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, lang_bitmask, quality_gbdt, toxicity
+from fleetlens.llm import (decontaminate, html_extract, jaccard_join, lang_bitmask, multiset_hash, packing,
+                           quality_gbdt, token_rans, toxicity, warc_merkle)
+from fleetlens.llm.common import materialise
 from fleetlens.llm.common import read_table as table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -42,22 +45,91 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, c
 FROM doc LEFT JOIN pos USING (r) LEFT JOIN items USING (r)"""
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] ELSE list_distinct(list_transform(
+    range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s FROM words),
+sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+rare AS (SELECT t FROM sh GROUP BY t HAVING count(*) > 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+    FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id < b.doc_id WHERE a.t IN (SELECT t FROM rare)
+        AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+edge AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id
+FROM sets s LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON s.doc_id = c.a"""
+
+
 @query("op1_decontamination", OP1_SQL)
 def op1_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
 
 
+@query("op2_jaccard_join", OP2_SQL)
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OP4_SQL = """
+WITH rec AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+    || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS r, url FROM pages),
+placed AS (SELECT page_id, page_id // 1024 AS file, r, strlen(r) AS length,
+    coalesce(sum(strlen(r)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM rec)
+SELECT page_id, file, CAST(start AS BIGINT) AS start, length, sha256(r) AS record_sha256,
+    CASE WHEN page_id % 307 = 5 THEN NULL WHEN page_id % 211 = 3 THEN sha256(left(r, -1) || 'x') ELSE sha256(r) END AS replica_sha256,
+    CASE WHEN page_id % 307 = 5 THEN 'missing' WHEN page_id % 211 = 3 THEN 'damaged' ELSE 'intact' END AS state
+FROM placed"""
+
+
+@query("op4_warc_merkle", OP4_SQL)
+def op4_warc_merkle(spark, sf_dir):
+    """Audits a stored replica of all pages that lost every record with
+    page_id % 307 = 5 and has the last byte changed where page_id % 211 = 3."""
+    written = warc_merkle.records(table(spark, sf_dir, "pages"))
+    damaged = F.when(F.col("page_id") % 211 == 3, F.concat(F.expr("substring(record, 1, char_length(record) - 1)"), F.lit("x")))
+    copy = (written.where("page_id is null or page_id % 307 != 5")
+            .withColumn("record", F.coalesce(damaged, F.col("record"))))
+    replica = materialise(copy, "replica")
+    return warc_merkle.fixity_report(warc_merkle.leaves(written), warc_merkle.leaves(replica))
+
+
+@query("op5_token_files")
+def op5_token_files(spark, sf_dir):
+    import public_tokenizers
+    return token_rans.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_html_text")
+def op6_html_text(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality")
 def op8_quality(spark, sf_dir):
     return quality_gbdt.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op9_multiset_hash")
+def op9_multiset_hash(spark, sf_dir):
+    return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op10_language")
 def op10_language(spark, sf_dir):
     return lang_bitmask.language(table(spark, sf_dir, "documents"))
