@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import doc_texts, map_arrow, materialise
+from fleetlens.llm.common import doc_texts, free_name, map_arrow, materialise
 from fleetlens.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -293,11 +293,12 @@ def keep_one_per_component(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` (all columns) without those whose component has a
     smaller id; of repeated rows of one id one stays.  Rows with a NULL id stay."""
     grouped = materialise(near_duplicates(docs, **how), "grouped")
-    gone = materialise(grouped.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    key = F.col("doc_id").cast("long") == F.col("gone")
+    name, place = free_name(docs.columns, "gone"), free_name(docs.columns, "place")
+    gone = materialise(grouped.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    key = F.col("doc_id").cast("long") == F.col(name)
     kept = docs.join(F.broadcast(gone) if _few(gone) else gone, key, "left_anti")
     if grouped.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
     at = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    one = kept.where("doc_id is not null").withColumn("_place", F.row_number().over(at)).where("_place = 1").drop("_place")
+    one = kept.where("doc_id is not null").withColumn(place, F.row_number().over(at)).where(F.col(place) == 1).drop(place)
     return one.unionByName(kept.where("doc_id is null"))

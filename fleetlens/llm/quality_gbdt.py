@@ -98,7 +98,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth
     share = (weight * y).sum() / total if total else 0.5
     base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     feature, threshold, leaf = [], [], []
-    if 0 < share < 1:
+    if total and 0 < share < 1:
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(n_features)]
         binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(n_features)])
         z = np.full(len(y), base)

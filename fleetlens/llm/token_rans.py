@@ -6,16 +6,16 @@ atomically.  A shard holds up to ``shard_ids`` ids (or one longer document):
 
     magic  symbols  blocks                                header, 3 x uint32
     symbol ids (uint32), frequencies (uint32)             shared table, sum 2^20
-    per block: documents, ids, words, lanes, checkpoints, crc32 of the ids
-    per block: doc_id (int64), known (uint8), length (uint32) by document;
-               checkpoint offsets (uint32) and lane states (uint64); words
+    per block: documents, ids, words, lanes, checkpoints, crc32 of the ids and of the body
+    body of a block: doc_id (int64), known (uint8), length (uint32) by
+               document; checkpoint offsets (uint32) and lane states (uint64); words
 
 All blocks of a shard use its frequency table and are independent otherwise.  A
 block holds whole documents, its ids interleaved over LANES coder states of 64
 bits that share one stream of 32-bit words.  Every CHECKPOINT_STEPS steps the
 states and the stream position are kept, so a decoder can start in the middle
 (``decode_ids(block, first, last)``) and parts of a block can be decoded in
-parallel.  The checksum of every block is verified when it is read.
+parallel.  The checksums of every block are verified when it is read.
 
 Defined cases: a NULL text is empty and gives only the end id; a NULL doc_id
 sorts first; rows of equal doc_id are ordered by the hash of the text and the
@@ -195,7 +195,7 @@ def decode_ids(table: Table, block: Block, first: int = 0, last: int | None = No
 # --- shard images ---------------------------------------------------------
 
 _HEAD = struct.Struct("<III")
-_BLOCK = struct.Struct("<IIIIII")
+_BLOCK = struct.Struct("<IIIIIII")
 
 
 def shard_image(docs: list[tuple[int | None, bytes]]) -> bytes:
@@ -210,11 +210,12 @@ def shard_image(docs: list[tuple[int | None, bytes]]) -> bytes:
         part = docs[first:stop]
         raw = b"".join(b for _, b in part)
         block = encode_ids(table, np.frombuffer(raw, "<u4"))
-        heads.append(_BLOCK.pack(len(part), n, len(block.words), block.states.shape[1], len(block.offsets), zlib.crc32(raw)))
-        bodies.append(b"".join([
+        body = b"".join([
             np.array([i or 0 for i, _ in part], "<i8").tobytes(), np.array([i is not None for i, _ in part], np.uint8).tobytes(),
             np.array([len(b) // 4 for _, b in part], "<u4").tobytes(), block.offsets.astype("<u4").tobytes(),
-            block.states.astype("<u8").tobytes(), block.words.astype("<u4").tobytes()]))
+            block.states.astype("<u8").tobytes(), block.words.astype("<u4").tobytes()])
+        heads.append(_BLOCK.pack(len(part), n, len(block.words), block.states.shape[1], len(block.offsets), zlib.crc32(raw), zlib.crc32(body)))
+        bodies.append(body)
         first = stop
     return b"".join([_HEAD.pack(MAGIC, len(table.symbols), len(heads)), table.symbols.astype("<u4").tobytes(),
                      table.freq.astype("<u4").tobytes(), *heads, *bodies])
@@ -236,7 +237,10 @@ def read_shard(image: bytes):
     table = Table(take("<u4", n_symbols), take("<u4", n_symbols))
     heads = [_BLOCK.unpack_from(image, at + i * _BLOCK.size) for i in range(n_blocks)]
     at += n_blocks * _BLOCK.size
-    for docs, n_ids, n_words, lanes, checks, crc in heads:
+    for docs, n_ids, n_words, lanes, checks, crc, body_crc in heads:
+        size = docs * 13 + checks * (4 + 8 * lanes) + n_words * 4
+        if zlib.crc32(memoryview(image)[at:at + size]) != body_crc:
+            raise ValueError("token block is damaged")
         doc_ids, known, lengths = take("<i8", docs), take(np.uint8, docs), take("<u4", docs)
         offsets, states = take("<u4", checks), take("<u8", checks * lanes).reshape(checks, lanes)
         ids = decode_ids(table, Block(n_ids, offsets, states, take("<u4", n_words))).astype("<u4")
