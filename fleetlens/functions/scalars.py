@@ -55,8 +55,15 @@ def strict_date(col, fmt: str = "yyyy-MM-dd") -> Column:
 
 
 def lenient_cast(col, dtype: str) -> Column:
-    """Cast that yields NULL for values that do not parse."""
-    return F.try_cast(_c(col), dtype) if hasattr(F, "try_cast") else _c(col).try_cast(dtype)
+    """Cast that yields NULL for values that do not parse.
+
+    A whole number written with decimals ('1.0', as exports of a nullable id
+    column have it) is a BIGINT; one with a fraction is not.
+    """
+    if dtype != "bigint":
+        return _c(col).try_cast(dtype)
+    number = _c(col).try_cast("decimal(38,10)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def seconds_to_hms(col) -> Column:
@@ -66,11 +73,6 @@ def seconds_to_hms(col) -> Column:
                            ((s % 3600) / 60).cast("int"), (s % 60).cast("int"))
 
 
-def add_minutes_wrapped(sec_col, minutes_col) -> Column:
-    """Time of day plus minutes, wrapping at midnight like wall-clock time."""
-    return F.pmod(_c(sec_col) + _c(minutes_col) * 60, F.lit(SECONDS_PER_DAY)).cast("int")
-
-
 def null_skipping_concat(*cols) -> Column:
     """CONCAT that treats NULL as empty text (never returns NULL)."""
     return F.concat_ws("", *[_c(c) for c in cols])

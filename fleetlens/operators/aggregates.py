@@ -277,7 +277,7 @@ def kpi_suite(bus, maintenance, legacy_trip, as_of) -> DataFrame:
             parts.append(wide.selectExpr(f"stack({len(names)}, {args}) AS (metric, value)")
                          .withColumn("error", F.lit(None).cast("string")))
         except AnalysisException as e:  # missing table or column: report, keep going
-            parts.append((names, str(e).splitlines()[0][:500]))
+            parts.append((names, str(e)))
     if spark is None:
         raise ValueError("no KPI input could be read")
     out = None

@@ -1,14 +1,13 @@
 """Classification operators: target flags, warnings, traffic lights and the
-trip-level rules of the fleet timetable (weekend, hour band, derived times
-and status, capped ticket sample)."""
+trip-level rules of the fleet timetable (weekend, hour band, derived status)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import exact_avg
-from fleetlens.functions.scalars import add_minutes_wrapped, dayofweek_is_weekend
+from fleetlens.functions.scalars import dayofweek_is_weekend
 from fleetlens.schemas import (DELAY_LIMIT_MIN, PUNCTUALITY_TARGET_PCT, TARGET_CRITICAL, TARGET_OK,
                                TRIP_STATUS_CANCELLED, TRIP_STATUS_LATE, TRIP_STATUS_ON_SCHEDULE)
 
@@ -22,8 +21,6 @@ OCCUPANCY_GREEN = (60, 80)
 # Hour bands of the timetable: peak 7-9 and 16-18, night from 22 to 5.
 PEAK_HOURS = ((7, 9), (16, 18))
 NIGHT_FROM, NIGHT_TO = 22, 5
-# Planned minutes per km.
-MINUTES_PER_KM = 2.8
 
 
 def target_flag(col, target: float = PUNCTUALITY_TARGET_PCT) -> Column:
@@ -98,22 +95,6 @@ def hour_band_summary(trip: DataFrame) -> DataFrame:
                  exact_avg("occupancy_pct", 2).alias("avg_occupancy")))
 
 
-def derive_times(trip: DataFrame) -> DataFrame:
-    """Planned duration int(km * 2.8) minutes from the planned start; actual
-    start = planned start + max(0, delay); actual end = planned end + delay;
-    all times of day wrap at midnight."""
-    duration = (F.col("km") * F.lit(MINUTES_PER_KM).cast("decimal(2,1)")).cast("int")
-    delay = F.col("delay_min")
-    planned_end = add_minutes_wrapped(F.col("start_sec"), duration)
-    return trip.select(
-        "trip_id",
-        duration.alias("planned_duration_min"),
-        planned_end.alias("planned_end_sec"),
-        add_minutes_wrapped(F.col("start_sec"), F.greatest(delay, F.lit(0))).alias("actual_start_sec"),
-        add_minutes_wrapped(planned_end, delay).alias("actual_end_sec"),
-    )
-
-
 def derive_status(trip: DataFrame, threshold: int = 5) -> DataFrame:
     """Status from the delay (cancelled kept, late from ``threshold`` minutes)
     and whether it agrees with the stored status.  NULL delay -> NULL."""
@@ -124,19 +105,3 @@ def derive_status(trip: DataFrame, threshold: int = 5) -> DataFrame:
                .otherwise(F.lit(TRIP_STATUS_ON_SCHEDULE)))
     return trip.select("trip_id", "status", derived.alias("derived_status"),
                        (derived == s).alias("status_matches"))
-
-
-def sample_per_group(ticket: DataFrame, trip: DataFrame, cap: int, order) -> DataFrame:
-    """At most min(boardings, cap) tickets per trip, first by ``order``.
-
-    The literal ``rn <= cap`` lets Spark insert a WindowGroupLimit before the
-    shuffle, so a trip with millions of tickets contributes at most ``cap``
-    rows per map partition; the boardings cap is applied after joining the
-    already reduced tickets to the trips.
-    """
-    w = Window.partitionBy("trip_id").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    ranked = ticket.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap)
-    limits = trip.select("trip_id", "boardings")
-    return (ranked.join(limits, "trip_id")
-            .where(F.col("_rn") <= F.col("boardings"))
-            .drop("_rn", "boardings"))

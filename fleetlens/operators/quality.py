@@ -28,6 +28,17 @@ def duplicates(df: DataFrame, keys) -> DataFrame:
             .where(F.col("dup_count") > 1))
 
 
+def key_violations(checks) -> DataFrame:
+    """Repeated values of each key as (key_name, key_value text, dup_count);
+    ``checks`` = (name, frame, column).  NULL keys are not compared."""
+    out = None
+    for name, df, col in checks:
+        one = (duplicates(df.where(F.col(col).isNotNull()), [col])
+               .select(F.lit(name).alias("key_name"), F.col(col).cast("string").alias("key_value"), "dup_count"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def null_counts(df: DataFrame, cols) -> DataFrame:
     """NULL count per column (one aggregate pass), one row per column."""
     wide = df.agg(*[count_if(F.col(c).isNull()).cast("bigint").alias(f"_n{i}") for i, c in enumerate(cols)])

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from fleetlens.functions.measures import avg_delay, decimal_sum, exact_avg, on_time_rate
 from fleetlens.functions.scalars import fixed_digits, thousands
 from fleetlens.operators.aggregates import bus_status_counts, occupancy_and_km, overview_and_report_kpi
-from fleetlens.operators.topk import overdue_list, recent_with_plate, top_odometer
+from fleetlens.operators.filters import overdue
+from fleetlens.operators.joins import with_plate
+from fleetlens.operators.topk import overdue_list, top_odometer
 from fleetlens.schemas import (DASHBOARD_TILES, DELAY_LIMIT_MIN, NO_PROBLEM_LINES,
                                PROBLEM_LINE_TEMPLATE, PUNCTUALITY_TARGET_PCT, REPORT_KIND_LABELS,
                                REPORT_TILES)
@@ -117,17 +119,16 @@ def metric_table(trend_latest: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(rows)}, {args}) AS (metric, value, trend, status)")
 
 
-def report_manifest(frames: dict, kind: str, run_ts: _dt.datetime,
+def report_manifest(written: DataFrame, kind: str, run_ts: _dt.datetime,
                     tz: str = "Europe/Berlin") -> DataFrame:
     """Per dataset of a report run: row count, kind label, period and
     creation time in the local zone, and a no-data marker.
 
-    ``run_ts`` is a UTC timestamp passed in (never the clock inside)."""
+    ``written`` is what ``write_report`` returns, so the counts are those of
+    the written files and no source is read again; ``run_ts`` is a UTC
+    timestamp passed in (never the clock inside)."""
     label = REPORT_KIND_LABELS.get(kind, REPORT_KIND_LABELS["monthly"])
-    parts = None
-    for name, df in frames.items():
-        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("dataset"), "row_count")
-        parts = one if parts is None else parts.unionByName(one)
+    parts = written.select("dataset", "row_count")
     utc_wall = F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall)  # session-zone independent
     return parts.select(
@@ -140,33 +141,12 @@ def report_manifest(frames: dict, kind: str, run_ts: _dt.datetime,
 
 
 def fleet_snapshot(bus: DataFrame, maintenance: DataFrame, legacy_trip: DataFrame,
-                   as_of: _dt.date, n_list: int = 10) -> DataFrame:
-    """One nested record: bus counts, average occupancy, total km, and the
-    arrays of overdue maintenance, recent trips and high-odometer buses.
-
-    The scalar parts are one-row aggregates and the arrays come from top-n
-    frames; they are combined by a union and a global ``first`` (no cross
-    join)."""
-    counts = bus_status_counts(bus)
-    totals = occupancy_and_km(legacy_trip)
-    overdue = (overdue_list(maintenance, bus, as_of)
-               .orderBy(F.col("next_due").asc_nulls_last(), F.col("maintenance_id").asc()).limit(n_list))
-
-    def ranked_array(df: DataFrame, order, name: str) -> DataFrame:
-        w = Window.orderBy(*order)
-        r = df.withColumn("_rank", F.row_number().over(w))
-        fields = [c for c in df.columns]
-        return r.agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.struct(*fields).alias("v")))),
-                                 lambda x: x["v"]).alias(name))
-
-    arrays = [
-        ranked_array(overdue, [F.col("next_due").asc_nulls_last(), F.col("maintenance_id")], "overdue"),
-        ranked_array(recent_with_plate(legacy_trip, bus, n_list),
-                     [F.col("service_date").desc(), F.col("plate")], "recent_trips"),
-        ranked_array(top_odometer(bus, n_list), [F.col("odometer_km").desc(), F.col("bus_id")],
-                     "high_odometer"),
-    ]
-    parts = [counts, totals] + arrays
+                   as_of: _dt.date) -> DataFrame:
+    """One record: bus counts, overdue maintenance, average occupancy and total
+    km, from one scan of each table.  The one-row parts are combined by a union
+    and a global ``first`` (no cross join)."""
+    parts = [bus_status_counts(bus), occupancy_and_km(legacy_trip),
+             overdue(maintenance, as_of).agg(F.count(F.lit(1)).alias("overdue_maintenance"))]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p, allowMissingColumns=True)
@@ -175,21 +155,59 @@ def fleet_snapshot(bus: DataFrame, maintenance: DataFrame, legacy_trip: DataFram
         "report_date", F.date_format(F.lit(as_of), "dd.MM.yyyy"))
 
 
+def fleet_snapshot_lists(bus: DataFrame, maintenance: DataFrame, legacy_trip: DataFrame,
+                         as_of: _dt.date, n_list: int = 10) -> DataFrame:
+    """The lists beside the record as (list, place, ref_id, plate, day, value):
+    every overdue maintenance (no place), and the top ``n_list`` recent trips
+    and odometer readings in order."""
+    late = overdue_list(maintenance, bus, as_of).select(
+        F.lit("overdue").alias("list"), F.lit(None).cast("int").alias("place"), F.col("maintenance_id").alias("ref_id"),
+        "plate", F.col("next_due").alias("day"), F.col("kind").alias("value"))
+
+    def ranked(df: DataFrame, order, name: str, ref, day, value) -> DataFrame:
+        # a top-n frame, so the window sees n_list rows
+        place = F.row_number().over(Window.orderBy(*order))
+        return df.select(F.lit(name).alias("list"), place.alias("place"), ref.cast("bigint").alias("ref_id"), "plate",
+                         day.cast("date").alias("day"), value.cast("string").alias("value"))
+
+    none = F.lit(None)
+    newest = [F.col("service_date").desc_nulls_first(), F.col("trip_id").desc()]
+    trips = with_plate(legacy_trip.orderBy(*newest).limit(n_list), bus)
+    return (late.unionByName(ranked(trips, newest, "recent_trips", F.col("trip_id"), F.col("service_date"), F.col("line")))
+            .unionByName(ranked(top_odometer(bus, n_list), [F.col("odometer_km").desc(), F.col("bus_id")], "high_odometer",
+                                F.col("bus_id"), none, F.col("odometer_km"))))
+
+
 PERIOD_UNITS = ("day", "week", "month")
 
 
-def period_report(trip: DataFrame, period: str = "month", start: _dt.date | None = None,
-                  end: _dt.date | None = None) -> DataFrame:
-    """Report KPIs per day, week (Monday start) or month, optionally restricted
-    to ``start <= service_date < end`` (a pushed-down date filter)."""
+def _in_periods(trip: DataFrame, period: str, start, end) -> tuple[DataFrame, Column]:
     if period not in PERIOD_UNITS:
         raise ValueError(f"period must be one of {PERIOD_UNITS}")
-    src = trip
     if start is not None:
-        src = src.where(F.col("service_date") >= F.lit(start))
+        trip = trip.where(F.col("service_date") >= F.lit(start))
     if end is not None:
-        src = src.where(F.col("service_date") < F.lit(end))
-    bucket = F.to_date(F.date_trunc(period, F.col("service_date")))
+        trip = trip.where(F.col("service_date") < F.lit(end))
+    return trip, F.to_date(F.date_trunc(period, F.col("service_date")))
+
+
+def period_line_report(trip: DataFrame, period: str = "month", start: _dt.date | None = None,
+                       end: _dt.date | None = None) -> DataFrame:
+    """The report's table of lines, for each period: trips, average delay and
+    punctuality of each line."""
+    src, bucket = _in_periods(trip, period, start, end)
+    return (src.groupBy(bucket.alias("period_start"), "line")
+            .agg(F.count(F.lit(1)).alias("trips"),
+                 avg_delay("delay_min", "null_as_zero", 1).alias("avg_delay_min"),
+                 on_time_rate("delay_min", null_is_on_time=True, digits=1).alias("on_time_pct"))
+            .orderBy("period_start", "line"))
+
+
+def period_report(trip: DataFrame, period: str = "month", start: _dt.date | None = None,
+                  end: _dt.date | None = None) -> DataFrame:
+    """Report KPIs per day, week (Monday start) or month, optionally restricted
+    to ``start <= service_date < end`` (a pushed-down date filter)."""
+    src, bucket = _in_periods(trip, period, start, end)
     return (src.groupBy(bucket.alias("period_start"))
             .agg(F.count(F.lit(1)).alias("trips"),
                  F.sum("boardings").cast("bigint").alias("boardings"),

@@ -10,11 +10,13 @@ old one into a new directory.
 from __future__ import annotations
 
 import datetime as _dt
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.schemas import TRIP_EVOLUTION
+from fleetlens.session import checkpoint_root
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -28,14 +30,9 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def partition_values(spark: SparkSession, path: str, col: str, cast=str) -> list:
-    """The values of partition column ``col`` of a table written with
-    ``partitionBy(col)``, sorted, read from the directory names (a listing of
-    one level, no data scan)."""
-    fs, root, _ = _fs(spark, path)
-    prefix = f"{col}="
-    names = [st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()]
-    return sorted(cast(n[len(prefix):]) for n in names if n.startswith(prefix))
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target, _ = _fs(spark, path)
+    return fs.exists(target)
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -61,22 +58,65 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         fs.delete(previous, True)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys) -> DataFrame:
+def split_null_keys(df: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """(rows with all keys, rows with a NULL key).  A NULL key matches nothing,
+    so those rows need no shuffle, and however many there are they cannot meet
+    in one task of a join."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return df.where(known), df.where(~known)
+
+
+def check_unique(df: DataFrame, keys) -> None:
+    """Fail if two rows have the same key (as ON CONFLICT does)."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"incoming rows repeat the key {list(keys)}: {[tuple(r)[:-1] for r in twice]}")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys, check: bool = True) -> DataFrame:
     """Insert new keys, replace every non-key column of existing keys.
 
     ``existing`` rows whose key arrives again are removed by an anti join on
     the keys (shuffle by key on both sides), then the incoming rows are
-    appended by name.  Incoming rows are assumed unique per key.
+    appended by name.  Incoming rows that repeat a key are an error; ``check``
+    = False leaves that test to the caller.
     """
-    keep = existing.join(incoming.select(*keys), list(keys), "left_anti")
-    return keep.unionByName(incoming.select(*existing.columns))
+    if check:
+        check_unique(incoming, keys)
+    with_key, without = split_null_keys(existing, keys)
+    keep = with_key.join(incoming.select(*keys), list(keys), "left_anti")
+    return keep.unionByName(without).unionByName(incoming.select(*existing.columns))
+
+
+def upsert_table(incoming: DataFrame, path: str, keys, partition_col: str) -> None:
+    """On-disk upsert of a Parquet table partitioned by ``partition_col``.
+
+    Only the partitions that ``incoming`` touches are read (partition pruning)
+    and replaced (dynamic partition overwrite); a missing table is created.
+    The incoming rows are computed once and the new partitions are complete in
+    the shared checkpoint folder before the old ones are replaced, so nothing
+    is read and overwritten in one job and a repeated call gives the same
+    table.
+    """
+    spark = incoming.sparkSession
+    incoming = _stored(incoming)
+    check_unique(incoming, keys)
+    fs, target, _ = _fs(spark, path)
+    new = incoming
+    if fs.exists(target):
+        # one value per partition directory, as literals: they prune the scan's directories
+        touched = [r[0] for r in incoming.select(partition_col).distinct().collect()]
+        old = spark.read.schema(incoming.schema).parquet(path).where(F.col(partition_col).isin(touched))
+        new = _stored(upsert(old, incoming, keys, check=False))
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))
 
 
-def upsert_partitions(incoming: DataFrame, path: str, partition_col: str) -> None:
-    """On-disk upsert for tables partitioned by the key: dynamic partition
-    overwrite replaces only the partitions present in ``incoming``."""
-    (incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
+def _stored(df: DataFrame) -> DataFrame:
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def materialize(df: DataFrame, path: str, partition_by=()) -> DataFrame:
@@ -124,7 +164,9 @@ def cascade_delete(parent: DataFrame, child: DataFrame, pred, key: str):
     """Delete parents matching ``pred`` and, with them, their children.
     Returns (remaining parents, remaining children)."""
     doomed = parent.where(pred).select(key)
-    return parent.where(~F.coalesce(pred, F.lit(False))), child.join(doomed, key, "left_anti")
+    with_key, without = split_null_keys(child, [key])
+    rest = with_key.join(doomed, key, "left_anti").select(*child.columns).unionByName(without)
+    return parent.where(~F.coalesce(pred, F.lit(False))), rest
 
 
 def load_audit(tables: dict) -> DataFrame:
@@ -166,18 +208,20 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str = "trip_id",
      .option("path", path).saveAsTable(table))
 
 
-def write_report(frames: dict, out: str, run_ts: _dt.datetime, kind: str) -> DataFrame:
+def write_report(frames: dict, out: str, run_ts: _dt.datetime, kind: str, fmt: str = "parquet",
+                 tz: str = "Europe/Berlin") -> DataFrame:
     """Persist each report dataset under ``<out>/<kind>_<YYYY-MM-DD_HH-MM>/<name>``
-    and return (dataset, path, row_count) read back from what was written."""
-    stamp = run_ts.strftime("%Y-%m-%d_%H-%M")
+    as Parquet, CSV (with header) or JSON, and return (dataset, path,
+    row_count) counted from what was written.  ``run_ts`` is UTC; the stamp is
+    the wall clock of ``tz``."""
+    stamp = run_ts.replace(tzinfo=_dt.timezone.utc).astimezone(ZoneInfo(tz)).strftime("%Y-%m-%d_%H-%M")
     base = f"{out.rstrip('/')}/{kind}_{stamp}"
-    spark = None
     parts = None
     for name, df in frames.items():
-        spark = df.sparkSession
         path = f"{base}/{name}"
-        df.write.mode("errorifexists").parquet(path)
-        one = (spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+        df.write.mode("errorifexists").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+        reader = df.sparkSession.read.schema(df.schema).format(fmt).options(**({"header": True} if fmt == "csv" else {}))
+        one = (reader.load(path).agg(F.count(F.lit(1)).alias("row_count"))
                .select(F.lit(name).alias("dataset"), F.lit(path).alias("path"), "row_count"))
         parts = one if parts is None else parts.unionByName(one)
     return parts

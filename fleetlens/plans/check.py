@@ -89,7 +89,7 @@ def compare(spark, con, key, build, sql, sf_dir):
             problems.append(f"values differ: spark-only {sorted(a - b)[:3]} duck-only {sorted(b - a)[:3]}")
     if len(s_rows) != len(d_rows):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
-    out["status"] = "ok" if not problems else "FAIL"
+    out["status"] = "ok" if not problems and "type_mismatch" not in out else "FAIL"
     if problems:
         out["problems"] = problems
     return out

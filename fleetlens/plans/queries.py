@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import STRIP_PATTERN, lenient_cast, lenient_time_seconds, seconds_to_hms
@@ -24,9 +25,11 @@ from fleetlens.operators import tables as tbl
 from fleetlens.operators import text as txt
 from fleetlens.operators import topk
 from fleetlens.operators import windows as win
-from fleetlens.plans.oracle_sql import MAINTENANCE_AS_OF, TRIP_AS_OF, avg2, avg_int, on_time, rnd, with_tables
+from fleetlens.operators.batch_import import import_batch
+from fleetlens.plans.oracle_sql import (BINDINGS, MAINTENANCE_AS_OF, TRIP_AS_OF, avg2, avg_int, lenient_bigint, on_time, rnd,
+                                        with_tables)
 from fleetlens.plans.registry import register
-from fleetlens.schemas import (KPI_SERIES_DISPLAY, RECENT_TRIP_DISPLAY, TICKET, TICKET_ORDER, TRIP,
+from fleetlens.schemas import (DAILY_KPI, KPI_SERIES_DISPLAY, RECENT_TRIP_DISPLAY, TICKET, TICKET_ORDER, TRIP,
                                TRIP_LIMITS)
 from fleetlens.session import scratch_path
 from fleetlens.sources import bindings as bnd
@@ -35,7 +38,7 @@ from fleetlens.sources.depots import union_depots
 from fleetlens.sources.files import read_tickets_csv, read_trips_csv, write_csv
 from fleetlens.sources.sql import run_sql
 from fleetlens.streaming.daily_revenue import stream_daily_revenue
-from fleetlens.streaming.upsert_kpi import stream_upsert_kpi
+from fleetlens.streaming.upsert_kpi import MONTH, stream_upsert_kpi, with_month
 
 T = FleetTables
 
@@ -277,11 +280,11 @@ def q_last_n_days(spark, d):
     return flt.since(T(spark, d).trip, "service_date", bnd.TRIP_AS_OF, 7)
 
 
-@register("filter_known_trips", with_tables("ticket", "known_trip") + """
-SELECT * FROM ticket WHERE trip_id IN (SELECT trip_id FROM known_trip)""")
+@register("filter_known_trips", with_tables("stray_ticket", "trip") + """
+SELECT * FROM stray_ticket WHERE trip_id IN (SELECT trip_id FROM trip)""")
 def q_known_trips(spark, d):
     t = T(spark, d)
-    return jn.keep_known(t.ticket, t.known_trip, "trip_id")
+    return jn.keep_known(t.stray_ticket, t.trip, "trip_id")
 
 
 @register("filter_not_cancelled", with_tables("trip") + """
@@ -310,12 +313,12 @@ def q_revenue_per_trip(spark, d):
     return jn.with_revenue(t.trip, t.ticket).select("trip_id", "service_date", "revenue")
 
 
-@register("join_orphans_anti", with_tables("ticket", "known_trip") + """
-SELECT * FROM ticket c WHERE c.trip_id IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM known_trip p WHERE p.trip_id = c.trip_id)""")
+@register("join_orphans_anti", with_tables("stray_ticket", "trip") + """
+SELECT * FROM stray_ticket c WHERE c.trip_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM trip p WHERE p.trip_id = c.trip_id)""")
 def q_orphans(spark, d):
     t = T(spark, d)
-    return jn.orphans(t.ticket, t.known_trip, "trip_id")
+    return jn.orphans(t.stray_ticket, t.trip, "trip_id")
 
 
 # --------------------------------------------------------------------------
@@ -453,10 +456,20 @@ def q_overdue_list(spark, d):
 # --------------------------------------------------------------------------
 
 
-@register("dq_pk_unique", with_tables("ticket") + """
-SELECT trip_id, validated_at, COUNT(*) AS dup_count FROM ticket GROUP BY trip_id, validated_at HAVING COUNT(*) > 1""")
+@register("dq_pk_unique", DAILY.replace("WITH trip", f"WITH bus AS ({BINDINGS['bus']}\n),\ntrip", 1) + """
+, twice AS (SELECT *, unnest(CASE WHEN trip_id % 1000 = 1 THEN [1, 2] ELSE [1] END) AS copy FROM trip)
+SELECT 'trip.trip_id' AS key_name, CAST(trip_id AS VARCHAR) AS key_value, COUNT(*) AS dup_count FROM twice GROUP BY trip_id HAVING COUNT(*) > 1
+UNION ALL SELECT 'daily_kpi.service_date', CAST(service_date AS VARCHAR), COUNT(*) FROM daily GROUP BY service_date HAVING COUNT(*) > 1
+UNION ALL SELECT 'bus.plate', plate, COUNT(*) FROM (SELECT concat('P', CAST(odometer_km % 100000 AS VARCHAR)) AS plate FROM bus)
+  GROUP BY plate HAVING COUNT(*) > 1""")
 def q_pk_unique(spark, d):
-    return dq.duplicates(T(spark, d).ticket, ["trip_id", "validated_at"])
+    """The trip key (every 1000th trip twice, as the test table's is unique),
+    the day key of the KPI table, and UNIQUE(plate) on shortened plates."""
+    t = T(spark, d)
+    copies = F.when(F.col("trip_id") % 1000 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    plates = t.bus.select(F.concat(F.lit("P"), (F.col("odometer_km") % 100000).cast("string")).alias("plate"))
+    return dq.key_violations([("trip.trip_id", t.trip.select("trip_id", F.explode(copies)), "trip_id"),
+                              ("daily_kpi.service_date", _daily(t), "service_date"), ("bus.plate", plates, "plate")])
 
 
 _NN_COLS = ("trip_id", "service_date", "line", "start_sec", "delay_min", "energy_kwh", "status")
@@ -469,16 +482,16 @@ def q_not_null(spark, d):
     return dq.null_counts(T(spark, d).trip, list(_NN_COLS))
 
 
-@register("dq_foreign_key", with_tables("ticket", "known_trip", "trip", "bus", "maintenance") + """
-SELECT 'ticket.trip_id' AS fk_name, COUNT(*) AS orphan_count FROM ticket c
-  WHERE c.trip_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known_trip p WHERE p.trip_id = c.trip_id)
+@register("dq_foreign_key", with_tables("stray_ticket", "trip", "bus", "maintenance") + """
+SELECT 'ticket.trip_id' AS fk_name, COUNT(*) AS orphan_count FROM stray_ticket c
+  WHERE c.trip_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM trip p WHERE p.trip_id = c.trip_id)
 UNION ALL SELECT 'trip.bus_id', COUNT(*) FROM trip c
   WHERE c.bus_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bus p WHERE p.bus_id = c.bus_id)
 UNION ALL SELECT 'maintenance.bus_id', COUNT(*) FROM maintenance c
   WHERE c.bus_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bus p WHERE p.bus_id = c.bus_id)""")
 def q_foreign_key(spark, d):
     t = T(spark, d)
-    return dq.orphan_counts([("ticket.trip_id", t.ticket, t.known_trip, "trip_id"),
+    return dq.orphan_counts([("ticket.trip_id", t.stray_ticket, t.trip, "trip_id"),
                              ("trip.bus_id", t.trip, t.bus, "bus_id"),
                              ("maintenance.bus_id", t.maintenance, t.bus, "bus_id")])
 
@@ -514,7 +527,7 @@ _TIME_OK = f"COALESCE({_time_part(1)} < 24 AND {_time_part(2)} < 60 AND {_time_p
 
 
 @register("dq_coerce_report", with_tables("raw_ticket") + f"""
-SELECT 'trip_id' AS column_name, CAST(COUNT(*) FILTER (WHERE trip_id_raw IS NOT NULL AND TRY_CAST(trip_id_raw AS BIGINT) IS NULL) AS BIGINT) AS lost_count FROM raw_ticket
+SELECT 'trip_id' AS column_name, CAST(COUNT(*) FILTER (WHERE trip_id_raw IS NOT NULL AND ({lenient_bigint('trip_id_raw')}) IS NULL) AS BIGINT) AS lost_count FROM raw_ticket
 UNION ALL SELECT 'amount_eur', CAST(COUNT(*) FILTER (WHERE amount_raw IS NOT NULL AND TRY_CAST(amount_raw AS DECIMAL(12,2)) IS NULL) AS BIGINT) FROM raw_ticket
 UNION ALL SELECT 'validated_time', CAST(COUNT(*) FILTER (WHERE time_raw IS NOT NULL AND NOT {_TIME_OK}) AS BIGINT) FROM raw_ticket""")
 def q_coerce_report(spark, d):
@@ -600,16 +613,6 @@ def q_hour_band(spark, d):
     return cls.hour_band_summary(T(spark, d).trip)
 
 
-@register("derive_trip_times", with_tables("trip") + """
-SELECT trip_id, dur AS planned_duration_min, pe AS planned_end_sec,
-       CAST((((start_sec + GREATEST(delay_min, 0) * 60) % 86400) + 86400) % 86400 AS INT) AS actual_start_sec,
-       CAST((((pe + delay_min * 60) % 86400) + 86400) % 86400 AS INT) AS actual_end_sec
-FROM (SELECT *, CAST((((start_sec + dur * 60) % 86400) + 86400) % 86400 AS INT) AS pe
-      FROM (SELECT *, CAST(trunc(km * CAST(2.8 AS DECIMAL(2,1))) AS INT) AS dur FROM trip))""")
-def q_trip_times(spark, d):
-    return cls.derive_times(T(spark, d).trip)
-
-
 @register("derive_status", with_tables("trip") + """
 SELECT trip_id, status, derived_status, derived_status = status AS status_matches FROM (
 SELECT *, CASE WHEN status = 'ausgefallen' THEN 'ausgefallen' WHEN delay_min IS NULL THEN NULL
@@ -618,16 +621,6 @@ def q_derive_status(spark, d):
     return cls.derive_status(T(spark, d).trip)
 
 
-@register("capped_ticket_sample", with_tables("ticket", "trip") + f"""
-SELECT c.trip_id, c.validated_at, c.fare_type, c.amount_eur, c.payment_method, c.stop
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY {_ORDER_NF}) AS rn FROM ticket) c
-JOIN trip p ON c.trip_id = p.trip_id
-WHERE c.rn <= 10 AND c.rn <= p.boardings""")
-def q_capped_sample(spark, d):
-    t = T(spark, d)
-    return cls.sample_per_group(t.ticket, t.trip, 10, TICKET_ORDER)
-
-
 # --------------------------------------------------------------------------
 # report assembly and text
 # --------------------------------------------------------------------------
@@ -693,44 +686,57 @@ def q_report_manifest(spark, d):
     trip = T(spark, d).trip
     frames = {"report_kpi": agg.report_kpi(trip), "recent_trips": topk.top_recent_formatted(trip, 15),
               "line_report": agg.line_report(trip)}
-    return rpt.report_manifest(frames, "weekly", RUN_TS)
+    written = tbl.write_report(frames, scratch_path(spark, "reports"), RUN_TS, "weekly", fmt="json")
+    return rpt.report_manifest(written, "weekly", RUN_TS)
 
 
 @register("fleet_snapshot", with_tables("bus", "maintenance", "trip", extra=(("ov", _OVERDUE_LIST_SQL),)) + f"""
 SELECT (SELECT COUNT(*) FROM bus) AS total_buses,
        (SELECT COUNT(*) FILTER (WHERE status = 'aktiv') FROM bus) AS active_buses,
        (SELECT COUNT(*) FILTER (WHERE status = 'in_wartung') FROM bus) AS in_maintenance,
+       (SELECT COUNT(*) FROM ov) AS overdue_maintenance,
        (SELECT {avg2('occupancy_pct', 2)} FROM trip) AS avg_occupancy,
        (SELECT CAST(COALESCE(SUM(km), 0) AS DECIMAL(22,2)) FROM trip) AS total_km,
-       (SELECT LEAST(COUNT(*), 10) FROM ov) AS n_overdue,
-       (SELECT maintenance_id FROM ov ORDER BY next_due ASC NULLS LAST, maintenance_id LIMIT 1) AS first_overdue_id,
-       (SELECT LEAST(COUNT(*), 10) FROM trip) AS n_recent,
-       (SELECT MAX(service_date) FROM trip) AS newest_trip_date,
-       (SELECT LEAST(COUNT(*), 10) FROM bus) AS n_high_odometer,
-       (SELECT plate FROM bus ORDER BY odometer_km DESC NULLS LAST, bus_id LIMIT 1) AS top_odometer_plate,
        '20.01.2024' AS report_date""")
 def q_fleet_snapshot(spark, d):
     t = T(spark, d)
-    snap = rpt.fleet_snapshot(t.bus, t.maintenance, t.legacy_trip, bnd.MAINTENANCE_AS_OF, 10)
-    return snap.select(
-        "total_buses", "active_buses", "in_maintenance", "avg_occupancy", "total_km",
-        F.size("overdue").cast("bigint").alias("n_overdue"),
-        F.col("overdue")[0]["maintenance_id"].alias("first_overdue_id"),
-        F.size("recent_trips").cast("bigint").alias("n_recent"),
-        F.col("recent_trips")[0]["service_date"].alias("newest_trip_date"),
-        F.size("high_odometer").cast("bigint").alias("n_high_odometer"),
-        F.col("high_odometer")[0]["plate"].alias("top_odometer_plate"),
-        "report_date")
-
-
-@register("period_report", with_tables("trip") + f"""
-SELECT CAST(date_trunc('month', service_date) AS DATE) AS period_start, COUNT(*) AS trips,
+    return rpt.fleet_snapshot(t.bus, t.maintenance, t.legacy_trip, bnd.MAINTENANCE_AS_OF)
+
+
+@register("fleet_snapshot_lists", with_tables("bus", "maintenance", "trip", extra=(("ov", _OVERDUE_LIST_SQL),)) + """
+SELECT 'overdue' AS list, CAST(NULL AS INT) AS place, maintenance_id AS ref_id, plate, next_due AS day, kind AS value FROM ov
+UNION ALL SELECT 'recent_trips', CAST(place AS INT), t.trip_id, COALESCE(b.plate, 'Unbekannt'), t.service_date, t.line
+  FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY service_date DESC NULLS FIRST, trip_id DESC) AS place FROM trip) t
+  LEFT JOIN bus b ON t.bus_id = b.bus_id WHERE place <= 10
+UNION ALL SELECT 'high_odometer', CAST(place AS INT), bus_id, plate, NULL, CAST(odometer_km AS VARCHAR)
+  FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY odometer_km DESC NULLS LAST, bus_id) AS place FROM bus) WHERE place <= 10""")
+def q_fleet_snapshot_lists(spark, d):
+    t = T(spark, d)
+    return rpt.fleet_snapshot_lists(t.bus, t.maintenance, t.legacy_trip, bnd.MAINTENANCE_AS_OF, 10)
+
+
+def _period_sql(unit: str) -> str:
+    return with_tables("trip") + f"""
+SELECT CAST(date_trunc('{unit}', service_date) AS DATE) AS period_start, COUNT(*) AS trips,
        CAST(SUM(boardings) AS BIGINT) AS boardings, {avg2('occupancy_pct', 1)} AS avg_occupancy,
        {avg_int('COALESCE(delay_min, 0)', 1, 'COUNT(*)')} AS avg_delay_min,
        CAST(ROUND(SUM(km), 0) AS DECIMAL(22,0)) AS total_km, {on_time(1)} AS on_time_pct
-FROM trip GROUP BY 1""")
-def q_period_report(spark, d):
-    return rpt.period_report(T(spark, d).trip, "month")
+FROM trip GROUP BY 1"""
+
+
+def _period_line_sql(unit: str) -> str:
+    return with_tables("trip") + f"""
+SELECT CAST(date_trunc('{unit}', service_date) AS DATE) AS period_start, line, COUNT(*) AS trips,
+       {avg_int('COALESCE(delay_min, 0)', 1, 'COUNT(*)')} AS avg_delay_min, {on_time(1)} AS on_time_pct
+FROM trip GROUP BY 1, 2"""
+
+
+# period_report is the monthly one
+for _unit, _suffix in (("day", "_daily"), ("week", "_weekly"), ("month", "")):
+    register(f"period_report{_suffix}", _period_sql(_unit))(
+        lambda spark, d, unit=_unit: rpt.period_report(T(spark, d).trip, unit))
+    register(f"period_line_report{_suffix}", _period_line_sql(_unit))(
+        lambda spark, d, unit=_unit: rpt.period_line_report(T(spark, d).trip, unit))
 
 
 def _markdown_texts(t: FleetTables):
@@ -768,14 +774,20 @@ def q_markdown(spark, d):
 
 
 @register("text_lines_stats", f"""
-WITH parts AS (SELECT doc_id, CAST(length(text) AS INT) AS raw_chars, unnest(p) AS raw,
-                      CAST(generate_subscripts(p, 1) - 1 AS INT) AS line_no
-               FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents))
-SELECT doc_id, raw_chars, line_no, regexp_replace(raw, '{_SQL_WS}', '', 'g') AS line,
+WITH texts AS (SELECT 'document' AS source, CAST(doc_id AS VARCHAR) AS text_id, text FROM documents
+               UNION ALL SELECT 'conversation', concat(CAST(conv_id AS VARCHAR), '/', CAST(turn AS VARCHAR)), text FROM conversations),
+parts AS (SELECT source, text_id, CAST(length(text) AS INT) AS raw_chars, unnest(p) AS raw,
+                 CAST(generate_subscripts(p, 1) - 1 AS INT) AS line_no
+          FROM (SELECT *, string_split(text, chr(10)) AS p FROM texts))
+SELECT source, text_id, raw_chars, line_no, regexp_replace(raw, '{_SQL_WS}', '', 'g') AS line,
        regexp_replace(raw, '{_SQL_WS}', '', 'g') = '' AS is_blank
 FROM parts""")
 def q_text_lines(spark, d):
-    return txt.text_lines_stats(T(spark, d).raw("documents"), ["doc_id"])
+    t = T(spark, d)
+    docs = t.raw("documents").select(F.lit("document").alias("source"), F.col("doc_id").cast("string").alias("text_id"), "text")
+    turns = t.raw("conversations").select(F.lit("conversation").alias("source"),
+                                          F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("text_id"), "text")
+    return txt.text_lines_stats(docs.unionByName(turns), ["source", "text_id"])
 
 
 # --------------------------------------------------------------------------
@@ -799,6 +811,11 @@ def _trip_csv_frame(trip):
         "status", F.lit("true").alias("productive"), none.alias("trip_type"))
 
 
+def _ticket_csv_frame(raw):
+    return raw.select(F.col("trip_id_raw").alias("trip_id"), F.col("validated_at_raw").alias("validated_at"),
+                      "fare_type", F.col("amount_raw").alias("amount_eur"), "payment_method", "stop")
+
+
 @register("src_csv_trips", with_tables("trip") + f"""
 SELECT trip_id, service_date, line, direction, vehicle_no, driver_id,
        CASE WHEN trip_id % {_BAD_TIME_EVERY} = 0 THEN NULL ELSE start_sec END AS start_sec,
@@ -807,22 +824,28 @@ SELECT trip_id, service_date, line, direction, vehicle_no, driver_id,
        CAST(1 AS SMALLINT) AS trip_type
 FROM trip""")
 def q_csv_trips(spark, d):
-    path = scratch_path(spark, "trips-csv")
-    write_csv(_trip_csv_frame(T(spark, d).trip), path)
-    return read_trips_csv(spark, path)
-
-
-@register("src_csv_tickets", with_tables("raw_ticket") + """
-SELECT TRY_CAST(trip_id_raw AS BIGINT) AS trip_id, CAST(validated_at_raw AS TIMESTAMP) AS validated_at, fare_type,
+    """Two exports: one in the usual order, one with its fields turned round,
+    other header names and without the productive and trip-type fields."""
+    rows = _trip_csv_frame(T(spark, d).trip)
+    usual, turned = scratch_path(spark, "trips-csv"), scratch_path(spark, "trips-csv-turned")
+    names = {f"x_{c}": c for c in rows.columns}
+    odd = F.col("trip_id").cast("bigint") % 2 == 1
+    write_csv(rows.where(~odd), usual)
+    write_csv(rows.where(odd).select(*[F.col(c).alias(f"x_{c}") for c in reversed(rows.columns) if c not in ("productive", "trip_type")]), turned)
+    return read_trips_csv(spark, [usual, turned], names)
+
+
+@register("src_csv_tickets", with_tables("raw_ticket") + f"""
+SELECT {lenient_bigint('trip_id_raw')} AS trip_id, CAST(validated_at_raw AS TIMESTAMP) AS validated_at, fare_type,
        TRY_CAST(amount_raw AS DECIMAL(12,2)) AS amount_eur, payment_method, stop
 FROM raw_ticket""")
 def q_csv_tickets(spark, d):
-    raw = T(spark, d).raw_ticket
-    frame = raw.select(F.col("trip_id_raw").alias("trip_id"), F.col("validated_at_raw").alias("validated_at"),
-                       "fare_type", F.col("amount_raw").alias("amount_eur"), "payment_method", "stop")
-    path = scratch_path(spark, "tickets-csv")
-    write_csv(frame, path)
-    return read_tickets_csv(spark, path)
+    frame = _ticket_csv_frame(T(spark, d).raw_ticket)
+    card = F.col("payment_method") == "Karte"
+    usual, turned = scratch_path(spark, "tickets-csv"), scratch_path(spark, "tickets-csv-turned")
+    write_csv(frame.where(~card), usual)
+    write_csv(frame.where(card).select(*reversed(frame.columns), F.lit("x").alias("remark")), turned)
+    return read_tickets_csv(spark, [usual, turned])
 
 
 @register("src_table_scan", with_tables("trip") + "SELECT * FROM trip")
@@ -886,13 +909,19 @@ UNION ALL SELECT * FROM daily2 WHERE service_date >= DATE '{bnd.UPSERT_FROM}'
 UNION ALL SELECT * REPLACE (CAST(service_date + INTERVAL 1 DAY AS DATE) AS service_date)
           FROM daily2 WHERE service_date = (SELECT MAX(service_date) FROM daily2)""")
 def q_upsert(spark, d):
+    """Writes the KPI table by month, upserts changed days and one new day into
+    it, and reads it back."""
     t = T(spark, d)
-    existing = agg.daily_kpi(t.trip, t.ticket)
+    path = scratch_path(spark, "kpi-upsert")
+    tbl.upsert_table(with_month(_daily(t)), path, ["service_date"], MONTH)
     doubled = agg.daily_kpi(t.trip.withColumn("boardings", F.col("boardings") * 2), t.ticket)
-    changed = doubled.where(F.col("service_date") >= F.lit(bnd.UPSERT_FROM))
-    new_day = (doubled.orderBy(F.col("service_date").desc()).limit(1)
-               .withColumn("service_date", F.date_add("service_date", 1)))
-    return tbl.upsert(existing, changed.unionByName(new_day), ["service_date"])
+    # the last day arrives twice: as itself and as the day after
+    last = F.max("service_date").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    days = F.when(F.col("service_date") == last, F.array("service_date", F.date_add("service_date", 1))).otherwise(F.array("service_date"))
+    incoming = (doubled.where(F.col("service_date") >= F.lit(bnd.UPSERT_FROM)).withColumn("days", days)
+                .withColumn("service_date", F.explode("days")).drop("days"))
+    tbl.upsert_table(with_month(incoming), path, ["service_date"], MONTH)
+    return spark.read.schema(DAILY_KPI).parquet(path).select(*DAILY_KPI.fieldNames())
 
 
 @register("sink_insert_select", DAILY + "SELECT *, CAST(year(service_date) AS INT) AS service_year FROM daily")
@@ -962,43 +991,49 @@ def q_report_tables(spark, d):
 # --------------------------------------------------------------------------
 
 
-def _write_in_time_chunks(df, ts_col, path, chunk_days: int = 366):
-    """Stream input: the rows in consecutive ``chunk_days`` ranges of ``ts_col``
-    (ranges counted from 1970-01-01), each range appended by its own write after
-    the previous one, so file times follow event time from range to range.
-
-    One scan writes a staging table partitioned by range number; each range is
-    then copied from its own partition directory (partition pruning), so the
-    source is read once, not once per range.  Inside a range the order is
-    arbitrary: the watermark delay of the stream must exceed ``chunk_days``."""
-    spark = df.sparkSession
-    staging = scratch_path(spark, "stream-staging")
-    chunk = F.floor(F.unix_date(F.to_date(ts_col)) / F.lit(chunk_days)).cast("int")
-    (df.where(F.col(ts_col).isNotNull()).withColumn("chunk", chunk)
-     .write.partitionBy("chunk").parquet(staging))
-    staged = spark.read.parquet(staging)
-    for k in tbl.partition_values(spark, staging, "chunk", int):
-        staged.where(F.col("chunk") == k).drop("chunk").write.mode("append").parquet(path)
-
-
 @register("stream_daily_revenue", DAILY_REVENUE_SQL)
 def q_stream_revenue(spark, d):
-    ticket = T(spark, d).ticket
     src = scratch_path(spark, "stream-tickets")
-    _write_in_time_chunks(ticket.select(*TICKET.fieldNames()), "validated_at", src)
+    T(spark, d).ticket.select(*TICKET.fieldNames()).write.parquet(src)
     return stream_daily_revenue(spark, src, scratch_path(spark, "daily-revenue"),
-                                scratch_path(spark, "ckpt-revenue"), watermark="400 days",
-                                files_per_trigger=2)
+                                scratch_path(spark, "ckpt-revenue"), watermark="400 days").table
 
 
 @register("stream_upsert_kpi", DAILY_KPI_SQL)
 def q_stream_kpi(spark, d):
     t = T(spark, d)
-    src = scratch_path(spark, "stream-trips")
-    _write_in_time_chunks(t.trip, "service_date", src)
-    # the stored per-trip revenue table (one row per trip, with the trip's date),
-    # written once and clustered by (date, trip) so micro-batches prune it by date
-    revenue = tbl.materialize_clustered(agg.dated_revenue_cents_per_trip(t.trip, t.ticket),
-                                        scratch_path(spark, "trip-revenue"), ["service_date", "trip_id"])
-    return stream_upsert_kpi(spark, src, revenue, scratch_path(spark, "daily-kpi-stream"),
-                             scratch_path(spark, "ckpt-kpi"), files_per_trigger=2)
+    trips, tickets = scratch_path(spark, "stream-trips"), scratch_path(spark, "stream-tickets")
+    by_month = with_month(t.trip.select(*TRIP.fieldNames()))
+    by_month.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(trips)
+    t.ticket.select(*TICKET.fieldNames()).write.parquet(tickets)
+    return stream_upsert_kpi(spark, trips, tickets, scratch_path(spark, "daily-kpi-stream"),
+                             scratch_path(spark, "ckpt-kpi"))
+
+
+# --------------------------------------------------------------------------
+# the batch import as one flow
+# --------------------------------------------------------------------------
+
+
+@register("pipeline_import", with_tables("trip", "raw_ticket", extra=(
+    ("ticket", f"""SELECT {lenient_bigint('trip_id_raw')} AS trip_id, TRY_CAST(amount_raw AS DECIMAL(12,2)) AS amount_eur FROM raw_ticket
+      WHERE {lenient_bigint('trip_id_raw')} IN (SELECT trip_id FROM trip)"""),)) + f"""
+SELECT d.*, CAST((SELECT COUNT(*) FROM trip) AS BIGINT) AS trips, CAST((SELECT COUNT(*) FROM ticket) AS BIGINT) AS tickets
+FROM ({_daily_sql()}) d""")
+def q_pipeline_import(spark, d):
+    """An import of the first half of the trips, then one of all of them over
+    it; the day table read back, with the row counts of the other two."""
+    trips, tickets = _trip_csv_frame(T(spark, d).trip), _ticket_csv_frame(T(spark, d).raw_ticket)
+    half, rest, paid = (scratch_path(spark, n) for n in ("import-half", "import-rest", "import-tickets"))
+    early = F.col("trip_id").cast("bigint") % 2 == 0
+    write_csv(trips.where(early), half)
+    write_csv(trips.where(~early), rest)
+    write_csv(tickets, paid)
+    root = scratch_path(spark, "import")
+    import_batch(spark, half, None, root)
+    tables = import_batch(spark, [half, rest], paid, root)
+    daily = tables["daily_kpi"]
+    for name in ("trip", "ticket"):
+        n = tables[name].agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        daily = daily.withColumn(f"{name}s", F.lit(n).cast("bigint"))
+    return daily

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_CLEANED: set[str] = set()
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -28,6 +29,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
@@ -47,15 +49,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = sc.applicationId
     if key not in _LOCAL_ROOT:
-        # No cluster-wide location configured: this only happens in local runs.
         _LOCAL_ROOT[key] = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
         sc.setCheckpointDir(_LOCAL_ROOT[key])
     return sc.getCheckpointDir() or _LOCAL_ROOT[key]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused directory below the checkpoint root."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/fleetlens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never reused directory below the checkpoint root; the
+    application's directories are removed when it ends."""
+    sc = spark.sparkContext
+    top = f"{checkpoint_root(spark).rstrip('/')}/fleetlens/{sc.applicationId}"
+    if top not in _CLEANED:
+        path = sc._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _CLEANED.add(top)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"

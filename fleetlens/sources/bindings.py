@@ -14,6 +14,7 @@ import datetime as _dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.schemas import (BUS_STATUS_ACTIVE, BUS_STATUS_IN_MAINTENANCE, MAINTENANCE_STATUS_OVERDUE,
                                MAINTENANCE_STATUS_PLANNED, TRIP_STATUS_CANCELLED, TRIP_STATUS_LATE,
@@ -71,7 +72,8 @@ def trip_from_orders(orders: DataFrame) -> DataFrame:
         "service_date": "to_date(o_orderdate)",
         "line": "CAST(100 + o_custkey % 40 AS STRING)",
         "direction": "CASE WHEN o_orderkey % 2 = 0 THEN 'Hin' ELSE 'Rück' END",
-        "bus_id": "CAST(o_custkey AS BIGINT)",
+        # every 20th trip has a bus that no table knows
+        "bus_id": "CAST(CASE WHEN o_orderkey % 20 = 0 THEN -o_custkey ELSE o_custkey END AS BIGINT)",
         "vehicle_no": "concat('B-', CAST(o_custkey AS STRING))",
         "driver_id": "concat('F', CAST(o_orderkey % 97 AS STRING))",
         "start_sec": _null_unless("o_orderkey % 31 = 0", "CAST((o_orderkey * 37) % 86400 AS INT)"),
@@ -104,7 +106,7 @@ def ticket_from_lineitem(lineitem: DataFrame) -> DataFrame:
 def bus_from_customer(customer: DataFrame) -> DataFrame:
     status = (f"CASE c_mktsegment WHEN 'BUILDING' THEN {_lit(BUS_STATUS_IN_MAINTENANCE)} "
               f"WHEN 'MACHINERY' THEN 'inaktiv' ELSE {_lit(BUS_STATUS_ACTIVE)} END")
-    return _project(customer.where("c_custkey % 20 <> 0"), {
+    return _project(customer, {
         "bus_id": "CAST(c_custkey AS BIGINT)",
         "plate": "c_name",
         "model": "c_mktsegment",
@@ -132,7 +134,8 @@ def raw_ticket_from_lineitem(lineitem: DataFrame) -> DataFrame:
     good_time = ("concat(lpad(CAST(l_partkey % 24 AS STRING), 2, '0'), ':', "
                  "lpad(CAST(l_suppkey % 60 AS STRING), 2, '0'), ':00')")
     return _project(lineitem, {
-        "trip_id_raw": "CASE WHEN l_orderkey % 19 = 0 THEN 'x' ELSE CAST(l_orderkey AS STRING) END",
+        "trip_id_raw": "CASE WHEN l_orderkey % 19 = 0 THEN 'x' WHEN l_orderkey % 7 = 0 THEN concat(CAST(l_orderkey AS STRING), '.0') "
+                       "WHEN l_orderkey % 17 = 0 THEN concat(CAST(l_orderkey AS STRING), '.5') ELSE CAST(l_orderkey AS STRING) END",
         "amount_raw": "CASE WHEN l_partkey % 23 = 0 THEN 'n/a' "
                       "ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) END",
         "time_raw": f"CASE WHEN l_partkey % 29 = 0 THEN '25:61:00' ELSE {good_time} END",
@@ -178,8 +181,8 @@ class FleetTables:
         # The legacy trip table carries bus_id like the canonical one.
         return self.trip
 
-    @property
-    def known_trip(self) -> DataFrame:
-        # Parent side of the membership/orphan checks: every lineitem has its
-        # order, so orphans are made by leaving out every 20th trip.
-        return self.trip.where("trip_id % 20 <> 0")
+    @cached_property
+    def stray_ticket(self) -> DataFrame:
+        """Tickets of which every 20th trip's belong to no trip: the test
+        tables have an order for every lineitem, so their ids are shifted."""
+        return self.ticket.withColumn("trip_id", F.expr("CASE WHEN trip_id % 20 = 0 THEN -trip_id ELSE trip_id END"))

@@ -1,58 +1,72 @@
 """Streaming daily revenue: tumbling one-day windows over ticket validations.
 
 file stream -> event time (tz-independent) -> watermark -> window('1 day')
--> update mode -> foreachBatch upsert by date into a versioned table.  The
+-> update mode -> foreachBatch upsert by date into a Parquet table partitioned
+by month, of which a micro-batch replaces only the months it touches.  The
 state holds one running sum per open day and is evicted once the watermark
 passes the day's end; a row is dropped as late when its day ends before the
 watermark of the previous micro-batch (Spark's rule for late events), so a
-late row whose day is still in state is still counted.
+late row whose day is still in state is still counted.  How many rows each
+micro-batch dropped, as the stateful operator counts them (after the map-side
+sum), is returned beside the table.
+
+The upsert is by key, so a replayed micro-batch changes nothing, and a fresh
+checkpoint goes on with the days that the table already holds.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import event_time
-from fleetlens.operators.tables import upsert
+from fleetlens.operators.tables import exists, upsert_table
 from fleetlens.schemas import TICKET
-from fleetlens.streaming.versioned import VersionedTable
+
+DAILY_REVENUE = "validation_date date, revenue decimal(22,2)"
+
+
+@dataclass
+class RevenueRun:
+    """The table after a drained run, and (batch id, rows dropped as late)."""
+
+    table: DataFrame
+    dropped: list[tuple[int, int]]
 
 
 def daily_revenue_stream(tickets: DataFrame, watermark: str) -> DataFrame:
-    """Streaming aggregate: (validation_date, revenue) per one-day window."""
-    ev = tickets.withColumn("_event_ts", event_time("validated_at")).withWatermark("_event_ts", watermark)
+    """Streaming aggregate: (validation_date, revenue) per one-day window.  A
+    ticket without a validation time fails the job: it belongs to no day."""
+    time = F.when(F.col("validated_at").isNull(), F.raise_error(F.lit("ticket without a validation time")).cast("timestamp")
+                  ).otherwise(event_time("validated_at"))
+    ev = tickets.withColumn("_event_ts", time).withWatermark("_event_ts", watermark)
     win = ev.groupBy(F.window("_event_ts", "1 day").alias("w")).agg(F.sum("amount_eur").alias("_rev"))
     day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
     return win.select(day.alias("validation_date"), F.round("_rev", 2).cast("decimal(22,2)").alias("revenue"))
 
 
-def stream_daily_revenue(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
-                         watermark: str = "30 days", files_per_trigger: int = 2) -> DataFrame:
-    """Drain ``src_dir`` (ticket Parquet files) with an available-now trigger
-    and return the resulting daily revenue table."""
-    table = VersionedTable(spark, out_dir)
+def stream_daily_revenue(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str, watermark: str,
+                         files_per_trigger: int | None = None) -> RevenueRun:
+    """Drain ``src_dir`` (ticket Parquet files) with an available-now trigger.
 
+    ``files_per_trigger`` splits the input over micro-batches (no limit by
+    default)."""
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        # The upsert reads the batch twice (anti join and union): keep it so
-        # the stateful aggregation runs once per micro-batch.
-        batch.persist()
-        try:
-            if batch.isEmpty():  # a no-data batch only evicts state
-                return
-            prev = table.read(table.latest(below=batch_id))
-            new = batch if prev is None else upsert(prev, batch, ["validation_date"])
-            table.commit(new, batch_id)
-        finally:
-            batch.unpersist()
-
-    src = (spark.readStream.schema(TICKET).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(src_dir))
-    q = (daily_revenue_stream(src, watermark).writeStream.outputMode("update")
+        if not batch.isEmpty():  # a no-data batch only evicts state
+            month = F.date_format("validation_date", "yyyy-MM")
+            upsert_table(batch.withColumn("month", month), out_dir, ["validation_date"], "month")
+
+    src = spark.readStream.schema(TICKET)
+    if files_per_trigger is not None:
+        src = src.option("maxFilesPerTrigger", files_per_trigger)
+    q = (daily_revenue_stream(src.parquet(src_dir), watermark).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint).foreachBatch(upsert_batch)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    out = table.read()
-    if out is None:
-        return spark.createDataFrame([], "validation_date date, revenue decimal(22,2)")
-    return out
+    dropped = [(p["batchId"], sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])) for p in q.recentProgress]
+    if not exists(spark, out_dir):
+        return RevenueRun(spark.createDataFrame([], DAILY_REVENUE), dropped)
+    table = spark.read.schema(DAILY_REVENUE + ", month string").parquet(out_dir)
+    return RevenueRun(table.drop("month"), dropped)

@@ -1,78 +1,83 @@
-"""Streaming daily-KPI maintenance: each micro-batch of new trip files
+"""Streaming daily-KPI maintenance: each micro-batch of new trip or ticket files
 recomputes the service dates it touches from the stored base tables and
 upserts those days by date.
 
 Averages are never merged from partial results: a touched day is recomputed
-from all of its trips, so late or replayed files give the same table.  The
-ticket side is read through the per-trip revenue table (one row per trip,
-maintained apart from the ticket stream), so a micro-batch never rescans the
-raw tickets: its cost follows the touched trips, not the ticket history.
+from all of its trips and their tickets, so late or replayed files, and a fresh
+checkpoint, give the same table.  The trip store is partitioned by service
+month, so a batch reads the months it touches (partition pruning), not the
+range between them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.operators.aggregates import daily_kpi_from_revenue
+from fleetlens.operators.aggregates import daily_kpi_from_revenue, revenue_cents_per_trip
 from fleetlens.operators.joins import keep_known
-from fleetlens.operators.tables import upsert
-from fleetlens.schemas import DAILY_KPI, TRIP
-from fleetlens.streaming.versioned import VersionedTable
-
-
-def recompute_days(trip_base: DataFrame, trip_revenue_cents: DataFrame, days: DataFrame,
-                   bounds=None) -> DataFrame:
-    """Daily KPIs of the given days only (semi joins restrict trips and revenue rows).
-
-    ``bounds`` = (first, last) touched day, as literals: the range filter
-    reaches the Parquet scans of the trips and, when the revenue store
-    carries the trip's ``service_date``, of the revenue store too.  Files and
-    row groups of other days are skipped by their statistics (or directories,
-    if a store is partitioned by date), so a micro-batch reads neither the
-    whole trip history nor the whole revenue history.
-    """
-    if bounds is not None:
-        lo, hi = bounds
-        in_range = F.col("service_date").between(F.lit(lo), F.lit(hi))
-        trip_base = trip_base.where(in_range)
-        if "service_date" in trip_revenue_cents.columns:
-            trip_revenue_cents = trip_revenue_cents.where(in_range)
-    trips = keep_known(trip_base, days, "service_date")
-    revenue = keep_known(trip_revenue_cents.select("trip_id", "trip_revenue_cents"),
-                         trips.select("trip_id"), "trip_id")
-    return daily_kpi_from_revenue(trips, revenue)
-
-
-def stream_upsert_kpi(spark: SparkSession, src_dir: str, trip_revenue_cents: DataFrame, out_dir: str,
-                      checkpoint: str, files_per_trigger: int = 2) -> DataFrame:
-    """Drain ``src_dir`` (trip Parquet files, also the stored trip table) and
-    return the maintained daily KPI table.  ``trip_revenue_cents`` is the
-    stored per-trip revenue table: ``dated_revenue_cents_per_trip`` clustered
-    by date (pruned per micro-batch), or ``revenue_cents_per_trip``."""
-    table = VersionedTable(spark, out_dir)
+from fleetlens.operators.tables import exists, upsert_table
+from fleetlens.schemas import DAILY_KPI, TICKET, TRIP
 
+MONTH = "service_month"
+
+
+def with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn(MONTH, F.date_format("service_date", "yyyy-MM"))
+
+
+def read_trip_store(spark: SparkSession, trip_dir: str) -> DataFrame:
+    """Trips stored below ``trip_dir`` by ``partitionBy(service_month)``."""
+    return spark.read.schema(T.StructType([*TRIP.fields, T.StructField(MONTH, T.StringType())])).parquet(trip_dir)
+
+
+def recompute_days(trips: DataFrame, tickets: DataFrame, days: DataFrame) -> DataFrame:
+    """Daily KPIs of the given days (service_date, service_month) only.
+
+    The touched months, at most one per calendar month, prune the trip store's
+    directories as literals; the day semi join leaves the touched days' trips;
+    tickets are reduced to those trips before they are summed."""
+    months = [r[0] for r in days.select(MONTH).distinct().collect()]
+    touched = keep_known(trips.where(F.col(MONTH).isin(months)).drop(MONTH), days.select("service_date"), "service_date")
+    return daily_kpi_from_revenue(touched, revenue_cents_per_trip(keep_known(tickets, touched.select("trip_id"), "trip_id")))
+
+
+def touched_days(batch: DataFrame, trips: DataFrame) -> DataFrame:
+    """(service_date, service_month) that a batch of trips (with a date) and
+    tickets (with a trip id) touches."""
+    own = batch.where("service_date is not null").select("service_date")
+    of_tickets = keep_known(trips.select("trip_id", "service_date"),
+                            batch.where("service_date is null and trip_id is not null").select("trip_id"), "trip_id")
+    return with_month(own.unionByName(of_tickets.select("service_date")).distinct())
+
+
+def stream_upsert_kpi(spark: SparkSession, trip_dir: str, ticket_dir: str, out_dir: str, checkpoint: str,
+                      files_per_trigger: int | None = None) -> DataFrame:
+    """Drain new files of the trip store (Parquet, partitioned by
+    service_month) and of the ticket store and return the maintained daily KPI
+    table, itself partitioned by month.  ``files_per_trigger`` splits the input
+    over micro-batches (no limit by default)."""
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        lo, hi = batch.agg(F.min("service_date"), F.max("service_date")).first()
-        if lo is None:  # no trips in this batch
+        if batch.isEmpty():
             return
-        days = batch.select("service_date").distinct()
-        base = spark.read.schema(TRIP).parquet(src_dir)
-        # one row per touched day, read twice by the upsert: computed once
-        fresh = recompute_days(base, trip_revenue_cents, days, (lo, hi)).persist()
-        try:
-            prev = table.read(table.latest(below=batch_id), schema=DAILY_KPI)
-            new = fresh if prev is None else upsert(prev, fresh, ["service_date"])
-            table.commit(new, batch_id)
-        finally:
-            fresh.unpersist()
-
-    src = (spark.readStream.schema(TRIP).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(src_dir))
-    q = (src.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert_batch)
-         .trigger(availableNow=True).start())
+        trips = read_trip_store(spark, trip_dir)
+        tickets = spark.read.schema(TICKET).parquet(ticket_dir)
+        days = touched_days(batch, trips).checkpoint(eager=True)  # a row per touched day
+        if not days.isEmpty():
+            upsert_table(with_month(recompute_days(trips, tickets, days)), out_dir, ["service_date"], MONTH)
+
+    def stream(schema, path):
+        src = spark.readStream.schema(schema)
+        if files_per_trigger is not None:
+            src = src.option("maxFilesPerTrigger", files_per_trigger)
+        return src.parquet(path)
+
+    new_trips = stream(TRIP, trip_dir).select(F.lit(None).cast("bigint").alias("trip_id"), "service_date")
+    new_tickets = stream(TICKET, ticket_dir).select("trip_id", F.lit(None).cast("date").alias("service_date"))
+    q = (new_trips.unionByName(new_tickets).writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(upsert_batch).trigger(availableNow=True).start())
     q.awaitTermination()
-    out = table.read(schema=DAILY_KPI)
-    if out is None:
+    if not exists(spark, out_dir):
         return spark.createDataFrame([], DAILY_KPI)
-    return out
+    return spark.read.schema(DAILY_KPI).parquet(out_dir).select(*DAILY_KPI.fieldNames())

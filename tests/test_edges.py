@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import exact_avg, rounded_ratio
-from fleetlens.functions.scalars import add_minutes_wrapped, lenient_time_seconds, py_strip
+from fleetlens.functions.scalars import lenient_cast, lenient_time_seconds, py_strip
 from fleetlens.operators import aggregates as agg
 from fleetlens.operators import classify as cls
 from fleetlens.operators import quality as dq
@@ -121,21 +121,11 @@ def test_ties_and_null_order(spark):
     assert [r.line for r in topk.problem_lines(pl, D1, 7, 3).collect()] == ["A", "B", "C"]
 
 
-def test_time_helpers(spark):
-    df = spark.createDataFrame([("23:50:00", 20), ("00:05:00", -10), ("25:61:00", 0), ("7:5", 0), (None, 0)],
-                               "t string, m int")
-    out = df.select(lenient_time_seconds("t").alias("s"), "m")
-    rows = out.select(add_minutes_wrapped("s", "m").alias("w")).collect()
-    assert [r.w for r in rows] == [600, 86400 - 300, None, None, None]
-    times = cls.derive_times(trip_rows(spark, [(1, D1, "1", 86000, -3, 10, "x")])).first()
-    assert times.planned_duration_min == 28 and times.planned_end_sec == (86000 + 28 * 60) % 86400
-    assert times.actual_start_sec == 86000 and times.actual_end_sec == (86000 + 25 * 60) % 86400
-
 
 def test_strict_date_fails(spark, tmp_path):
     from fleetlens.sources.files import read_trips_csv
     p = tmp_path / "bad.csv"
-    p.write_text("h\n1,2026-13-45,101,Hin,B,F,xx:00:00,,,,1,1.0,1,1.0,1.0,planmäßig,,\n", encoding="utf-8")
+    p.write_text("trip_id,service_date,start_time\n1,2026-13-45,xx:00:00\n", encoding="utf-8")
     df = read_trips_csv(spark, str(p))
     with pytest.raises(Exception):
         df.collect()
@@ -194,13 +184,6 @@ def test_surrogate_keys_sequential(spark):
     assert [(r.k, r.v) for r in rows] == sorted((r.k, r.v) for r in rows)
 
 
-def test_capped_sample_hot_key(spark):
-    tickets = spark.range(0, 5000).select(F.lit(7).cast("bigint").alias("trip_id"),
-                                          F.col("id").alias("n"))
-    trips = spark.createDataFrame([(7, 4), (8, 50)], "trip_id bigint, boardings int")
-    out = cls.sample_per_group(tickets, trips, 10, ["n"])
-    assert sorted(r.n for r in out.collect()) == [0, 1, 2, 3]
-
 
 def test_upsert_and_swap(spark):
     a = spark.createDataFrame([(D1, 1), (D1 + dt.timedelta(days=1), 2)], "d date, v int")
@@ -260,18 +243,6 @@ def test_plate_lookup_null_and_unmatched(spark):
     assert got == {1: "Unbekannt", 2: "K-7", 3: "Unbekannt", 4: "Unbekannt"}
 
 
-def test_upsert_partitions_on_disk(spark):
-    path = scratch_path(spark, "upsert-parts")
-    base = spark.createDataFrame([(D1, 1), (D1 + dt.timedelta(days=1), 2), (D1 + dt.timedelta(days=2), 3)],
-                                 "service_date date, v int")
-    base.write.partitionBy("service_date").parquet(path)
-    incoming = spark.createDataFrame([(D1 + dt.timedelta(days=1), 20), (D1 + dt.timedelta(days=5), 50)],
-                                     "service_date date, v int")
-    tbl.upsert_partitions(incoming, path, "service_date")
-    got = sorted((r.service_date, r.v) for r in spark.read.parquet(path).collect())
-    assert got == [(D1, 1), (D1 + dt.timedelta(days=1), 20), (D1 + dt.timedelta(days=2), 3),
-                   (D1 + dt.timedelta(days=5), 50)]
-
 
 def test_jdbc_partitioned_read_needs_bounds(spark):
     # argument check only: a partitioned read is split on key ranges, so the
@@ -306,3 +277,119 @@ def test_one_pass_cards_equal_two_block_cards(spark):
         assert [f.dataType for f in one.schema.fields] == [f.dataType for f in two.schema.fields]
         assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
         assert one.count() == 12
+
+
+# --- CSV fields by header name
+
+
+def csv(tmp_path, name, text):
+    p = tmp_path / name
+    p.write_text(text, encoding="utf-8")
+    return str(p)
+
+
+def test_csv_fields_follow_the_header(spark, tmp_path):
+    from fleetlens.sources.files import read_tickets_csv
+    path = csv(tmp_path, "t.csv", "trip_id,validated_at,payment_method,amount_eur,remark\n1,2024-01-01 08:00:00,Bar,2.90,x\n")
+    r = read_tickets_csv(spark, path).first()
+    assert (r.amount_eur, r.payment_method, r.fare_type, r.stop) == (Decimal("2.90"), "Bar", None, None)
+
+
+def test_csv_without_optional_fields_and_with_other_names(spark, tmp_path):
+    from fleetlens.sources.files import read_trips_csv
+    a = csv(tmp_path, "a.csv", "trip_type,trip_id,service_date\n0,1,2024-01-01\n")
+    b = csv(tmp_path, "b.csv", "Tag,Nummer,productive\n2024-01-02,2,false\n")
+    got = {r.trip_id: (r.productive, r.trip_type, r.energy_kwh, str(r.service_date))
+           for r in read_trips_csv(spark, [a, b], {"Tag": "service_date", "Nummer": "trip_id"}).collect()}
+    assert got == {1: (True, 0, None, "2024-01-01"), 2: (False, 1, None, "2024-01-02")}
+
+
+def test_csv_header_errors(spark, tmp_path):
+    from fleetlens.sources.files import read_tickets_csv, read_trips_csv
+    with pytest.raises(ValueError, match="service_date"):
+        read_trips_csv(spark, csv(tmp_path, "m.csv", "trip_id,line\n1,2\n"))
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    csv(folder, "1.csv", "trip_id,validated_at,amount_eur\n1,2024-01-01 08:00:00,1.00\n")
+    csv(folder, "2.csv", "trip_id,amount_eur,validated_at\n1,1.00,2024-01-01 08:00:00\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_tickets_csv(spark, str(folder)).collect()
+
+
+def test_lenient_whole_numbers(spark):
+    df = spark.createDataFrame([("1.0",), ("7",), ("1.5",), ("x",), (None,), ("1e2",), ("9223372036854775808",)], "v string")
+    assert [r.n for r in df.select(lenient_cast(F.col("v"), "bigint").alias("n")).collect()] == [1, 7, None, None, None, 100, None]
+
+
+# --- upsert, NULL keys, reports, import
+
+
+def test_upsert_rejects_repeated_incoming_keys(spark):
+    old, new = (spark.createDataFrame(x, "k int, v int") for x in ([(1, 1)], [(1, 2), (1, 3)]))
+    with pytest.raises(ValueError, match="repeat"):
+        tbl.upsert(old, new, ["k"])
+
+
+def test_upsert_and_cascade_keep_null_keys(spark):
+    old = spark.createDataFrame([(1, 1), (None, 5), (None, 6)], "k int, v int")
+    got = tbl.upsert(old, spark.createDataFrame([(1, 9), (2, 9)], "k int, v int"), ["k"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 9), (2, 9), (None, 5), (None, 6)], key=str)
+    parents = spark.createDataFrame([(1, "x"), (2, "y")], "k int, s string")
+    _, kids = tbl.cascade_delete(parents, old, F.col("s") == "x", "k")
+    assert sorted(r.v for r in kids.collect()) == [5, 6]
+
+
+def test_upsert_table_replaces_touched_partitions_only(spark):
+    from fleetlens.session import scratch_path
+    path = scratch_path(spark, "upsert-table")
+    schema = "day int, v int, part string"
+    tbl.upsert_table(spark.createDataFrame([(1, 1, "a"), (2, 2, "a"), (3, 3, "b")], schema), path, ["day"], "part")
+
+    def files(part):
+        return {r.f for r in spark.read.parquet(path).where(F.col("part") == part).select(F.input_file_name().alias("f")).collect()}
+
+    before = files("b")
+    change = spark.createDataFrame([(2, 20, "a"), (9, 90, "c")], schema)
+    for _ in range(2):  # a repeated call changes nothing
+        tbl.upsert_table(change, path, ["day"], "part")
+        assert sorted((r.day, r.v, r.part) for r in spark.read.parquet(path).collect()) == [
+            (1, 1, "a"), (2, 20, "a"), (3, 3, "b"), (9, 90, "c")]
+    assert files("b") == before
+    with pytest.raises(ValueError):
+        tbl.upsert_table(spark.createDataFrame([(5, 1, "a"), (5, 2, "a")], schema), path, ["day"], "part")
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_report_formats_and_local_stamp(spark, fmt):
+    from fleetlens.session import scratch_path
+    frames = {"one": spark.createDataFrame([(1, "a,b"), (2, "c")], "n int, t string"), "none": spark.createDataFrame([], "n int")}
+    got = {r.dataset: (r.row_count, r.path) for r in
+           tbl.write_report(frames, scratch_path(spark, "rep"), dt.datetime(2026, 4, 7, 6, 0), "weekly", fmt=fmt).collect()}
+    assert got["one"][0] == 2 and got["none"][0] == 0
+    assert "/weekly_2026-04-07_08-00/" in got["one"][1]
+
+
+def test_failed_import_leaves_the_old_tables(spark, tmp_path):
+    from fleetlens.operators.batch_import import import_batch, read_import
+    from tests.fixtures import TICKET_CSV, TRIP_CSV
+    trips, tickets = csv(tmp_path, "trips.csv", TRIP_CSV), csv(tmp_path, "tickets.csv", TICKET_CSV)
+    root = str(tmp_path / "tables")
+    assert import_batch(spark, trips, tickets, root)["ticket"].count() == 4
+    twice = csv(tmp_path, "twice.csv", TRIP_CSV + TRIP_CSV.split("\n")[1] + "\n")
+    bad_time = csv(tmp_path, "bad.csv", TICKET_CSV.replace("06:58:00", "soon"))
+    for args in ((twice, tickets), (trips, bad_time)):
+        with pytest.raises(Exception):
+            import_batch(spark, *args, root)
+        kept = read_import(spark, root)
+        assert (kept["trip"].count(), kept["ticket"].count(), kept["daily_kpi"].count()) == (6, 4, 1)
+    assert import_batch(spark, trips, None, root)["daily_kpi"].first().total_revenue == Decimal("0.00")
+
+
+def test_scratch_needs_a_shared_folder_off_local_mode():
+    from types import SimpleNamespace
+
+    from fleetlens.session import checkpoint_root
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda *a: None),
+                         master="spark://host:7077", applicationId="a")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(sparkContext=sc))

@@ -7,11 +7,14 @@ import datetime as dt
 import time
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.schemas import TICKET
+from fleetlens.schemas import TICKET, TRIP
 from fleetlens.session import scratch_path
 from fleetlens.streaming.daily_revenue import stream_daily_revenue
+from fleetlens.streaming.upsert_kpi import MONTH, read_trip_store, recompute_days, stream_upsert_kpi, with_month
 
 
 def _ticket(day: dt.datetime, amount: str):
@@ -32,9 +35,12 @@ def test_watermark_drops_late_rows(spark):
     for rows in batches:
         spark.createDataFrame(rows, TICKET).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)  # distinct file times: the file source reads oldest first
-    out = stream_daily_revenue(spark, src, scratch_path(spark, "wm-out"), scratch_path(spark, "wm-ckpt"),
+    run = stream_daily_revenue(spark, src, scratch_path(spark, "wm-out"), scratch_path(spark, "wm-ckpt"),
                                watermark="10 days", files_per_trigger=1)
-    got = {r.validation_date: r.revenue for r in out.collect()}
+    got = {r.validation_date: r.revenue for r in run.table.collect()}
+    assert sum(n for _, n in run.dropped) > 0
+    late = stream_daily_revenue(spark, src, scratch_path(spark, "wm-out"), scratch_path(spark, "wm-ckpt"), watermark="90 days")
+    assert sum(n for _, n in late.dropped) == 0 and late.table.agg(F.sum("revenue")).first()[0] == Decimal("31.50")
     assert got == {dt.date(2024, 3, 1): Decimal("3.00"), dt.date(2024, 3, 20): Decimal("4.00"),
                    dt.date(2024, 3, 21): Decimal("0.50"), dt.date(2024, 3, 18): Decimal("16.00")}
 
@@ -43,104 +49,79 @@ def test_restart_is_idempotent(spark):
     src = scratch_path(spark, "re-src")
     spark.createDataFrame([_ticket(dt.datetime(2024, 1, 5, 1), "1.50")], TICKET).write.parquet(src)
     out_dir, ckpt = scratch_path(spark, "re-out"), scratch_path(spark, "re-ckpt")
-    first = stream_daily_revenue(spark, src, out_dir, ckpt, watermark="1 day")
-    again = stream_daily_revenue(spark, src, out_dir, ckpt, watermark="1 day")
+    first = stream_daily_revenue(spark, src, out_dir, ckpt, watermark="1 day").table
+    again = stream_daily_revenue(spark, src, out_dir, ckpt, watermark="1 day").table
     assert first.collect() == again.collect()
     assert again.agg(F.sum("revenue")).first()[0] == Decimal("1.50")
 
 
-def test_versioned_table_retention(spark):
-    from fleetlens.streaming.versioned import VersionedTable
-    t = VersionedTable(spark, scratch_path(spark, "versions"))
-    for v in range(6):
-        t.commit(spark.createDataFrame([(v,)], "x int"), v, keep=3)
-    assert t.versions() == [3, 4, 5]
-    assert t.read().first().x == 5
-    assert t.latest(below=5) == 4
-
-
-def test_time_chunks_follow_event_time(spark):
-    """The stream input fixture keeps every row once and writes its ranges in
-    time order (the file source reads oldest files first)."""
-    from fleetlens.plans.queries import _write_in_time_chunks
-
-    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(0, 60, 3)]
-    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "id int, day date")
-    path = scratch_path(spark, "chunks")
-    _write_in_time_chunks(df, "day", path, chunk_days=10)
-    back = spark.read.parquet(path)
-    assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
-    files = (back.select(F.input_file_name().alias("f"), "day")
-             .groupBy("f").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).collect())
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def mtime(f):
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        return p.getFileSystem(conf).getFileStatus(p).getModificationTime()
-
-    def rng(d):
-        return (d - dt.date(1970, 1, 1)).days // 10
-
-    # each file holds one 10-day range (counted from 1970-01-01) ...
-    for r in files:
-        assert rng(r.lo) == rng(r.hi)
-    # ... and, oldest file first, the ranges never go back in time
-    ranges = [rng(r.lo) for r in sorted(files, key=lambda r: mtime(r.f))]
-    assert ranges == sorted(ranges)
-    assert len(set(ranges)) == len({rng(d) for d in days})
-
-
-def test_partition_values_from_directory_names(spark):
-    from fleetlens.operators.tables import partition_values
-
-    path = scratch_path(spark, "pvals")
-    spark.createDataFrame([(1, 10), (2, 3), (3, 10), (4, -1)], "id int, k int").write.partitionBy("k").parquet(path)
-    assert partition_values(spark, path, "k", int) == [-1, 3, 10]
-
-
-def test_bounded_recompute_equals_unbounded(spark):
-    """The touched-day range filter changes what is read, not the result, and
-    it reaches the Parquet scan."""
-    from fleetlens.operators.aggregates import revenue_cents_per_trip
-    from fleetlens.sources.bindings import FleetTables
-    from fleetlens.streaming.upsert_kpi import recompute_days
-
-    t = FleetTables(spark, "/root/testdata/sf0.001")
-    rev = revenue_cents_per_trip(t.ticket)
-    days = t.trip.select("service_date").distinct().orderBy("service_date").limit(5)
-    lo, hi = days.agg(F.min("service_date"), F.max("service_date")).first()
-    bounded = recompute_days(t.trip, rev, days, (lo, hi))
-    plain = recompute_days(t.trip, rev, days)
-    assert bounded.count() == 5
-    assert bounded.exceptAll(plain).count() == 0 and plain.exceptAll(bounded).count() == 0
-    p = bounded._jdf.queryExecution().executedPlan().toString()
-    pushed = p.split("PushedFilters: [")[1].split("]")[0]  # the trip scan comes first
-    assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
-
-
-def test_dated_revenue_store_is_pruned_by_day(spark):
-    """With the revenue store clustered by (date, trip), the touched-day range
-    also reaches the store's scan, and the result is unchanged."""
-    from fleetlens.operators.aggregates import dated_revenue_cents_per_trip, revenue_cents_per_trip
-    from fleetlens.operators.tables import materialize_clustered
-    from fleetlens.sources.bindings import FleetTables
-    from fleetlens.streaming.upsert_kpi import recompute_days
-
-    t = FleetTables(spark, "/root/testdata/sf0.001")
-    store = materialize_clustered(dated_revenue_cents_per_trip(t.trip, t.ticket),
-                                  scratch_path(spark, "rev-store"), ["service_date", "trip_id"])
-    days = t.trip.select("service_date").distinct().orderBy(F.desc("service_date")).limit(4)
-    lo, hi = days.agg(F.min("service_date"), F.max("service_date")).first()
-    got = recompute_days(t.trip, store, days, (lo, hi))
-    want = recompute_days(t.trip, revenue_cents_per_trip(t.ticket), days)
-    assert got.count() == 4
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # untruncated scan details
-    try:
-        p = got._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.maxMetadataStringLength")
-    store_scan = [ln for ln in p.splitlines() if "FileScan" in ln and "trip_revenue_cents" in ln][0]
-    pushed = store_scan.split("PushedFilters: [")[1].split("]")[0]
-    assert "GreaterThanOrEqual(service_date" in pushed and "LessThanOrEqual(service_date" in pushed
+def test_fresh_checkpoint_adds_to_the_table(spark):
+    src, out_dir = scratch_path(spark, "fc-src"), scratch_path(spark, "fc-out")
+    for i in range(1, 5):
+        spark.createDataFrame([_ticket(dt.datetime(2024, 1, i, 1), "1.00")], TICKET).write.mode("append").parquet(src)
+    stream_daily_revenue(spark, src, out_dir, scratch_path(spark, "fc-1"), watermark="99 days", files_per_trigger=1)
+    fresh = scratch_path(spark, "fc-src2")
+    spark.createDataFrame([_ticket(dt.datetime(2024, 1, 9, 1), "7.00")], TICKET).write.parquet(fresh)
+    got = stream_daily_revenue(spark, fresh, out_dir, scratch_path(spark, "fc-2"), watermark="99 days").table
+    assert {r.validation_date.day: r.revenue for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 7}
+
+
+def test_a_ticket_without_a_time_fails(spark):
+    src = scratch_path(spark, "nt-src")
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in TICKET.fields])
+    spark.createDataFrame([_ticket(None, "1.00")], nullable).write.parquet(src)
+    with pytest.raises(Exception, match="without a validation time"):
+        stream_daily_revenue(spark, src, scratch_path(spark, "nt-out"), scratch_path(spark, "nt-ck"), watermark="1 day")
+
+
+# --- daily KPI stream
+
+
+def _trips(spark, rows):
+    cols = {"line": "'1'", "direction": "'Hin'", "bus_id": "1L", "vehicle_no": "'v'", "driver_id": "'d'", "start_sec": "1", "delay_min": "0",
+            "km": "cast(10 as decimal(12,2))", "boardings": "3", "occupancy_pct": "cast(50 as decimal(5,2))",
+            "energy_kwh": "cast(1 as decimal(8,2))", "status": "'planmäßig'"}
+    df = spark.createDataFrame(rows, "trip_id long, service_date date")
+    return with_month(df.selectExpr("*", *[f"{v} as {c}" for c, v in cols.items()]).select(*TRIP.fieldNames()))
+
+
+def _kpi_stores(spark):
+    return {n: scratch_path(spark, n) for n in ("k-trips", "k-tickets", "k-out", "k-ck")}
+
+
+def _add(spark, d, trips=(), tickets=()):
+    if trips:
+        _trips(spark, list(trips)).write.mode("append").partitionBy(MONTH).parquet(d["k-trips"])
+    if tickets:
+        rows = [(t, dt.datetime(2024, 1, 1), "A", Decimal(a), "Bar", "H") for t, a in tickets]
+        spark.createDataFrame(rows, TICKET).write.mode("append").parquet(d["k-tickets"])
+
+
+def _drain(spark, d, ck="k-ck"):
+    got = stream_upsert_kpi(spark, d["k-trips"], d["k-tickets"], d["k-out"], d[ck])
+    return {str(r.service_date): (r.total_km, r.total_revenue) for r in got.collect()}
+
+
+def test_late_trips_and_late_tickets_refresh_their_day(spark):
+    d, day = _kpi_stores(spark), dt.date
+    _add(spark, d, [(1, day(2024, 1, 5)), (2, day(2024, 6, 5))], [(1, "2.00")])
+    assert _drain(spark, d) == {"2024-01-05": (10, 2), "2024-06-05": (10, 0)}
+    _add(spark, d, tickets=[(2, "4.00"), (77, "1.00")])                  # a late ticket, and one of an unknown trip
+    assert _drain(spark, d) == {"2024-01-05": (10, 2), "2024-06-05": (10, 4)}
+    _add(spark, d, trips=[(3, day(2024, 1, 5)), (77, day(2024, 7, 1))])  # a late trip, and the unknown one
+    want = {"2024-01-05": (20, 2), "2024-06-05": (10, 4), "2024-07-01": (10, 1)}
+    assert _drain(spark, d) == want
+    assert _drain(spark, d) == want                                      # nothing new
+    d["fresh"] = scratch_path(spark, "k-fresh")
+    assert _drain(spark, d, "fresh") == want                             # all files again
+
+
+def test_a_batch_reads_only_the_months_it_touches(spark):
+    d, day = _kpi_stores(spark), dt.date
+    _add(spark, d, [(m, day(2024, m, 1)) for m in range(1, 13)], [(1, "2.00")])
+    trips = read_trip_store(spark, d["k-trips"])
+    days = with_month(spark.createDataFrame([(day(2024, 1, 1),), (day(2024, 12, 1),)], "service_date date"))
+    got = recompute_days(trips, spark.read.schema(TICKET).parquet(d["k-tickets"]), days)
+    assert sorted(str(r.service_date) for r in got.collect()) == ["2024-01-01", "2024-12-01"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [service_month" in plan
