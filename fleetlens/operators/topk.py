@@ -98,8 +98,10 @@ def overdue_list(maintenance: DataFrame, bus: DataFrame, as_of: _dt.date) -> Dat
             .select("maintenance_id", "bus_id", "plate", "kind", "status", "next_due"))
 
 
-def with_surrogate_key(df: DataFrame, name: str, order, partitions: int | None = None) -> DataFrame:
-    """Sequential ids 1..N following the total order ``order``.
+def with_surrogate_key(df: DataFrame, name: str, order, partitions: int | None = None,
+                       after: int = 0) -> DataFrame:
+    """Sequential ids after+1..after+N following the total order ``order``
+    (``after`` is the largest id already given, 0 for a new table).
 
     Two phases, no single-partition window: range-partition and sort by the
     order, cut the lineage with a reliable checkpoint (the counts and the
@@ -120,5 +122,5 @@ def with_surrogate_key(df: DataFrame, name: str, order, partitions: int | None =
     offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
                             .alias("_offset"))
     return (pos.join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_offset") + F.col("_pos") + 1)
+            .withColumn(name, F.col("_offset") + F.col("_pos") + 1 + after)
             .drop("_mid", "_part", "_pos", "_offset"))

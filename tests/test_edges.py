@@ -182,6 +182,8 @@ def test_surrogate_keys_sequential(spark):
     rows = out.orderBy("sid").collect()
     assert [r.sid for r in rows] == list(range(1, 1001))
     assert [(r.k, r.v) for r in rows] == sorted((r.k, r.v) for r in rows)
+    more = topk.with_surrogate_key(df.limit(5), "sid", ["k", "v"], partitions=2, after=1000)
+    assert sorted(r.sid for r in more.collect()) == list(range(1001, 1006))
 
 
 
