@@ -47,14 +47,14 @@ from fleetlens.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_CACHE_WORDS = 2_000_000
+_CACHE_WORDS = 300_000
 _CACHE: dict[bytes, int] = {}
 
 SMALLEST_BAND = 8
 BAND_RATIO = 1.5
 SPARE_SEGMENTS = 1.15
-#: Cost model: chance that a token of a set is in another set of its band, comparisons against rows.
-SHARED_TOKEN = 0.1
+#: Cost model: chance that a token of a kept (full) segment is in an unrelated set too, comparisons against rows.
+SHARED_TOKEN = 0.01
 PAIR_COST = 20.0
 BYTES_PER_TOKEN = 6.3
 #: Ids up to this many (16 MB of longs) may be broadcast; more are joined by shuffle.
