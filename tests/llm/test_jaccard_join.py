@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -77,6 +78,24 @@ def test_large_group_of_near_copies_and_of_copies(spark):
     assert set(got.values()) == {0}
 
 
+def test_copies_too_far_from_their_leader_still_find_each_other(spark):
+    """Edits from a small pool of places and words, so that copies share them
+    and link to one another without linking to the first."""
+    base, rows = prose("far", 120, 10 ** 6).split(" "), []
+    for i in range(160):
+        r, w = random.Random(i), list(base)
+        for _ in range(i % 12):
+            at = r.randrange(0, 12) * 10
+            if r.random() < 0.8:
+                w[at] = f"new{r.randrange(2)}"
+            else:
+                w[at:at + 1] = ["in", "stead"] if r.random() < 0.5 else []
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_table(spark, rows)).collect()}
+    want = brute(rows)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 150
+
+
 def test_edge_rows(spark):
     got = near_duplicates(edge_docs(spark, clash=True)).collect()
     assert len(got) == edge_docs(spark).count()
