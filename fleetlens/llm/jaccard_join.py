@@ -20,11 +20,16 @@ the next.
 
 Sets are 64-bit hashes of the n-grams.  Documents with equal sets form one class,
 represented by the smallest id.  Links are found in rounds: in each bucket of a
-signature the first members (1, then 8, 64, ... more) are compared with all others
+signature the first members (1, then 16, 272, ... more) are compared with all others
 of another component, exactly, on the sets; then components are joined and buckets
 that lie in one component drop out.  So a bucket of near copies costs one
 comparison a member, and still every pair that could join two components is
-compared.
+decided.  Members of such a group that are too far from its leader to link need not
+all be compared with each other: if x and y differ from the same leader in d and e
+tokens, they differ from each other in d + e - 2 s, where s counts the leader's
+tokens that both lost and the new ones that both gained; either count is at most
+what the one or the other shares with any member at all.  Pairs that this bound
+rules out are left out.
 
 Defined cases: a NULL text or one without words has the empty set and links to
 nothing; rows with a NULL doc_id have no component (NULL) and link to nothing;
@@ -57,6 +62,10 @@ SPARE_SEGMENTS = 1.15
 SHARED_TOKEN = 0.01
 PAIR_COST = 20.0
 BYTES_PER_TOKEN = 6.3
+#: Growth of the number of leaders from round to round.
+MORE_LEADERS = 16
+#: Differences from a leader are kept up to this many times what a link allows.
+FAR = 6
 #: Ids up to this many (16 MB of longs) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -207,7 +216,7 @@ def _buckets(profiles: DataFrame, classes: DataFrame) -> DataFrame:
     rows = profiles.select(F.explode("sigs").alias("sig"), "doc_id")
     w = Window.partitionBy("sig")
     met = rows.withColumn("c", F.count("*").over(w)).where("c > 1").select("sig", "doc_id")
-    rep = profiles.where(F.size("sigs") > 0).join(classes, ["k1", "k2", "n"]).select("doc_id", "id", "n")
+    rep = profiles.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", "id", "n")
     return materialise(met.join(rep, "doc_id").select("sig", "id", "n").distinct(), "buckets")
 
 
@@ -232,18 +241,39 @@ def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose sets are similar enough."""
+    """Whether the sets of each (a, b) are similar enough, in how many tokens
+    they differ and, unless they are far apart, in which."""
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-            .select("a", "b", F.size("x").alias("r"), F.size("y").alias("s"), F.size(F.array_intersect("x", "y")).alias("i")))
-    return both.select("a", "b", (den * F.col("i") >= num * (F.col("r") + F.col("s") - F.col("i"))).alias("linked"))
+            .select("a", "b", "x", "y", F.size("x").alias("r"), F.size("y").alias("s"), F.size(F.array_intersect("x", "y")).alias("i")))
+    differ = F.col("r") + F.col("s") - 2 * F.col("i")
+    near = differ * (den + num) <= FAR * (F.col("r") + F.col("s")) * (den - num)
+    return both.select("a", "b", (den * F.col("i") >= num * (F.col("r") + F.col("s") - F.col("i"))).alias("linked"),
+                       differ.alias("d"), F.when(near, F.array_except("x", "y")).alias("lost"), F.when(near, F.array_except("y", "x")).alias("gained"))
+
+
+def _deltas(checked: DataFrame) -> DataFrame:
+    """(id, lead, d, ul, ug): for every set near a leader (the smallest it was
+    compared with), in how many tokens it differs from it, and how many of the
+    tokens it lost and gained another set lost or gained too."""
+    lead = checked.where("lost is not null").groupBy("b").agg(F.min("a").alias("a"))
+    own = checked.join(lead, ["a", "b"]).select(F.col("a").alias("lead"), F.col("b").alias("id"), "d", "lost", "gained")
+    tokens = own.select("lead", "id", F.explode(F.concat(
+        F.transform("lost", lambda t: F.struct(t.alias("t"), F.lit(1).alias("l"), F.lit(0).alias("g"))),
+        F.transform("gained", lambda t: F.struct(t.alias("t"), F.lit(0).alias("l"), F.lit(1).alias("g"))))).alias("x")).select("lead", "id", "x.*")
+    shared = tokens.groupBy("lead", "t").agg(F.count("*").alias("n")).where("n > 1").select("lead", "t")
+    u = tokens.join(shared, ["lead", "t"], "left_semi").groupBy("lead", "id").agg(F.sum("l").alias("ul"), F.sum("g").alias("ug"))
+    found = own.select("lead", "id", "d").join(u, ["lead", "id"], "left").select(
+        "id", "lead", "d", F.coalesce("ul", F.lit(0)).alias("ul"), F.coalesce("ug", F.lit(0)).alias("ug"))
+    itself = own.select("lead").distinct().join(own.select(F.col("id").alias("lead")), "lead", "left_anti")
+    return materialise(found.unionByName(itself.selectExpr("lead as id", "lead", "0 as d", "0L as ul", "0L as ug")), "deltas")
 
 
 def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Components (id, component) over all verified links of the buckets."""
     live = buckets.withColumn("component", F.col("id"))
     first, stop = 0, 1
-    tried = links = found = None
+    tried = links = found = deltas = None
     while True:
         if found is not None:
             live = (buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -252,9 +282,19 @@ def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         ranked = materialise(live.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1), "live")
         if ranked.where(F.col("rank") > first).isEmpty():
             break
+        possible = F.lit(True)
+        if tried is not None:
+            deltas = _deltas(checked) if deltas is None else deltas  # noqa: F821  of the first round
+            ranked = ranked.join(deltas, "id", "left")
+            # Sets near one leader differ in d + da - 2 * (what their differences share) tokens.
+            differences = F.floor((F.col("n") + F.col("na")) * (den - num) / (den + num))
+            shared = F.least("ul", "ula") + F.least("ug", "uga")
+            possible = F.coalesce((F.col("lead") != F.col("la")) | (F.col("d") + F.col("da") - 2 * shared <= differences), F.lit(True))
+        else:
+            ranked = ranked.selectExpr("*", "null as lead", "null as d", "null as ul", "null as ug")
         lead = ranked.where((F.col("rank") >= first) & (F.col("rank") < stop)).select(
-            "sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        pairs = (ranked.join(lead, "sig").where("rank > ra and component != ca")
+            "sig", *[F.col(c).alias(v) for c, v in (("id", "a"), ("n", "na"), ("component", "ca"), ("rank", "ra"), ("lead", "la"), ("d", "da"), ("ul", "ula"), ("ug", "uga"))])
+        pairs = (ranked.join(lead, "sig").where("rank > ra and component != ca").where(possible)
                  .where(f"{den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("id").alias("b")).distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -262,8 +302,9 @@ def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         new = checked.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        found = materialise(components(links), "components")
-        first, stop = stop, 8 * stop + 1
+        if found is None or not new.isEmpty():
+            found = materialise(components(links), "components")
+        first, stop = stop, MORE_LEADERS * stop + 1
     return found
 
 
