@@ -75,10 +75,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_per_class(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, chosen by the hash of the key
-    (the rank limit is applied inside the map tasks before the shuffle)."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), F.col(key))
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_class).drop("_rn")
+    """At most ``per_class`` rows of each label, chosen by the hash of the key.
+
+    The rows of a label are first thinned by their hash to about twice the
+    bound, from a count of each label, so however many rows a label has, few
+    of them meet in the task that ranks them."""
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_of_label"))  # a row for each label
+    part = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.lit(2 * per_class + 100) / F.col("_of_label")
+    thin = rows.join(F.broadcast(sizes), label).where(part)
+    w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(1)), F.col(key))
+    return thin.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_class).select(*rows.columns)
 
 
 def free_name(taken: list[str], base: str) -> str:
