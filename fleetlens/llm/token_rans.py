@@ -29,6 +29,7 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ class WordTokenizer:
     space or special-token marks is encoded in one piece instead.
     """
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_words: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), {}, cache_words
@@ -71,13 +72,31 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: each is one pre-token, so many are
+        encoded as one text and cut apart by pre-token."""
+        out = []
+        for i in range(0, len(words), 4096):
+            part = words[i:i + 4096]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+            if not len(of) or of[-1] + 1 != len(part):  # the tokenizer sees other letters
+                out += self._ids(part)
+                continue
+            cut = 4 * np.searchsorted(of, np.arange(len(part) + 1))
+            out += [raw[a:b] for a, b in pairwise(cut.tolist())]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
         words = [None if _ODD.search(t) else _COMMA.sub(r" \1", t.lower()).split() for t in texts]
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        new = list(set().union(*(w for w in words if w)).difference(self.cache))
-        self.cache.update(zip(new, self._ids(new), strict=True))
+        new = set().union(*(w for w in words if w)).difference(self.cache)
+        plain = [w for w in new if w.isalpha()]
+        other = list(new.difference(plain))
+        self.cache.update(zip(plain, self._ids_of_letters(plain), strict=True))
+        self.cache.update(zip(other, self._ids(other), strict=True))
         get = self.cache.__getitem__
         return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
