@@ -269,6 +269,17 @@ def _deltas(checked: DataFrame) -> DataFrame:
     return materialise(found.unionByName(itself.selectExpr("lead as id", "lead", "0 as d", "0L as ul", "0L as ug")), "deltas")
 
 
+def _family_pairs(ranked: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one leader's sets that may link.  They differ in d + da - 2 *
+    (what both lost or both gained) tokens; each pair is made once, however
+    many signatures it shares."""
+    member = ranked.select("id", "n", "component").distinct().join(deltas, "id")
+    other = member.select("lead", *[F.col(c).alias(v) for c, v in (("id", "a"), ("n", "na"), ("component", "ca"), ("d", "da"), ("ul", "ula"), ("ug", "uga"))])
+    shared = F.least("ul", "ula") + F.least("ug", "uga")
+    differences = F.floor((F.col("n") + F.col("na")) * (den - num) / (den + num))
+    return member.join(other, "lead").where("id > a").where(F.col("d") + F.col("da") - 2 * shared <= differences)
+
+
 def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Components (id, component) over all verified links of the buckets."""
     live = buckets.withColumn("component", F.col("id"))
@@ -282,20 +293,21 @@ def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         ranked = materialise(live.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1), "live")
         if ranked.where(F.col("rank") > first).isEmpty():
             break
-        possible = F.lit(True)
+        alike = f"{den} * least(n, na) >= {num} * greatest(n, na) and component != ca"
+        other_lead = F.lit(True)
         if tried is not None:
-            deltas = _deltas(checked) if deltas is None else deltas  # noqa: F821  of the first round
-            ranked = ranked.join(deltas, "id", "left")
-            # Sets near one leader differ in d + da - 2 * (what their differences share) tokens.
-            differences = F.floor((F.col("n") + F.col("na")) * (den - num) / (den + num))
-            shared = F.least("ul", "ula") + F.least("ug", "uga")
-            possible = F.coalesce((F.col("lead") != F.col("la")) | (F.col("d") + F.col("da") - 2 * shared <= differences), F.lit(True))
+            family = None
+            if deltas is None:
+                deltas = _deltas(checked)  # noqa: F821  of the first round
+                family = _family_pairs(ranked, deltas, num, den).where(alike)
+            ranked = ranked.join(deltas.select("id", "lead"), "id", "left")
+            other_lead = F.coalesce(F.col("lead") != F.col("la"), F.lit(True))
         else:
-            ranked = ranked.selectExpr("*", "null as lead", "null as d", "null as ul", "null as ug")
+            ranked, family = ranked.selectExpr("*", "null as lead"), None
         lead = ranked.where((F.col("rank") >= first) & (F.col("rank") < stop)).select(
-            "sig", *[F.col(c).alias(v) for c, v in (("id", "a"), ("n", "na"), ("component", "ca"), ("rank", "ra"), ("lead", "la"), ("d", "da"), ("ul", "ula"), ("ug", "uga"))])
-        pairs = (ranked.join(lead, "sig").where("rank > ra and component != ca").where(possible)
-                 .where(f"{den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("id").alias("b")).distinct())
+            "sig", *[F.col(c).alias(v) for c, v in (("id", "a"), ("n", "na"), ("component", "ca"), ("rank", "ra"), ("lead", "la"))])
+        pairs = ranked.join(lead, "sig").where("rank > ra").where(alike).where(other_lead).select("a", F.col("id").alias("b"))
+        pairs = (pairs if family is None else pairs.unionByName(family.select("a", F.col("id").alias("b")))).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         checked = materialise(_verified(pairs, sets, num, den), "checked")
