@@ -8,15 +8,18 @@ texts have equal fingerprints, and a paragraph is inserted or deleted by adding
 or subtracting its vector (``add``, ``subtract``).  The lanes of a paragraph are
 
 - 1 lane modulo 2^32: the number of its sentences;
-- 64 lanes modulo 2^16: for each bit of a 64-bit hash, in how many of its
-  sentences the bit is set;
+- 64 lanes modulo 2^48: the sum over its sentences of a Cauchy variate drawn
+  from a seeded hash of the sentence, in steps of 1 / 256;
 - 8 lanes modulo 2^32: the halves of four seeded 64-bit hashes of the whole
   paragraph, which tell unequal multisets apart.
 
-The bit counts make a tug-of-war sketch: with count n and bit count c_j, lane j
-sums a random sign over the sentences (n - 2 c_j), so the mean squared
-difference of two documents' lanes estimates the size of the symmetric
-difference D of their sentences, and (n + m - D) / (n + m + D) the likeness.
+The Cauchy sums are a sketch of the 1-norm: where sentence s occurs x_s times in
+one document and y_s times in the other, the difference of a lane is a Cauchy
+variate of scale D, the sum of |x_s - y_s|, however often a sentence is repeated.
+So the median of the 64 absolute differences estimates D (standard error about
+a fifth), which is never below |n - m| for sentence counts n and m, and
+(n + m - D) / (n + m + D) is the multiset Jaccard similarity.  A text has fewer
+than 2^31 sentences, so a median of 256 D is far below the modulus.
 
 Defined cases: a NULL text counts as empty; a text without a non-blank line has
 the zero vector, whose likeness to itself is 1 and to any other vector 0;
@@ -26,16 +29,20 @@ ordered by the hash of their text and then the text, a NULL doc_id comes first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import doc_texts
 
-SIGN_LANES = 64
+NORM_LANES = 64
+NORM_BITS = 48
+STEP = 256  # lane units of a variate of 1
 SEEDS = (11, 23, 37, 53)
-MODULI = [2 ** 32] + [2 ** 16] * SIGN_LANES + [2 ** 32] * (2 * len(SEEDS))
+MODULI = [2 ** 32] + [2 ** NORM_BITS] * NORM_LANES + [2 ** 32] * (2 * len(SEEDS))
 _SENTENCE = r"(?<=[.!?])\\s+|\\n"
-_PAIR = (1 << 32) | 1  # two counters in one long; a text has fewer than 2^31 sentences
+_MASK = (1 << NORM_BITS) - 1
 
 
 def _parts(text: str, pattern: str) -> str:
@@ -44,16 +51,17 @@ def _parts(text: str, pattern: str) -> str:
 
 def with_lanes(df: DataFrame, text: str, out: str) -> DataFrame:
     """Append the fingerprint of a text column as an array of lanes."""
-    signs = ", ".join(f"aggregate(_h, 0L, (a, h) -> a + (shiftrightunsigned(h, {k}) & {_PAIR}L))" for k in range(32))
+    # tan of a uniform angle from -pi/2 to pi/2; the largest double below pi/2 has a tangent under 2^54.
+    norms = ", ".join(f"aggregate(_h, 0L, (a, h) -> (a + cast({STEP}D * tan(xxhash64(h, {k}L) * {math.pi / 2 ** 64!r}D) as bigint)) & {_MASK}L)"
+                      for k in range(NORM_LANES))
     wide = ", ".join(f"aggregate(_p, 0L, (a, p) -> a + (xxhash64(p, {s}) & 4294967295L)) & 4294967295L, "
                      f"aggregate(_p, 0L, (a, p) -> a + shiftrightunsigned(xxhash64(p, {s}), 32)) & 4294967295L" for s in SEEDS)
     kept = df.columns
     return (df.withColumn("_h", F.expr(f"transform({_parts(f"coalesce({text}, '')", _SENTENCE)}, x -> xxhash64(x))"))
             .withColumn("_p", F.expr(_parts(f"coalesce({text}, '')", r"\\n")))
-            .withColumn("_s", F.expr(f"array({signs})")).withColumn("_w", F.expr(f"array({wide})"))
+            .withColumn("_s", F.expr(f"array({norms})")).withColumn("_w", F.expr(f"array({wide})"))
             .select(*kept, F.expr(
-                "concat(array(cast(size(_h) as bigint)), transform(_s, p -> p & 65535L), "
-                "transform(_s, p -> shiftright(p, 32) & 65535L), _w)").alias(out)))
+                "concat(array(cast(size(_h) as bigint)), _s, _w)").alias(out)))
 
 
 def _lanewise(a: Column, b: Column, sign: int) -> Column:
@@ -75,15 +83,17 @@ def to_hex(lanes: Column) -> Column:
     """Lanes as one lower-case hex string of fixed width."""
     def part(first: int, count: int, digits: int) -> Column:
         return F.array_join(F.transform(F.slice(lanes, first, count), lambda x: F.lpad(F.lower(F.hex(x)), digits, "0")), "")
-    return F.concat(part(1, 1, 8), part(2, SIGN_LANES, 4), part(2 + SIGN_LANES, 2 * len(SEEDS), 8))
+    return F.concat(part(1, 1, 8), part(2, NORM_LANES, NORM_BITS // 4), part(2 + NORM_LANES, 2 * len(SEEDS), 8))
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated multiset Jaccard similarity of two lane columns, 0 to 1."""
     n, m = f"element_at({a}, 1)", f"element_at({b}, 1)"
-    step = "((x - y + 98304L) & 65535L) - 32768L"  # signed difference modulo 2^16
-    diff = (f"aggregate(zip_with(slice({a}, 2, {SIGN_LANES}), slice({b}, 2, {SIGN_LANES}), (x, y) -> {step}), 0D, "
-            f"(t, d) -> t + pow({n} - {m} - 2 * d, 2)) / {SIGN_LANES}")
+    half = 1 << (NORM_BITS - 1)
+    step = f"abs(((x - y + {half}L) & {_MASK}L) - {half}L)"  # difference nearest to 0
+    steps = (f"array_sort(zip_with(slice({a}, 2, {NORM_LANES}), slice({b}, 2, {NORM_LANES}), (x, y) -> {step}))")
+    middle = f"aggregate(slice({steps}, {NORM_LANES // 2}, 2), 0D, (t, d) -> t + d) / {2 * STEP}"
+    diff = f"greatest({middle}, abs({n} - {m}))"
     return F.expr(f"case when {a} = {b} then 1D when {n} + {m} = 0 then 0D "
                   f"else greatest(0D, least(1D, ({n} + {m} - {diff}) / ({n} + {m} + {diff}))) end")
 

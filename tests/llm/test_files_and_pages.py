@@ -168,6 +168,21 @@ def test_fingerprint_is_a_homomorphic_multiset_hash(spark):
     assert r["sum"] == whole and r["left"] == rest and r["same"] == 1.0 and 0.1 < r["l"] < 0.6
 
 
+def test_likeness_is_the_multiset_jaccard_of_repeated_lines(spark):
+    def text(seed, repeats):
+        return "\n".join([prose(seed, 9)] * repeats + [prose(1000 * seed + i, 9) for i in range(40)])
+
+    pairs = [(text(s, k), text(s, k // 2)) for s, k in enumerate((20, 40, 60, 90, 100) * 4, 1)]
+    pairs += [(text(s, 90), text(s, 45) + "\n" + text(s + 50, 20)) for s in range(30, 40)]
+    counts = [tuple(Counter(t.split("\n")) for t in p) for p in pairs]
+    exact = [(x & y).total() / (x | y).total() for x, y in counts]
+    flat = lanes(spark, [t for p in pairs for t in p])
+    df = spark.createDataFrame([(i, flat[2 * i], flat[2 * i + 1]) for i in range(len(pairs))], "i int, a array<long>, b array<long>")
+    got = [r["l"] for r in df.orderBy("i").select(multiset_hash.likeness("a", "b").alias("l")).collect()]
+    off = np.abs(np.array(got) - exact)
+    assert off.mean() < 0.06 and off.max() < 0.25
+
+
 def test_fingerprints_follow_the_next_document(spark):
     rows = [(i * 3, "\n".join(prose(100 * i + j, 12) + "." for j in range(i % 7 + 2))) for i in range(60)]
     rows += [(1000, None), (1001, ""), (1002, "é😀x"), (None, "no id"), (5000, "the last\nof all. lines")]
