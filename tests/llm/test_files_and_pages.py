@@ -183,6 +183,14 @@ def test_likeness_is_the_multiset_jaccard_of_repeated_lines(spark):
     assert off.mean() < 0.06 and off.max() < 0.25
 
 
+def test_likeness_of_texts_of_more_than_2_17_lines(spark):
+    lines = [f"l{i}" for i in range(140_000)]
+    whole, half, other = lanes(spark, ["\n".join(lines), "\n".join(lines[:70_000]), "\n".join(f"m{x}" for x in lines)])
+    df = spark.createDataFrame([(whole, half, other)], "w array<long>, h array<long>, o array<long>")
+    r = df.select(multiset_hash.likeness("w", "h").alias("half"), multiset_hash.likeness("w", "o").alias("none")).first()
+    assert 0.35 < r["half"] <= 0.5 and r["none"] < 0.2
+
+
 def test_fingerprints_follow_the_next_document(spark):
     rows = [(i * 3, "\n".join(prose(100 * i + j, 12) + "." for j in range(i % 7 + 2))) for i in range(60)]
     rows += [(1000, None), (1001, ""), (1002, "é😀x"), (None, "no id"), (5000, "the last\nof all. lines")]
