@@ -3,10 +3,13 @@
 A page becomes a light element tree.  Every paragraph (a block with text of its
 own) gives points for its length and commas to its ancestors, less the higher
 they are; an element's points are discounted by its link density and adjusted
-for its tag and its class and id words.  The container with the most points is
-kept, and those of its siblings that score well or read like prose.  Menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments, scripts
-and styles inside it are left out.
+for its tag and its class and id words.  Kept are the container with the most
+points, or the outermost article or main around it, and those of its siblings
+that score well or read like prose.  Outside an article or main, the elements
+around are taken whole as long as more than half of their text, without
+link lists, is what was kept so far, so titles, short sections and closing
+lines stay.  Menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments, scripts and styles inside are left out.
 
 Text rules: character references are decoded; a block is the text between
 block-level tags; white space in it, line breaks included, becomes one space; blocks are trimmed,
@@ -39,6 +42,7 @@ BOILERPLATE = frozenset("""head nav header footer aside form script style noscri
 #: A new one of these ends an open one of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select body html article section main div".split())
 
 BAD_NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|foot|footer|
@@ -180,23 +184,46 @@ def _final(e: Element) -> float:
 def main_text(page: str | None) -> str:
     root, texts = parse(page or "")
     order = _score(root, texts)
-    holders = [e for e in order if e.chars and not e.bad and e.tag not in ("p", "#", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
+    holders = [e for e in order if e.chars and not e.bad and e.tag not in ("p", "#", "li") and e.tag not in HEADINGS]
     if not holders:
-        kept = [root]
-    else:
-        best = max(holders, key=_final)
-        limit = max(10.0, 0.2 * _final(best))
-        kept = [e for e in best.parent.children
-                if e is best or not e.bad and e.chars and (
-                    _final(e) >= limit or e.tag == "p" and e.chars > 80 and e.link_chars < 0.25 * e.chars)]
+        return "\n".join(texts[b] for b in sorted(_blocks([root])))
+    best = max(holders, key=_final)
+    limit = max(10.0, 0.2 * _final(best))
+    top, e = best, best
+    while e is not None:
+        if e.tag in ("article", "main"):
+            top = e
+        e = e.parent
+    found: set[int] = set()
+    for centre in {best, top}:
+        found.update(_blocks([e for e in centre.parent.children if e is centre or not e.bad and e.chars and (
+            _final(e) >= limit or e.tag == "p" and e.chars > 80 and e.link_chars < 0.25 * e.chars)]))
+    if top.tag not in ("article", "main"):
+        article = chars = sum(len(texts[b]) for b in found)
+        e = top
+        while e.parent is not None:
+            around = _blocks([c for c in e.parent.children if c is not e], prose_only=True)
+            more = [b for b in e.parent.blocks + around if b not in found]
+            chars += sum(len(texts[b]) for b in more)
+            if chars >= 2 * article:
+                break
+            found.update(more)
+            e = e.parent
+    return "\n".join(texts[b] for b in sorted(found))
+
+
+def _blocks(kept: list[Element], prose_only: bool = False) -> list[int]:
+    """Blocks of the elements, without boilerplate and menus, or without
+    anything that is mostly links but a heading."""
     found: list[int] = []
     stack = list(kept)
     while stack:
         e = stack.pop()
-        if not e.bad and not _menu(e):
+        links = prose_only and e.link_chars > 0.5 * e.chars and e.tag not in HEADINGS
+        if not e.bad and not links and not _menu(e):
             found.extend(e.blocks)
             stack.extend(e.children)
-    return "\n".join(texts[b] for b in sorted(found))
+    return found
 
 
 def _menu(e: Element) -> bool:

@@ -248,6 +248,42 @@ def test_main_text_defined_cases(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = [f"Paragraph {i}, of some length, with commas, " + "and many more words " * 14 + "to its end." for i in range(20)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_an_article_keeps_all_its_sections():
+    short = ["A short section of sixty characters, which is kept as well.", "So is this line."]
+    nav = "<div><a href=1>Link one of many</a> <a href=2>Link two of many</a></div>"
+    inside = f"<h1>Title</h1><section>{paragraphs(LONG)}</section><section>{paragraphs(short)}</section><p>The end.</p>"
+    want = ["Title", *LONG, *short, "The end."]
+    for page in (f"<body><nav>menu</nav><article>{inside}</article><footer>foot</footer></body>",
+                 f"<body>{nav}<main><div><div>{inside}</div></div></main><aside>aside</aside></body>",
+                 f"<body>{nav}<div>{inside}<ul><li><a href=3>Another story</a></li></ul></div><footer>foot</footer></body>"):
+        assert html_extract.main_text(page).split("\n") == want
+
+
+def test_a_title_and_a_closing_line_outside_the_body_div_are_kept():
+    nav = "<div><a href=1>Link one of many</a> <a href=2>Link two of many</a></div>"
+    page = (f"<body>{nav}<div><h1><a href=s>Title</a></h1><div class=x>By somebody</div><div>{paragraphs(LONG)}</div><p>The end.</p></div>"
+            "<div class=sidebar>Other things</div></body>")
+    assert html_extract.main_text(page).split("\n") == ["Title", "By somebody", *LONG, "The end."]
+
+
+def test_text_around_that_is_not_mostly_the_article_stays_out():
+    other = "".join(f"<div><ul><li>Entry {i} of a long list of things {k}</li></ul></div>" for i in range(200) for k in range(3))
+    page = f"<body><div><div>{paragraphs(LONG)}</div></div><div>{other}</div></body>"
+    assert html_extract.main_text(page).split("\n") == LONG
+
+
+def test_sibling_articles_stay():
+    page = f"<body><article><section>{paragraphs(LONG[:10])}</section></article><article>{paragraphs(LONG[10:])}</article></body>"
+    assert html_extract.main_text(page).split("\n") == LONG
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<p>" + "wört " * 40_000, "y")],
                                   "page_id long, url string, html string, found string")
