@@ -8,7 +8,8 @@ passes the day's end; a row is dropped as late when its day ends before the
 watermark of the previous micro-batch (Spark's rule for late events), so a
 late row whose day is still in state is still counted.  How many rows each
 micro-batch dropped, as the stateful operator counts them (after the map-side
-sum), is returned beside the table.
+sum), is returned beside the table.  A query keeps the progress of its last
+micro-batches only, so the counts are taken at every micro-batch.
 
 The upsert is by key, so a replayed micro-batch changes nothing, and a fresh
 checkpoint goes on with the days that the table already holds.
@@ -16,10 +17,12 @@ checkpoint goes on with the days that the table already holds.
 
 from __future__ import annotations
 
+from concurrent.futures import Future
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.functions.scalars import event_time
 from fleetlens.operators.tables import exists, upsert_table
@@ -53,7 +56,16 @@ def stream_daily_revenue(spark: SparkSession, src_dir: str, out_dir: str, checkp
 
     ``files_per_trigger`` splits the input over micro-batches (no limit by
     default)."""
+    started: Future[StreamingQuery] = Future()
+    dropped: dict[int, int] = {}
+
+    def note_dropped() -> None:
+        """Of the batches before the running one, whose progress is reported by now."""
+        for p in started.result().recentProgress:
+            dropped[p["batchId"]] = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
+        note_dropped()
         if not batch.isEmpty():  # a no-data batch only evicts state
             month = F.date_format("validation_date", "yyyy-MM")
             upsert_table(batch.withColumn("month", month), out_dir, ["validation_date"], "month")
@@ -64,9 +76,10 @@ def stream_daily_revenue(spark: SparkSession, src_dir: str, out_dir: str, checkp
     q = (daily_revenue_stream(src.parquet(src_dir), watermark).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint).foreachBatch(upsert_batch)
          .trigger(availableNow=True).start())
+    started.set_result(q)
     q.awaitTermination()
-    dropped = [(p["batchId"], sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])) for p in q.recentProgress]
+    note_dropped()
     if not exists(spark, out_dir):
-        return RevenueRun(spark.createDataFrame([], DAILY_REVENUE), dropped)
+        return RevenueRun(spark.createDataFrame([], DAILY_REVENUE), sorted(dropped.items()))
     table = spark.read.schema(DAILY_REVENUE + ", month string").parquet(out_dir)
-    return RevenueRun(table.drop("month"), dropped)
+    return RevenueRun(table.drop("month"), sorted(dropped.items()))

@@ -45,6 +45,23 @@ def test_watermark_drops_late_rows(spark):
                    dt.date(2024, 3, 21): Decimal("0.50"), dt.date(2024, 3, 18): Decimal("16.00")}
 
 
+def test_every_batch_is_counted_however_many(spark):
+    src = scratch_path(spark, "ev-src")
+    for day in (1, 20, 21, 2, 3, 22):  # the two of March 2 and 3 are late
+        spark.createDataFrame([_ticket(dt.datetime(2024, 3, day, 8), "1.00")], TICKET).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # distinct file times: the file source reads oldest first
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(key, "2")
+    try:
+        run = stream_daily_revenue(spark, src, scratch_path(spark, "ev-out"), scratch_path(spark, "ev-ckpt"),
+                                   watermark="10 days", files_per_trigger=1)
+    finally:
+        spark.conf.unset(key)
+    ids = [b for b, _ in run.dropped]
+    assert ids == list(range(len(ids))) and len(ids) >= 6
+    assert sum(n for _, n in run.dropped) == 2 and run.table.count() == 4
+
+
 def test_restart_is_idempotent(spark):
     src = scratch_path(spark, "re-src")
     spark.createDataFrame([_ticket(dt.datetime(2024, 1, 5, 1), "1.50")], TICKET).write.parquet(src)
