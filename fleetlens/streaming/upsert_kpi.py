@@ -57,7 +57,8 @@ def stream_upsert_kpi(spark: SparkSession, trip_dir: str, ticket_dir: str, out_d
     """Drain new files of the trip store (Parquet, partitioned by
     service_month) and of the ticket store and return the maintained daily KPI
     table, itself partitioned by month.  ``files_per_trigger`` splits the input
-    over micro-batches (no limit by default)."""
+    over micro-batches (no limit by default).  A trip without a date fails the
+    job: it belongs to no day that could be kept current."""
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
@@ -73,7 +74,9 @@ def stream_upsert_kpi(spark: SparkSession, trip_dir: str, ticket_dir: str, out_d
             src = src.option("maxFilesPerTrigger", files_per_trigger)
         return src.parquet(path)
 
-    new_trips = stream(TRIP, trip_dir).select(F.lit(None).cast("bigint").alias("trip_id"), "service_date")
+    dated = F.when(F.col("service_date").isNull(), F.raise_error(F.lit("trip without a service date")).cast("date")
+                   ).otherwise(F.col("service_date"))
+    new_trips = stream(TRIP, trip_dir).select(F.lit(None).cast("bigint").alias("trip_id"), dated.alias("service_date"))
     new_tickets = stream(TICKET, ticket_dir).select("trip_id", F.lit(None).cast("date").alias("service_date"))
     q = (new_trips.unionByName(new_tickets).writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(upsert_batch).trigger(availableNow=True).start())

@@ -133,6 +133,13 @@ def test_late_trips_and_late_tickets_refresh_their_day(spark):
     assert _drain(spark, d, "fresh") == want                             # all files again
 
 
+def test_a_trip_without_a_date_fails(spark):
+    d = _kpi_stores(spark)
+    _add(spark, d, [(1, dt.date(2024, 1, 5)), (2, None)], [(1, "2.00")])
+    with pytest.raises(Exception, match="without a service date"):
+        _drain(spark, d)
+
+
 def test_a_batch_reads_only_the_months_it_touches(spark):
     d, day = _kpi_stores(spark), dt.date
     _add(spark, d, [(m, day(2024, m, 1)) for m in range(1, 13)], [(1, "2.00")])
