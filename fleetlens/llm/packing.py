@@ -10,7 +10,9 @@ the first bucket whose boundary holds it and is padded to it; a batch of a
 bucket holds floor(budget / boundary) documents, one at least.  Positions in a
 bucket follow the hash of the id.  They are numbered in slices of a bucket of
 about ``slice_rows`` rows, with offsets from the slice counts, so no task sorts
-a whole bucket.
+a whole bucket.  Rows of equal id and length differ in nothing but their place:
+they are numbered as one group with a count, and places are dealt out by
+``slice_rows`` at a time, so neither does a task hold all copies of one id.
 
 Defined cases: a NULL or empty text has length 1; a document longer than the
 budget is a batch of its own; rows with a NULL id take their place by their
@@ -93,8 +95,9 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 32768, slice_rows: in
     (number inside the bucket), place (inside the batch), padding."""
     spark = docs.sparkSession
     measured = doc_texts(docs).select("doc_id", token_length("text").alias("n_tokens"))
-    lengths = materialise(measured.withColumn("cell", grid_cell("n_tokens")), "lengths")
-    hist = [(r["cell"], r["n"]) for r in lengths.groupBy("cell").agg(F.count("*").alias("n")).collect()]  # the fixed grid
+    groups = measured.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
+    groups = materialise(groups.withColumn("cell", grid_cell("n_tokens")), "lengths")
+    hist = [(r["cell"], r["n"]) for r in groups.groupBy("cell").agg(F.sum("copies").alias("n")).collect()]  # the fixed grid
     bounds = boundaries(hist, buckets)
     if not bounds:
         bounds = [1]
@@ -106,13 +109,16 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 32768, slice_rows: in
         [(i, b, max(1, budget // b), slices[i]) for i, b in enumerate(bounds)], "bucket int, padded long, holds long, slices long"))
     of = "size(filter(array(" + ", ".join(f"{b}L" for b in bounds) + "), b -> b < cell))"
     order = F.xxhash64(F.coalesce("doc_id", "n_tokens"))
-    placed = (lengths.withColumn("bucket", F.expr(of)).join(per_bucket, "bucket")
+    placed = (groups.withColumn("bucket", F.expr(of)).join(per_bucket, "bucket")
               .withColumn("slice", F.pmod(order, F.col("slices"))))
-    counts = placed.groupBy("bucket", "slice").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("bucket", "slice").agg(F.sum("copies").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", "slice", F.coalesce(before, F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy(order, "doc_id", "n_tokens"))
-    at = F.col("offset") + F.col("rank") - 1
-    return (placed.withColumn("rank", rank).join(offsets, ["bucket", "slice"])
+    earlier = Window.partitionBy("bucket", "slice").orderBy(order, "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.explode(F.expr(f"sequence(0L, (copies - 1) div {slice_rows}L)"))
+    copy = F.explode(F.expr(f"sequence(part * {slice_rows}L, least(copies, (part + 1) * {slice_rows}L) - 1)"))
+    at = F.col("offset") + F.col("rank") + F.col("copy")
+    return (placed.withColumn("rank", F.coalesce(F.sum("copies").over(earlier), F.lit(0))).join(offsets, ["bucket", "slice"])
+            .withColumn("part", part).repartition("doc_id", "n_tokens", "part").withColumn("copy", copy)
             .select("doc_id", "n_tokens", "bucket", "padded", F.floor(at / F.col("holds")).cast("long").alias("batch"),
                     F.pmod(at, F.col("holds")).alias("place"), (F.col("padded") - F.col("n_tokens")).alias("padding")))

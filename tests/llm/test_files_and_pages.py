@@ -60,6 +60,24 @@ def test_pack_places_every_document_once(spark):
         assert sorted(sizes) == list(range(len(sizes))) and len({n for b, n in sizes.items() if b < len(sizes) - 1}) <= 1
 
 
+def test_pack_spreads_the_copies_of_one_key(spark):
+    rows = [(None, prose(i, 9)) for i in range(3000)] + [(5, "a b c")] * 3000 + [(10 + i, prose(i, 4)) for i in range(500)]
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.enabled")
+    for key in keys:
+        spark.conf.set(key, "false")
+    try:
+        got = packing.pack(docs_table(spark, rows), buckets=2, budget=1000, slice_rows=100).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key in keys:
+            spark.conf.set(key, "true")
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
+    places = {(r["bucket"], r["batch"] * (1000 // r["padded"]) + r["place"]) for r in got}
+    assert len(places) == len(rows)
+    for bucket in {b for b, _ in places}:
+        assert sorted(p for b, p in places if b == bucket) == list(range(sum(b == bucket for b, _ in places)))
+    assert max(Counter(r["task"] for r in got).values()) < len(rows) / 3
+
+
 def test_pack_edge_rows(spark):
     got = packing.pack(edge_docs(spark, clash=True)).collect()
     assert len(got) == edge_docs(spark).count()
