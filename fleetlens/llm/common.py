@@ -71,7 +71,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._folder = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of materialised frames that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(df._folder)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bounded_per_class(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import materialise
+from fleetlens.llm.common import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     smallest id it is connected to.  Self links and NULL ends are ignored."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     while True:
-        edges = materialise(_small_star(_large_star(edges)), "stars")
+        last = edges
+        edges = materialise(_small_star(_large_star(last)), "stars")
+        release(last)
         # Done when every id hangs on one centre and no centre hangs on another.
         several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         chained = edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").select("u")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import (decontaminate, html_extract, jaccard_join, lang_bitmask, multiset_hash, packing,
+from fleetlens.llm import (decontaminate, html_extract, jaccard_join, lang_bitmask, minhash_hamming, multiset_hash, packing,
                            quality_gbdt, token_rans, toxicity, warc_merkle)
 from fleetlens.llm.common import materialise
 from fleetlens.llm.common import read_table as table
@@ -45,7 +45,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, c
 FROM doc LEFT JOIN pos USING (r) LEFT JOIN items USING (r)"""
 
 
-OP2_SQL = r"""
+_LINK_SQL = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] ELSE list_distinct(list_transform(
@@ -54,13 +54,16 @@ sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
 rare AS (SELECT t FROM sh GROUP BY t HAVING count(*) > 1),
 pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
     FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id < b.doc_id WHERE a.t IN (SELECT t FROM rare)
-        AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        AND 100 * least(a.n, b.n) >= @NUM * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= @NUM * (any_value(a.n) + any_value(b.n) - count(*))),
 edge AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
 reach AS (SELECT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id@MORE
 FROM sets s LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON s.doc_id = c.a"""
 
+OP2_SQL = _LINK_SQL.replace("@NUM", "85").replace("@MORE", "")
+OP11_SQL = _LINK_SQL.replace("@NUM", "80").replace("@MORE", ", coalesce(c.c, s.doc_id) = s.doc_id AS kept")
+
 
 @query("op1_decontamination", OP1_SQL)
 def op1_decontamination(spark, sf_dir):
@@ -133,3 +136,8 @@ def op9_multiset_hash(spark, sf_dir):
 @query("op10_language")
 def op10_language(spark, sf_dir):
     return lang_bitmask.language(table(spark, sf_dir, "documents"))
+
+
+@query("op11_minhash_dedup", OP11_SQL)
+def op11_minhash_dedup(spark, sf_dir):
+    return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
