@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import (decontaminate, html_extract, jaccard_join, lang_bitmask, minhash_hamming, multiset_hash, packing,
-                           quality_gbdt, token_rans, toxicity, warc_merkle)
+from fleetlens.llm import (centroid_threshold, decontaminate, html_extract, jaccard_join, lang_bitmask, minhash_hamming, multiset_hash,
+                           packing, quality_gbdt, token_rans, toxicity, warc_merkle, whitening)
 from fleetlens.llm.common import materialise
 from fleetlens.llm.common import read_table as table
 
@@ -141,3 +141,38 @@ def op10_language(spark, sf_dir):
 @query("op11_minhash_dedup", OP11_SQL)
 def op11_minhash_dedup(spark, sf_dir):
     return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    near = """SELECT r, min(d * 64 + c) AS near FROM (SELECT v.r, c.c,
+        CAST(list_sum(list_transform(v.q, lambda x, i: (x - c.q[i]) * (x - c.q[i]))) AS BIGINT) AS d FROM v, {c} c) GROUP BY r"""
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q
+        FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 40))"""]
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({near.format(c=f'c{i}')})")
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(g.q, c{i}.q) AS q FROM c{i} LEFT JOIN (
+        SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS q FROM (
+            SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+            FROM (SELECT near % 64 AS c, unnest(range(64)) AS p, unnest(v.q) AS x FROM a{i} JOIN v USING (r)) GROUP BY c, p) GROUP BY c) g USING (c))""")
+    parts.append(f"final AS MATERIALIZED ({near.format(c=f'c{rounds}')})")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(near % 64 AS INTEGER) AS cluster, near // 64 AS distance,
+    CAST(sum(near // 64) OVER (PARTITION BY near % 64) AS BIGINT) AS cluster_inertia, CAST(sum(near // 64) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM final JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = near % 64"""
+
+
+OP12_SQL = _op12_sql()
+
+
+@query("op12_centroid_clusters", OP12_SQL)
+def op12_centroid_clusters(spark, sf_dir):
+    return centroid_threshold.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
