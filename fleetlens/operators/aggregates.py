@@ -154,22 +154,6 @@ def revenue_cents_per_trip(ticket: DataFrame) -> DataFrame:
             .groupBy("trip_id").agg(F.sum(unscaled("amount_eur")).alias("trip_revenue_cents")))
 
 
-def dated_revenue_cents_per_trip(trip: DataFrame, ticket: DataFrame) -> DataFrame:
-    """(trip_id, service_date, trip_revenue_cents): the per-trip revenue with
-    the trip's service date, so a store of it can be clustered and pruned by
-    date.  One row per trip on both sides of the join (no fan-out); tickets of
-    unknown trips and trips without tickets have no row, as in the left join
-    of ``daily_kpi_from_revenue``."""
-    return (trip.select("trip_id", "service_date")
-            .join(revenue_cents_per_trip(ticket), "trip_id"))
-
-
-def revenue_per_trip(ticket: DataFrame) -> DataFrame:
-    """Ticket revenue per trip id as DECIMAL."""
-    return revenue_cents_per_trip(ticket).select(
-        "trip_id", from_unscaled(F.col("trip_revenue_cents")).alias("trip_revenue"))
-
-
 def daily_kpi(trip: DataFrame, ticket: DataFrame) -> DataFrame:
     """Daily KPI rollup: km, boardings, ticket revenue of the day's trips,
     occupancy, delay (NULL as 0) and punctuality (NULL on time), 2 digits.

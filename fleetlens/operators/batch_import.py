@@ -1,21 +1,19 @@
 """The batch import as one flow: read the exports, validate, refresh trips,
 tickets and the daily KPIs together, and roll up.
 
-All tables of one import are written below one staging directory, and the
-swap is a rename of that directory.  A failure before it leaves the old tables
-as they are; a stop between the two renames leaves them under ``_previous``.
+All tables of one import are committed as one version of a manifest: a reader
+sees those of the import before or those of this one, wherever it stops.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.aggregates import daily_kpi
 from fleetlens.operators.joins import keep_known
-from fleetlens.operators.tables import _fs, add_columns_if_missing, check_unique
+from fleetlens.operators.manifest import Manifest, Transaction
+from fleetlens.operators.tables import add_columns_if_missing, check_unique
 from fleetlens.sources.files import read_tickets_csv, read_trips_csv
 
 TABLES = ("trip", "ticket", "daily_kpi")
@@ -27,19 +25,22 @@ def import_batch(spark: SparkSession, trip_paths, ticket_paths, root: str, trip_
     Trips get the evolved columns, and must have an id, unique, and a date.
     Tickets of unknown trips are left out; without ticket files the ticket table is empty.
     Returns the new tables."""
-    stage = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
-    add_columns_if_missing(read_trips_csv(spark, trip_paths, trip_names)).write.parquet(f"{stage}/trip")
-    trips = spark.read.parquet(f"{stage}/trip")
-    _validate(trips)
-    tickets = read_tickets_csv(spark, ticket_paths, ticket_names) if ticket_paths else _no_tickets(spark)
-    keep_known(tickets, trips.select("trip_id"), "trip_id").write.parquet(f"{stage}/ticket")
-    daily_kpi(trips, spark.read.parquet(f"{stage}/ticket")).write.parquet(f"{stage}/daily_kpi")
-    _swap(spark, stage, root)
+    def refresh(t: Transaction) -> None:
+        t.overwrite("trip", add_columns_if_missing(read_trips_csv(spark, trip_paths, trip_names)))
+        _validate(t.read("trip"))
+        tickets = read_tickets_csv(spark, ticket_paths, ticket_names) if ticket_paths else _no_tickets(spark)
+        t.overwrite("ticket", keep_known(tickets, t.read("trip").select("trip_id"), "trip_id"))
+        t.overwrite("daily_kpi", daily_kpi(t.read("trip"), t.read("ticket")))
+
+    Manifest(spark, root).update(refresh)
     return read_import(spark, root)
 
 
 def read_import(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{root.rstrip('/')}/current/{t}") for t in TABLES}
+    """All tables of the newest import."""
+    m = Manifest(spark, root)
+    version = m.version()
+    return {t: m.frame(version, t) for t in TABLES}
 
 
 def _no_tickets(spark: SparkSession) -> DataFrame:
@@ -52,17 +53,3 @@ def _validate(trips: DataFrame) -> None:
     if not bad.isEmpty():
         raise ValueError("trips without an id or a date")
     check_unique(trips, ["trip_id"])
-
-
-def _swap(spark: SparkSession, stage: str, root: str) -> None:
-    fs, new, jvm = _fs(spark, stage)
-    current, previous = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}") for n in ("current", "_previous"))
-    if fs.exists(previous):
-        fs.delete(previous, True)
-    had_old = fs.exists(current)
-    if had_old and not fs.rename(current, previous):
-        raise IOError(f"could not move {current} aside")
-    if not fs.rename(new, current):
-        if had_old:
-            fs.rename(previous, current)
-        raise IOError(f"could not move the new tables to {current}")

@@ -12,7 +12,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.measures import avg_delay, decimal_sum, exact_avg, on_time_rate
+from fleetlens.functions.measures import (avg_delay, count_if, decimal_sum, exact_avg, from_unscaled, on_time_flag, on_time_rate, rounded_ratio,
+                                          unscaled)
 from fleetlens.functions.scalars import fixed_digits, thousands
 from fleetlens.operators.aggregates import bus_status_counts, occupancy_and_km, overview_and_report_kpi
 from fleetlens.operators.filters import overdue
@@ -216,3 +217,30 @@ def period_report(trip: DataFrame, period: str = "month", start: _dt.date | None
                  decimal_sum("km", 0, "decimal(22,0)").alias("total_km"),
                  on_time_rate("delay_min", null_is_on_time=True, digits=1).alias("on_time_pct"))
             .orderBy("period_start"))
+
+
+def period_cube(trip: DataFrame) -> DataFrame:
+    """The report KPIs of every day, week and month, of all lines (line NULL)
+    and of each line, in one pass: (grain, scope, period_start, line, ...).
+
+    Trips are summed once per day and line; the six groupings are sets over
+    those sums, which add up, so the trips are neither read nor expanded again."""
+    sums = trip.groupBy("service_date", "line").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("boardings").cast("bigint")).alias("b"),
+        F.sum(unscaled("occupancy_pct")).alias("o"), F.count("occupancy_pct").alias("o_n"),
+        F.sum(F.coalesce(F.col("delay_min"), F.lit(0)).cast("bigint")).alias("d"), F.sum(unscaled("km")).alias("k"),
+        count_if(on_time_flag("delay_min")).alias("t"))
+    units = sums.select("*", *[F.to_date(F.date_trunc(u, F.col("service_date"))).alias(u) for u in PERIOD_UNITS])
+    # The line counts as a value of its own where it is NULL in the trips, told apart by the grouping id.
+    sets = [[u, *line] for u in PERIOD_UNITS for line in ([], ["line"])]
+    grouped = units.groupingSets(sets, *PERIOD_UNITS, "line").agg(
+        *[F.grouping(u).alias(f"g_{u}") for u in PERIOD_UNITS], F.grouping("line").alias("g_line"),
+        *[F.sum(c).alias(f"s_{c}") for c in ("n", "b", "o", "o_n", "d", "k", "t")])
+    grain, start = F.lit(None).cast("string"), F.lit(None).cast("date")
+    for u in PERIOD_UNITS:
+        grain, start = F.when(F.col(f"g_{u}") == 0, F.lit(u)).otherwise(grain), F.when(F.col(f"g_{u}") == 0, F.col(u)).otherwise(start)
+    return grouped.select(
+        grain.alias("grain"), F.when(F.col("g_line") == 1, F.lit("all")).otherwise(F.lit("line")).alias("scope"), start.alias("period_start"), "line",
+        F.col("s_n").alias("trips"), F.col("s_b").alias("boardings"),
+        rounded_ratio(from_unscaled(F.col("s_o")), F.col("s_o_n"), 1).alias("avg_occupancy"), rounded_ratio(F.col("s_d"), F.col("s_n"), 1).alias("avg_delay_min"),
+        F.round(from_unscaled(F.col("s_k")), 0).cast("decimal(22,0)").alias("total_km"), rounded_ratio(F.col("s_t") * 100, F.col("s_n"), 1).alias("on_time_pct"))

@@ -1,10 +1,10 @@
-"""Sinks and table maintenance: append, full refresh by directory swap,
-upsert, materialisation, schema evolution, cascading delete, load audit,
-physical layout and report outputs.
+"""Sinks and table maintenance: append, append once, full refresh, upsert,
+materialisation, schema evolution, cascading delete, load audit, physical
+layout and report outputs.
 
-Writers never read and overwrite the same path in one job: a refresh writes
-a new directory and swaps it in; an upsert builds the new version from the
-old one into a new directory.
+Tables that are replaced or changed live under a manifest (``manifest``): a
+refresh, an upsert or a checked load becomes visible in one step, and readers
+(``read_stored``) see the old or the new table, never a mixture.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 import datetime as _dt
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.manifest import Manifest
 from fleetlens.schemas import TRIP_EVOLUTION
 from fleetlens.session import checkpoint_root
 
@@ -24,38 +25,34 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+#: The table of a root that holds one only.
+TABLE = "table"
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the table that the writers below keep at ``path``."""
+    return Manifest(spark, path).read(TABLE)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, target, _ = _fs(spark, path)
-    return fs.exists(target)
-
-
-def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Full refresh: write the new contents to a sibling directory, then swap
-    it in by renames (old -> ``._previous``, new -> path) and drop the old
-    one last.  A failed write leaves the old contents untouched, and a stop
-    between the renames leaves them under ``._previous``, never deleted."""
-    spark = df.sparkSession
-    staging = path.rstrip("/") + "._staging"
-    df.write.mode("overwrite").format(fmt).save(staging)
-    fs, target, jvm = _fs(spark, path)
-    previous = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "._previous")
-    if fs.exists(previous):
-        fs.delete(previous, True)
-    had_old = fs.exists(target)
-    if had_old and not fs.rename(target, previous):
-        raise IOError(f"could not move {path} aside")
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
-        if had_old:
-            fs.rename(previous, target)
-        raise IOError(f"could not move the new contents to {path}")
-    if had_old:
-        fs.delete(previous, True)
+    return TABLE in Manifest(spark, path).version().tables
+
+
+def overwrite(df: DataFrame, path: str) -> None:
+    """Full refresh in one step: readers see the old contents until the new
+    ones are complete.  A failed or stopped write changes nothing, and two
+    writers never use one folder."""
+    Manifest(df.sparkSession, path).update(lambda t: t.overwrite(TABLE, df))
+
+
+def append_once(df: DataFrame, path: str, load_id: str, rules: dict[str, Column] | None = None, limit: int = 0) -> bool:
+    """Append a load under an id: a repeated or restarted load adds nothing a
+    second time (False), and other content under a used id is an error.  Rows
+    that break one of ``rules`` (name -> violating condition) more than
+    ``limit`` times reject the load; they are counted while it is written."""
+    added = []
+    Manifest(df.sparkSession, path).update(lambda t: added.append(t.append(TABLE, df, load_id, rules, limit)))
+    return added[-1]
 
 
 def split_null_keys(df: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
@@ -90,31 +87,21 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys, check: bool = True) -
     return keep.unionByName(without).unionByName(incoming.select(*existing.columns))
 
 
-def upsert_table(incoming: DataFrame, path: str, keys, partition_col: str) -> None:
-    """On-disk upsert of a Parquet table partitioned by ``partition_col``.
+def upsert_table(incoming: DataFrame, path: str, keys, partition_col: str, derived: Column | None = None) -> None:
+    """On-disk upsert of a table partitioned by ``partition_col``; a missing
+    table is created.
 
-    Only the partitions that ``incoming`` touches are read (partition pruning)
-    and replaced (dynamic partition overwrite); a missing table is created.
-    The incoming rows are computed once and the new partitions are complete in
-    the shared checkpoint folder before the old ones are replaced, so nothing
-    is read and overwritten in one job and a repeated call gives the same
-    table.
+    Only partitions that change are read and written anew, and all of them
+    change in one step.  With ``derived`` (the partition as a function of the
+    keys) those are the incoming rows' partitions; without it the stored keys
+    are looked up first, so that a key which moves to another partition leaves
+    its old one.  A repeated call gives the same table.
     """
-    spark = incoming.sparkSession
-    incoming = _stored(incoming)
-    check_unique(incoming, keys)
-    fs, target, _ = _fs(spark, path)
-    new = incoming
-    if fs.exists(target):
-        # one value per partition directory, as literals: they prune the scan's directories
-        touched = [r[0] for r in incoming.select(partition_col).distinct().collect()]
-        old = spark.read.schema(incoming.schema).parquet(path).where(F.col(partition_col).isin(touched))
-        new = _stored(upsert(old, incoming, keys, check=False))
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
-
-
-def _stored(df: DataFrame) -> DataFrame:
+    Manifest(incoming.sparkSession, path).update(lambda t: t.upsert(TABLE, incoming, list(keys), partition_col, derived))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared checkpoint folder."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -129,17 +116,6 @@ def materialize(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def materialize_clustered(df: DataFrame, path: str, order) -> DataFrame:
-    """Persist ``df`` range-partitioned and sorted by the columns ``order``, so
-    each file and row group covers a narrow key range and a range filter on
-    the first column skips the others by their min/max statistics.  The order
-    should be total (for example date, then id): the range partitioner splits
-    a hot first-column value over several files instead of one."""
-    (df.repartitionByRange(*order).sortWithinPartitions(*order)
-     .write.mode("errorifexists").parquet(path))
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-
-
 def add_columns_if_missing(df: DataFrame, spec=TRIP_EVOLUTION) -> DataFrame:
     """Schema evolution: add each missing (name, type, default) column; rows
     get the default (NULL when none).  Existing columns are left alone."""

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import STRIP_PATTERN, lenient_cast, lenient_time_seconds, seconds_to_hms
@@ -899,7 +898,7 @@ def q_full_refresh(spark, d):
     path = scratch_path(spark, "refresh")
     tbl.overwrite(ticket.where(F.col("payment_method") == "Bar"), path)
     tbl.overwrite(ticket, path)
-    return spark.read.schema(ticket.schema).parquet(path)
+    return tbl.read_stored(spark, path)
 
 
 @register("sink_upsert_daily", with_tables("trip", "ticket", extra=(
@@ -916,12 +915,12 @@ def q_upsert(spark, d):
     tbl.upsert_table(with_month(_daily(t)), path, ["service_date"], MONTH)
     doubled = agg.daily_kpi(t.trip.withColumn("boardings", F.col("boardings") * 2), t.ticket)
     # the last day arrives twice: as itself and as the day after
-    last = F.max("service_date").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.lit(tbl.read_stored(spark, path).agg(F.max("service_date")).first()[0])
     days = F.when(F.col("service_date") == last, F.array("service_date", F.date_add("service_date", 1))).otherwise(F.array("service_date"))
     incoming = (doubled.where(F.col("service_date") >= F.lit(bnd.UPSERT_FROM)).withColumn("days", days)
                 .withColumn("service_date", F.explode("days")).drop("days"))
     tbl.upsert_table(with_month(incoming), path, ["service_date"], MONTH)
-    return spark.read.schema(DAILY_KPI).parquet(path).select(*DAILY_KPI.fieldNames())
+    return tbl.read_stored(spark, path).select(*DAILY_KPI.fieldNames())
 
 
 @register("sink_insert_select", DAILY + "SELECT *, CAST(year(service_date) AS INT) AS service_year FROM daily")

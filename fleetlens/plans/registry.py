@@ -31,5 +31,5 @@ def register(key: str, oracle: str | None, note: str = ""):
 
 def registry() -> dict[str, RegisteredQuery]:
     # Importing the query modules fills the registry.
-    from fleetlens.plans import queries  # noqa: F401
+    from fleetlens.plans import load_queries, queries  # noqa: F401
     return dict(_REGISTRY)

@@ -11,20 +11,24 @@ range between them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.aggregates import daily_kpi_from_revenue, revenue_cents_per_trip
 from fleetlens.operators.joins import keep_known
-from fleetlens.operators.tables import exists, upsert_table
+from fleetlens.operators.tables import exists, read_stored, upsert_table
 from fleetlens.schemas import DAILY_KPI, TICKET, TRIP
 
 MONTH = "service_month"
 
 
+def _month() -> Column:
+    return F.date_format("service_date", "yyyy-MM")
+
+
 def with_month(df: DataFrame) -> DataFrame:
-    return df.withColumn(MONTH, F.date_format("service_date", "yyyy-MM"))
+    return df.withColumn(MONTH, _month())
 
 
 def read_trip_store(spark: SparkSession, trip_dir: str) -> DataFrame:
@@ -66,7 +70,7 @@ def stream_upsert_kpi(spark: SparkSession, trip_dir: str, ticket_dir: str, out_d
         tickets = spark.read.schema(TICKET).parquet(ticket_dir)
         days = touched_days(batch, trips).checkpoint(eager=True)  # a row per touched day
         if not days.isEmpty():
-            upsert_table(with_month(recompute_days(trips, tickets, days)), out_dir, ["service_date"], MONTH)
+            upsert_table(with_month(recompute_days(trips, tickets, days)), out_dir, ["service_date"], MONTH, _month())
 
     def stream(schema, path):
         src = spark.readStream.schema(schema)
@@ -83,4 +87,4 @@ def stream_upsert_kpi(spark: SparkSession, trip_dir: str, ticket_dir: str, out_d
     q.awaitTermination()
     if not exists(spark, out_dir):
         return spark.createDataFrame([], DAILY_KPI)
-    return spark.read.schema(DAILY_KPI).parquet(out_dir).select(*DAILY_KPI.fieldNames())
+    return read_stored(spark, out_dir).select(*DAILY_KPI.fieldNames())

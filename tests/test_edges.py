@@ -195,7 +195,7 @@ def test_upsert_and_swap(spark):
     path = scratch_path(spark, "swap-test")
     tbl.overwrite(a, path)
     tbl.overwrite(b, path)
-    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [20, 30]
+    assert sorted(r.v for r in tbl.read_stored(spark, path).collect()) == [20, 30]
 
 
 def test_cascade_delete(spark):
@@ -255,17 +255,14 @@ def test_jdbc_partitioned_read_needs_bounds(spark):
         read_jdbc(spark, "jdbc:none", "trip", key="trip_id")
 
 
-def test_full_refresh_replaces_and_leaves_no_sibling(spark):
-    from fleetlens.operators.tables import overwrite
+def test_full_refresh_replaces_and_old_readers_keep_theirs(spark):
     from fleetlens.session import scratch_path
 
     path = scratch_path(spark, "refresh-swap")
-    overwrite(spark.range(5), path)
-    overwrite(spark.range(3), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2]
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "._previous")
-    assert not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    tbl.overwrite(spark.range(5), path)
+    old = tbl.read_stored(spark, path)
+    tbl.overwrite(spark.range(3), path)
+    assert sorted(r.id for r in tbl.read_stored(spark, path).collect()) == [0, 1, 2] and old.count() == 5
 
 
 def test_one_pass_cards_equal_two_block_cards(spark):
@@ -348,13 +345,13 @@ def test_upsert_table_replaces_touched_partitions_only(spark):
     tbl.upsert_table(spark.createDataFrame([(1, 1, "a"), (2, 2, "a"), (3, 3, "b")], schema), path, ["day"], "part")
 
     def files(part):
-        return {r.f for r in spark.read.parquet(path).where(F.col("part") == part).select(F.input_file_name().alias("f")).collect()}
+        return {r.f for r in tbl.read_stored(spark, path).where(F.col("part") == part).select(F.input_file_name().alias("f")).collect()}
 
     before = files("b")
     change = spark.createDataFrame([(2, 20, "a"), (9, 90, "c")], schema)
     for _ in range(2):  # a repeated call changes nothing
         tbl.upsert_table(change, path, ["day"], "part")
-        assert sorted((r.day, r.v, r.part) for r in spark.read.parquet(path).collect()) == [
+        assert sorted((r.day, r.v, r.part) for r in tbl.read_stored(spark, path).collect()) == [
             (1, 1, "a"), (2, 20, "a"), (3, 3, "b"), (9, 90, "c")]
     assert files("b") == before
     with pytest.raises(ValueError):

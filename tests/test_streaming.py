@@ -1,5 +1,5 @@
-"""Streaming: late rows beyond the watermark are dropped; a drained stream
-equals the batch result; a replayed stream (same checkpoint) changes nothing."""
+"""Streaming: late rows beyond the watermark go to a side table; a drained stream
+equals the batch result; replayed files change nothing; orphans wait for their trip."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.operators.manifest import Manifest
 from fleetlens.schemas import TICKET, TRIP
 from fleetlens.session import scratch_path
-from fleetlens.streaming.daily_revenue import stream_daily_revenue
+from fleetlens.streaming.daily_revenue import merge_late, stream_daily_revenue
+from fleetlens.streaming.orphans import heartbeat, stream_orphans
 from fleetlens.streaming.upsert_kpi import MONTH, read_trip_store, recompute_days, stream_upsert_kpi, with_month
 
 
@@ -83,6 +85,38 @@ def test_fresh_checkpoint_adds_to_the_table(spark):
     assert {r.validation_date.day: r.revenue for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 7}
 
 
+@pytest.mark.parametrize("order", [(1, 20, 21, 2, 3), (21, 3, 20, 2, 1), (3, 2, 1, 20, 21)])
+def test_table_and_late_rows_are_all_tickets_in_any_order(spark, order):
+    src, out = scratch_path(spark, "lt-src"), scratch_path(spark, "lt-out")
+    for day in order:
+        rows = [_ticket(dt.datetime(2024, 3, day, 8), f"{day}.25"), _ticket(dt.datetime(2024, 3, day, 9), "1.00")]
+        spark.createDataFrame(rows, TICKET).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    run = stream_daily_revenue(spark, src, out, scratch_path(spark, "lt-ck"), watermark="5 days", files_per_trigger=1)
+    every = {dt.date(2024, 3, d): Decimal(f"{d}.25") + 1 for d in order}
+    late = {}
+    for r in run.late.collect():
+        late[r.validated_at.date()] = late.get(r.validated_at.date(), 0) + r.amount_eur
+        assert order[r.batch_id] == r.validated_at.day
+    got = {r.validation_date: r.revenue for r in run.table.collect()}
+    assert not set(got) & set(late) and got | late == every
+    assert {d.day for d in late} == {(1, 20, 21, 2, 3): {2, 3}, (21, 3, 20, 2, 1): {3, 2, 1}, (3, 2, 1, 20, 21): set()}[order]
+    assert {r.validation_date: r.revenue for r in merge_late(spark, out).collect()} == every
+    assert {r.validation_date: r.revenue for r in merge_late(spark, out).collect()} == every  # nothing left to merge
+
+
+def test_a_batch_stopped_before_its_commit_and_files_read_again_count_once(spark, monkeypatch):
+    src, out, ck = (scratch_path(spark, n) for n in ("st-src", "st-out", "st-ck"))
+    spark.createDataFrame([_ticket(dt.datetime(2024, 3, 1, 8), "2.00")], TICKET).write.parquet(src)
+    with monkeypatch.context() as m:
+        m.setattr(Manifest, "put", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(Exception, match="stopped"):
+            stream_daily_revenue(spark, src, out, ck, watermark="1 day")
+    for checkpoint in (ck, ck, scratch_path(spark, "st-fresh")):
+        run = stream_daily_revenue(spark, src, out, checkpoint, watermark="1 day")
+        assert [r.revenue for r in run.table.collect()] == [Decimal("2.00")] and run.late.count() == 0
+
+
 def test_a_ticket_without_a_time_fails(spark):
     src = scratch_path(spark, "nt-src")
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in TICKET.fields])
@@ -149,3 +183,61 @@ def test_a_batch_reads_only_the_months_it_touches(spark):
     assert sorted(str(r.service_date) for r in got.collect()) == ["2024-01-01", "2024-12-01"]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [service_month" in plan
+
+
+# --- orphans
+
+
+def _put(spark, path, schema, rows):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def _sold(trip, day, amount="1.00"):
+    return (trip, dt.datetime(2024, 3, day, 8), "A", Decimal(amount), "Bar", "H1")
+
+
+def _trip(trip, day):
+    return (trip, dt.date(2024, 3, day), "1", *[None] * (len(TRIP.fields) - 3))
+
+
+def test_tickets_wait_for_their_trip_then_become_orphans(spark):
+    d = [scratch_path(spark, n) for n in ("or-tickets", "or-trips", "or-out", "or-ck")]
+    tickets, trips = d[:2]
+
+    def drain():
+        return sorted(r.trip_id for r in stream_orphans(spark, *d, wait="3 days", after="5 days").table.collect())
+
+    _put(spark, tickets, TICKET, [_sold(1, 2), _sold(2, 2), _sold(3, 2), _sold(None, 2)])
+    _put(spark, trips, TRIP, [_trip(1, 1)])
+    assert drain() == []                                   # 2 and 3 wait
+    _put(spark, trips, TRIP, [_trip(2, 2)])                # a ticket before its trip, after a restart
+    _put(spark, tickets, TICKET, [_sold(4, 3)])
+    assert drain() == []
+    _put(spark, trips, TRIP, [_trip(9, 20)])
+    _put(spark, tickets, TICKET, [_sold(9, 20)])
+    assert drain() == [3, 4]                               # both streams are past March 17
+    assert drain() == [3, 4]
+    _put(spark, trips, TRIP, [_trip(3, 2)])                # after the time is over: it stays an orphan
+    assert drain() == [3, 4]
+    _put(spark, tickets, TICKET, [_sold(9, 21), _sold(8, 21), _sold(9, 28)])  # trip 9 is too long ago for the last one
+    heartbeat(spark, tickets, trips, dt.datetime(2024, 6, 1))
+    assert drain() == [3, 4, 8, 9]
+
+
+def test_orphans_of_a_replayed_batch_are_kept_once(spark, monkeypatch):
+    d = [scratch_path(spark, n) for n in ("rp-tickets", "rp-trips", "rp-out", "rp-ck")]
+    _put(spark, d[0], TICKET, [_sold(1, 2), _sold(2, 2)])
+    _put(spark, d[1], TRIP, [_trip(1, 1)])
+    heartbeat(spark, d[0], d[1], dt.datetime(2024, 6, 1))
+    plain, calls = Manifest.put, []
+
+    def commits_then_stops(self, version):
+        plain(self, version)
+        calls.append(version.number)
+        raise RuntimeError("stopped after the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(Manifest, "put", commits_then_stops)
+        with pytest.raises(Exception, match="stopped after the commit"):
+            stream_orphans(spark, *d, wait="3 days", after="5 days")
+    assert [r.trip_id for r in stream_orphans(spark, *d, wait="3 days", after="5 days").table.collect()] == [2] and len(calls) == 1
