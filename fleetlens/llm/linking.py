@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import map_arrow, materialise, release
 from fleetlens.llm.components import components
 
+#: Times that families are handed over to a common smallest leader.
+HAND_OVERS = 2
 SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -188,15 +190,25 @@ def _with_component(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _open_families(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The memberships of families in which a pair is undecided: members besides
-    the leader lie in several components, and not all of the members belong to
-    the family of one smaller leader too."""
-    home = members.groupBy("id").agg(F.min("lead").alias("home"))
-    known = _with_component(members, found).join(home, "id")
+    """The memberships of families in which a pair is undecided: their members
+    besides the leader lie in several components.
+
+    The buckets of one group of near copies have many leaders whose families are
+    much the same.  A family of which most members have the same smallest leader is
+    handed over to that one, as a whole, so every pair still shares a family;
+    memberships never become more by that."""
     other = F.when(F.col("id") != F.col("lead"), F.col("component"))
-    wanted = (known.groupBy("lead").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.min("home").alias("near"), F.max("home").alias("far"))
-              .where("lo != hi and (near != far or near = lead)").select("lead"))
-    return materialise(members.join(wanted, "lead", "left_semi"), "families")
+    wide = _with_component(members, found).groupBy("lead").agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo != hi").select("lead")
+    kept = materialise(members.join(wide, "lead", "left_semi"), "families")
+    for _ in range(HAND_OVERS):
+        home = kept.groupBy("id").agg(F.min("lead").alias("home"))
+        votes = kept.join(home, "id").groupBy("lead", "home").agg(F.count("*").alias("n"))
+        size = kept.groupBy("lead").agg(F.count("*").alias("members"))
+        to = votes.join(size, "lead").where("2 * n > members").select("lead", F.col("home").alias("to"))
+        last = kept
+        kept = materialise(last.join(to, "lead", "left").select(F.coalesce("to", "lead").alias("lead"), "id").distinct(), "families")
+        release(last)
+    return kept
 
 
 def _differences(members: DataFrame, sets: DataFrame, centre: str) -> DataFrame:
