@@ -19,17 +19,9 @@ and no pair is lost.  A set joins its own band and, if it may link to sets above
 the next.
 
 Sets are 64-bit hashes of the n-grams.  Documents with equal sets form one class,
-represented by the smallest id.  Links are found in rounds: in each bucket of a
-signature the first members (1, then 16, 272, ... more) are compared with all others
-of another component, exactly, on the sets; then components are joined and buckets
-that lie in one component drop out.  So a bucket of near copies costs one
-comparison a member, and still every pair that could join two components is
-decided.  Members of such a group that are too far from its leader to link need not
-all be compared with each other: if x and y differ from the same leader in d and e
-tokens, they differ from each other in d + e - 2 s, where s counts the leader's
-tokens that both lost and the new ones that both gained; either count is at most
-what the one or the other shares with any member at all.  Pairs that this bound
-rules out are left out.
+represented by the smallest id.  Sets that share a signature are compared and joined
+by ``linking``: a group of near copies costs a number of comparisons linear in its
+size, and still every pair that could join two components is decided.
 
 Defined cases: a NULL text or one without words has the empty set and links to
 nothing; rows with a NULL doc_id have no component (NULL) and link to nothing;
@@ -44,14 +36,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.llm.common import doc_texts, free_name, map_arrow, materialise
-from fleetlens.llm.components import components
+from fleetlens.llm.common import doc_texts, free_name, map_arrow, materialise, quoted, release
+from fleetlens.llm.linking import SEEDS, Threshold, class_sets, classes_of, find_components, label, leader_pairs, mix, set_key
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _CACHE_WORDS = 300_000
 _CACHE: dict[bytes, int] = {}
 
@@ -62,21 +54,10 @@ SPARE_SEGMENTS = 1.15
 SHARED_TOKEN = 0.01
 PAIR_COST = 20.0
 BYTES_PER_TOKEN = 6.3
-#: Growth of the number of leaders from round to round.
-MORE_LEADERS = 16
-#: Differences from a leader are kept up to this many times what a link allows.
-FAR = 6
 #: Ids up to this many (16 MB of longs) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finalising hash of 64-bit integers."""
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ x >> np.uint64(33)
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Distinct hashes of the word n-grams (A-Z lower-cased, words between
     white space); a shorter text is one n-gram."""
@@ -91,7 +72,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     n = max(1, len(h) - width + 1)
     out = np.full(n, np.uint64(min(width, len(h))))
     for i in range(min(width, len(h))):
-        out = mix(out * _SEEDS[0] + h[i:i + n])
+        out = mix(out * SEEDS[0] + h[i:i + n])
     return np.unique(out)
 
 
@@ -129,15 +110,15 @@ class Scheme:
         need = self.differences(len(tokens) + min(largest, band.high)) + 1
         if need == 1:
             return np.empty(0, np.uint64)  # only equal sets, which are one class
-        salt = np.uint64((band.number + 1) * int(_SEEDS[1]) % 2 ** 64)
+        salt = np.uint64((band.number + 1) * int(SEEDS[1]) % 2 ** 64)
         width = np.uint64(2 * band.deleting + band.plain)
         place = (mix(tokens ^ salt) >> np.uint64(32)) * width >> np.uint64(32)
         double = np.uint64(2 * band.deleting)
         at = np.where(place < double, place >> np.uint64(1), place - double + np.uint64(band.deleting)).astype(np.int64)
-        weight = mix(tokens + _SEEDS[2])
+        weight = mix(tokens + SEEDS[2])
         total = np.zeros(band.deleting + band.plain, np.uint64)
         np.add.at(total, at, weight)
-        name = (np.arange(len(total)).astype(np.uint64) + np.uint64(1)) * _SEEDS[3] ^ salt
+        name = (np.arange(len(total)).astype(np.uint64) + np.uint64(1)) * SEEDS[3] ^ salt
         out = []
         used = min(band.deleting, -(-need // 2))
         if used:
@@ -194,7 +175,7 @@ def _profiles(texts: DataFrame, width: int, scheme: Scheme) -> DataFrame:
             ids, rows, sigs, seen = b.column(0), [], [], set()
             for known, text in zip(ids.is_valid().to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = shingle_set(text, width)
-                key = int(mix(t + _SEEDS[0]).sum()), int(mix(t ^ _SEEDS[3]).sum()), len(t)
+                key = set_key(t)
                 rows.append(key)
                 if not known or key in seen or not len(t):
                     sigs.append(np.empty(0, np.uint64))
@@ -211,115 +192,6 @@ def _profiles(texts: DataFrame, width: int, scheme: Scheme) -> DataFrame:
     return materialise(map_arrow(texts, run, "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "profiles")
 
 
-def _buckets(profiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, id, n): the classes that meet in a signature, two at least."""
-    rows = profiles.select(F.explode("sigs").alias("sig"), "doc_id")
-    w = Window.partitionBy("sig")
-    met = rows.withColumn("c", F.count("*").over(w)).where("c > 1").select("sig", "doc_id")
-    rep = profiles.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", "id", "n")
-    return materialise(met.join(rep, "doc_id").select("sig", "id", "n").distinct(), "buckets")
-
-
-def _few(ids: DataFrame) -> bool:
-    """Whether a materialised id list is small enough to broadcast."""
-    return ids.count() <= BROADCAST_IDS
-
-
-def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the documents that a comparison may need."""
-    ids = materialise(ids.distinct(), "ids")
-    wanted = texts.join(F.broadcast(ids) if _few(ids) else ids, F.col("doc_id") == F.col("id"), "left_semi")
-
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "tokens"])
-
-    return materialise(map_arrow(wanted, run, "id long, tokens array<long>"), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Whether the sets of each (a, b) are similar enough, in how many tokens
-    they differ and, unless they are far apart, in which."""
-    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-            .join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-            .select("a", "b", "x", "y", F.size("x").alias("r"), F.size("y").alias("s"), F.size(F.array_intersect("x", "y")).alias("i")))
-    differ = F.col("r") + F.col("s") - 2 * F.col("i")
-    near = differ * (den + num) <= FAR * (F.col("r") + F.col("s")) * (den - num)
-    return both.select("a", "b", (den * F.col("i") >= num * (F.col("r") + F.col("s") - F.col("i"))).alias("linked"),
-                       differ.alias("d"), F.when(near, F.array_except("x", "y")).alias("lost"), F.when(near, F.array_except("y", "x")).alias("gained"))
-
-
-def _deltas(checked: DataFrame) -> DataFrame:
-    """(id, lead, d, ul, ug): for every set near a leader (the smallest it was
-    compared with), in how many tokens it differs from it, and how many of the
-    tokens it lost and gained another set lost or gained too."""
-    lead = checked.where("lost is not null").groupBy("b").agg(F.min("a").alias("a"))
-    own = checked.join(lead, ["a", "b"]).select(F.col("a").alias("lead"), F.col("b").alias("id"), "d", "lost", "gained")
-    tokens = own.select("lead", "id", F.explode(F.concat(
-        F.transform("lost", lambda t: F.struct(t.alias("t"), F.lit(1).alias("l"), F.lit(0).alias("g"))),
-        F.transform("gained", lambda t: F.struct(t.alias("t"), F.lit(0).alias("l"), F.lit(1).alias("g"))))).alias("x")).select("lead", "id", "x.*")
-    shared = tokens.groupBy("lead", "t").agg(F.count("*").alias("n")).where("n > 1").select("lead", "t")
-    u = tokens.join(shared, ["lead", "t"], "left_semi").groupBy("lead", "id").agg(F.sum("l").alias("ul"), F.sum("g").alias("ug"))
-    found = own.select("lead", "id", "d").join(u, ["lead", "id"], "left").select(
-        "id", "lead", "d", F.coalesce("ul", F.lit(0)).alias("ul"), F.coalesce("ug", F.lit(0)).alias("ug"))
-    itself = own.select("lead").distinct().join(own.select(F.col("id").alias("lead")), "lead", "left_anti")
-    return materialise(found.unionByName(itself.selectExpr("lead as id", "lead", "0 as d", "0L as ul", "0L as ug")), "deltas")
-
-
-def _family_pairs(ranked: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one leader's sets that may link.  They differ in d + da - 2 *
-    (what both lost or both gained) tokens; each pair is made once, however
-    many signatures it shares."""
-    member = ranked.select("id", "n", "component").distinct().join(deltas, "id")
-    other = member.select("lead", *[F.col(c).alias(v) for c, v in (("id", "a"), ("n", "na"), ("component", "ca"), ("d", "da"), ("ul", "ula"), ("ug", "uga"))])
-    shared = F.least("ul", "ula") + F.least("ug", "uga")
-    differences = F.floor((F.col("n") + F.col("na")) * (den - num) / (den + num))
-    return member.join(other, "lead").where("id > a").where(F.col("d") + F.col("da") - 2 * shared <= differences)
-
-
-def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Components (id, component) over all verified links of the buckets."""
-    live = buckets.withColumn("component", F.col("id"))
-    first, stop = 0, 1
-    tried = links = found = deltas = None
-    while True:
-        if found is not None:
-            live = (buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-            spread = live.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
-            live = live.join(spread, "sig", "left_semi")
-        ranked = materialise(live.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("id")) - 1), "live")
-        if ranked.where(F.col("rank") > first).isEmpty():
-            break
-        alike = f"{den} * least(n, na) >= {num} * greatest(n, na) and component != ca"
-        other_lead = F.lit(True)
-        if tried is not None:
-            family = None
-            if deltas is None:
-                deltas = _deltas(checked)  # noqa: F821  of the first round
-                family = _family_pairs(ranked, deltas, num, den).where(alike)
-            ranked = ranked.join(deltas.select("id", "lead"), "id", "left")
-            other_lead = F.coalesce(F.col("lead") != F.col("la"), F.lit(True))
-        else:
-            ranked, family = ranked.selectExpr("*", "null as lead"), None
-        lead = ranked.where((F.col("rank") >= first) & (F.col("rank") < stop)).select(
-            "sig", *[F.col(c).alias(v) for c, v in (("id", "a"), ("n", "na"), ("component", "ca"), ("rank", "ra"), ("lead", "la"))])
-        pairs = ranked.join(lead, "sig").where("rank > ra").where(alike).where(other_lead).select("a", F.col("id").alias("b"))
-        pairs = (pairs if family is None else pairs.unionByName(family.select("a", F.col("id").alias("b")))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = materialise(_verified(pairs, sets, num, den), "checked")
-        new = checked.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        if found is None or not new.isEmpty():
-            found = materialise(components(links), "components")
-        first, stop = stop, MORE_LEADERS * stop + 1
-    return found
-
-
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, for links
     den * |intersection| >= num * |union|."""
@@ -328,30 +200,38 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     hist = texts.where("text is not null").groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()  # at most 8 rows an octave
     scheme = allocate(num, den, {max(1, int(2 ** (r["s"] / 8))): r["n"] for r in hist})
     profiles = _profiles(texts, width, scheme)
-    classes = (profiles.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")))
-    classes = materialise(classes, "classes")
-    buckets = _buckets(profiles, classes)
-    found = _links(buckets, _sets(texts, buckets.select("id"), width), num, den)
-    # Copies of one class are joined to one row; AQE splits a hot class.
-    rep = profiles.select("doc_id", "n", "k1", "k2").join(classes.withColumnRenamed("id", "rep"), ["k1", "k2", "n"], "left")
-    if found is not None:
-        rep = rep.join(found, F.col("rep") == F.col("id"), "left")
-    else:
-        rep = rep.withColumn("component", F.lit(None).cast("long"))
-    return rep.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    classes = classes_of(profiles)
+    pairs = leader_pairs(profiles, classes)
+    sets = class_sets(texts, pairs, classes, lambda text: shingle_set(text, width))
+    found = find_components(pairs, sets, classes, Threshold(num, den))
+    release(pairs, sets)
+    return label(profiles, classes, found)
+
+
+def _few(ids: DataFrame) -> bool:
+    """Whether a materialised id list is small enough to broadcast."""
+    return ids.count() <= BROADCAST_IDS
+
+
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    return _orderable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType))
 
 
 def keep_one_per_component(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` (all columns) without those whose component has a
-    smaller id; of repeated rows of one id one stays.  Rows with a NULL id stay."""
+    smaller id; of several rows of one id the smallest stays (columns without an
+    order, such as maps, do not count).  Rows with a NULL id stay."""
     grouped = materialise(near_duplicates(docs, **how), "grouped")
-    name, place = free_name(docs.columns, "gone"), free_name(docs.columns, "place")
+    name, row = free_name(docs.columns, "gone"), free_name(docs.columns, "row")
     gone = materialise(grouped.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     key = F.col("doc_id").cast("long") == F.col(name)
     kept = docs.join(F.broadcast(gone) if _few(gone) else gone, key, "left_anti")
     if grouped.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
-    at = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    one = kept.where("doc_id is not null").withColumn(place, F.row_number().over(at)).where(F.col(place) == 1).drop(place)
-    return one.unionByName(kept.where("doc_id is null"))
+    every = quoted(docs.columns)
+    order = [q for q, f in zip(every, docs.schema.fields, strict=True) if _orderable(f.dataType)]
+    # A grouped minimum, so copies of one id are reduced before the shuffle.
+    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*every), F.struct(*order)).alias(row))
+    return one.select(f"{row}.*").unionByName(kept.where("doc_id is null"))

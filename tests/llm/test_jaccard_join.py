@@ -116,6 +116,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, None, None, 4], key=str)
 
 
+def test_one_row_of_an_id_stays_beside_maps_and_odd_names(spark):
+    rows = [(1, prose("k", 50)), (1, prose("k", 50)), (1, prose("m", 40)), (2, prose("k", 50)), (None, "x"), (None, "x")]
+    docs = docs_table(spark, rows).selectExpr("*", "map('k', doc_id) as m", "7 as `a.b`")
+    kept = keep_one_per_component(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, None, None]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 40), st.integers(0, 10 ** 9), st.sampled_from([(85, 100), (1, 2), (9, 10)]),
        st.sampled_from([1, 10 ** 3, 10 ** 7, 10 ** 9]))
