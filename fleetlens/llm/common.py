@@ -97,6 +97,11 @@ def bounded_per_class(rows: DataFrame, key: str, label: str, per_class: int) ->
     return thin.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_class).select(*rows.columns)
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as identifiers, whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def free_name(taken: list[str], base: str) -> str:
     low = {c.lower() for c in taken}
     while base.lower() in low:

@@ -3,28 +3,33 @@
 Test items are normalised to words (A-Z lower-cased, every other ASCII
 non-alphanumeric byte a separator).  Each window of ``window`` consecutive item
 words - an item with fewer words is one window - is a pattern.  Every distinct
-word of the items becomes one symbol, so a document is a string with one
-character per word, unknown words being a character no pattern contains, and
-the automaton's match positions are word positions.  The automaton reads every
-document once; word positions are mapped back to character offsets of the
-original text for the documents that are hit.
-
-The automaton goes to the executors only in blocks of at most ``block_chars``
-characters of item text: a benchmark above that is hashed (by window and item)
-into as many blocks as it needs, the documents are scanned once per block, and
-the hits are merged per document, so the result does not depend on the block
-count.
+word of the items has a code of a fixed number of symbols, a different 64 of them
+at each place, so no node of the automaton has more than 64 branches however
+many words there are, and a match can only start where a word does.  A document
+is the string of its words' codes, unknown words being symbols that no pattern
+contains.  The automaton reads every document once; match positions are word
+positions, mapped back to character offsets of the original text for the documents
+that are hit.
+
+The automaton goes to the executors only in blocks of at most about
+``block_nodes`` nodes: a benchmark above that is hashed (by window and item) into
+as many blocks as it needs, the documents are scanned once per block, and the hits
+are merged per document, so the result does not depend on the block count.  A
+worker process builds a block's automaton once.
 
 Defined cases: a NULL, empty or separator-only text has no words and no hits; a
 NULL item or item without words has no windows; an item with a NULL id marks
 words as hit but is not listed among the items.  Repeated item ids count once.
-Repeated document rows each give a row.
+Repeated document rows each give a row.  An empty documents table gives no rows,
+an empty benchmark no hits.  Whole texts are scanned, however long.  Only doc_id,
+text and item_id are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import repeat
+import uuid
+from itertools import product, repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import annotate, doc_texts
+from fleetlens.llm.common import annotate, doc_texts, quoted
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,39 +67,48 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
             .select("item_id", F.slice("w", F.col("s") + 1, window).alias("words")).distinct())
 
 
+#: Nodes of a block's automaton (about 100 bytes each in a worker).
+BLOCK_NODES = 10_000_000
+#: Branches of an automaton node.
+BRANCHES = 64
+
+
+def word_codes(words: list[bytes]) -> tuple[dict[bytes, str], int]:
+    """A code for each distinct word, and the symbols in a code."""
+    width = 1
+    while BRANCHES ** width < len(words):
+        width += 1
+    places = [[chr(1 + BRANCHES * at + i) for i in range(BRANCHES)] for at in range(width)]
+    return dict(zip(words, map("".join, product(*places)))), width  # noqa: B905  codes may be left over
+
+
 class Matcher:
-    """Word-symbol automaton of one block of windows."""
+    """Automaton of one block of windows."""
 
     def __init__(self, windows: list[tuple[str | None, list[str]]]):
-        self.symbol: dict[bytes, str] = {}
+        coded = [(item, [w.encode("utf-8") for w in words]) for item, words in windows]
+        self.symbol, self.width = word_codes(list(dict.fromkeys(w for _, words in coded for w in words)))
         by_pattern: dict[str, list[str | None]] = {}
-        for item, words in windows:
-            key = "".join(self._symbol(w.encode("utf-8")) for w in words)
-            by_pattern.setdefault(key, []).append(item)
+        for item, words in coded:
+            by_pattern.setdefault("".join(map(self.symbol.__getitem__, words)), []).append(item)
         self.automaton = ahocorasick.Automaton()
         for key, items in by_pattern.items():
-            self.automaton.add_word(key, (len(key), [i for i in items if i is not None]))
+            self.automaton.add_word(key, (len(key) // self.width, [i for i in items if i is not None]))
         if by_pattern:
             self.automaton.make_automaton()
         self.empty = not by_pattern
 
-    def _symbol(self, word: bytes) -> str:
-        got = self.symbol.get(word)
-        if got is None:
-            n = len(self.symbol) + 1  # 0 is the unknown word
-            got = self.symbol[word] = chr(n if n < 0xD800 else n + 0x800)
-        return got
-
     def find(self, text: str | None) -> tuple[int, list[dict], list[str]]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         words = raw.translate(_TO_WORDS).split()
         if not words or self.empty:
             return len(words), [], []
-        line = "".join(map(self.symbol.get, words, repeat("\0")))
+        line = "".join(map(self.symbol.get, words, repeat("\0" * self.width)))
         merged: list[list[int]] = []
         items: set[str] = set()
         for end, (length, ids) in self.automaton.iter(line):
-            first, stop = end - length + 1, end + 1
+            stop = end // self.width + 1
+            first = stop - length
             items.update(ids)
             while merged and merged[-1][0] >= first:  # ends ascend, starts need not
                 merged.pop()
@@ -121,11 +135,22 @@ class Matcher:
         return out
 
 
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, windows) -> Matcher:
+    """The matcher of one block; a worker process keeps the last one."""
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(windows.value)
+    return _MATCHERS[name]
+
+
 def _scan(docs: DataFrame, windows: list, keep: list[str] | None = None) -> tuple[DataFrame, str]:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    shared, block = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
 
     def factory():
-        matcher = Matcher(shared.value)
+        matcher = _matcher(block, shared)
 
         def score(texts):
             found = [matcher.find(t) for t in texts]
@@ -137,11 +162,11 @@ def _scan(docs: DataFrame, windows: list, keep: list[str] | None = None) -> tupl
     return annotate(docs, "text", FOUND, factory, keep)
 
 
-def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> list[DataFrame]:
+def _blocks(benchmark: DataFrame, window: int, block_nodes: int) -> list[DataFrame]:
     wins = item_windows(benchmark, window)
-    chars = F.coalesce(F.sum(F.expr("aggregate(words, 0L, (a, w) -> a + length(w) + 1)")), F.lit(0))
-    total = wins.agg(chars.alias("c")).first()["c"]
-    n = max(1, -(-total // block_chars))
+    # Four symbols a word (up to 16 million words); windows that begin alike share nodes, so there are fewer.
+    total = wins.agg(F.coalesce(F.sum(F.size("words").cast("long") * 4), F.lit(0)).alias("c")).first()["c"]
+    n = max(1, -(-total // block_nodes))
     block = F.pmod(F.xxhash64("item_id", "words"), F.lit(n))
     return [wins if n == 1 else wins.where(block == i) for i in range(n)]
 
@@ -152,11 +177,11 @@ def _load(block: DataFrame) -> list:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
-                  block_chars: int = 64_000_000) -> DataFrame:
+                  block_nodes: int = BLOCK_NODES) -> DataFrame:
     """Per document: doc_id, n_words, spans (merged; word and character ranges,
     end exclusive) and the sorted ids of the items with an occurring window."""
     texts = doc_texts(docs)
-    blocks = _blocks(benchmark, window, block_chars)
+    blocks = _blocks(benchmark, window, block_nodes)
     if len(blocks) == 1:
         df, name = _scan(texts, _load(blocks[0]), ["doc_id"])
         return df.select("doc_id", f"{name}.n_words", f"{name}.spans", f"{name}.items")
@@ -197,10 +222,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
-                      block_chars: int = 64_000_000) -> DataFrame:
+                      block_nodes: int = BLOCK_NODES) -> DataFrame:
     """The rows of ``docs`` (all columns) in which no window occurs."""
     kept = docs
-    for b in _blocks(benchmark, window, block_chars):
+    for b in _blocks(benchmark, window, block_nodes):
         df, name = _scan(kept, _load(b))
-        kept = df.where(F.size(f"{name}.spans") == 0).select(*docs.columns)
+        kept = df.where(F.size(f"{name}.spans") == 0).select(*quoted(docs.columns))
     return kept

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import hashlib
 import re
 
@@ -45,16 +46,16 @@ ROWS = [(1, "Start. " + prose("a", 25).upper() + " end"), (2, prose("a", 25)[:80
         (8, prose("z", 2000)), (None, "É " + prose("c", 10)), (9, "x" * 60_000)]
 
 
-@pytest.mark.parametrize("block_chars", [64_000_000, 120])
-def test_equals_brute_force(spark, block_chars):
-    got = digest(contamination(docs_table(spark, ROWS, clash=True), bench(spark, ITEMS), block_chars=block_chars)).collect()
+@pytest.mark.parametrize("block_nodes", [10_000_000, 120])
+def test_equals_brute_force(spark, block_nodes):
+    got = digest(contamination(docs_table(spark, ROWS, clash=True), bench(spark, ITEMS), block_nodes=block_nodes)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(ROWS, ITEMS)
 
 
-@pytest.mark.parametrize("block_chars", [64_000_000, 120])
-def test_spans_point_into_the_original_text(spark, block_chars):
+@pytest.mark.parametrize("block_nodes", [10_000_000, 120])
+def test_spans_point_into_the_original_text(spark, block_nodes):
     text = "Ünï — \"" + prose("c", 10).upper() + "\", and more; " + prose("b", 4)
-    got = contamination(docs_table(spark, [(1, text)]), bench(spark, ITEMS), block_chars=block_chars).first()
+    got = contamination(docs_table(spark, [(1, text)]), bench(spark, ITEMS), block_nodes=block_nodes).first()
     assert [text[s["start"]:s["end"]] for s in got["spans"]] == [prose("c", 10).upper(), prose("b", 4)]
     assert got["items"] == ["10", "2"]
 
@@ -81,3 +82,40 @@ def test_matcher_merges_like_a_set_of_positions(doc, patterns):
     want = {p + j for pat in patterns for p in range(len(doc) - len(pat) + 1) if doc[p:p + len(pat)] == pat for j in range(len(pat))}
     got = [p for s in spans for p in range(s["first_word"], s["end_word"])]
     assert n == len(doc) and got == sorted(want)
+
+
+def test_a_document_word_costs_the_same_however_many_windows_there_are():
+    import time
+    doc = " ".join(f"d{i}" for i in range(200_000))
+
+    def seconds(n):
+        m = Matcher([(str(i), [f"w{i}", f"x{i}"]) for i in range(n)])
+        m.find(doc[:1000])
+        t = time.process_time()
+        assert m.find(doc)[0] == 200_000
+        return time.process_time() - t
+
+    few, many = min(seconds(200) for _ in range(3)), min(seconds(100_000) for _ in range(2))
+    assert many < 2 * few + 0.3
+
+
+def test_more_item_words_than_characters_exist():
+    m = Matcher([(str(i), [f"w{i}"]) for i in range(1_150_000)])
+    n, spans, items = m.find("a w1149999 w1 b w7")
+    assert n == 5 and items == ["1", "1149999", "7"] and [(s["first_word"], s["end_word"]) for s in spans] == [(1, 3), (4, 5)]
+
+
+def test_codes_are_found_at_word_starts_only():
+    words = [f"{i}" for i in range(5000)]
+    m = Matcher([(w, [w, w]) for w in words])
+    assert m.width == 3
+    rng = random.Random(4)
+    doc = [rng.choice(words) for _ in range(4000)]
+    want = {a for a, b in zip(doc, doc[1:], strict=False) if a == b}
+    assert set(m.find(" ".join(doc))[2]) == want
+
+
+def test_columns_with_odd_names_stay(spark):
+    docs = docs_table(spark, [(1, "one two"), (2, "x y z")]).selectExpr("*", "1 as `a.b`", "2 as `c``d`")
+    got = drop_contaminated(docs, bench(spark, [(1, "x y")]))
+    assert got.columns == docs.columns and [r["doc_id"] for r in got.collect()] == [1]
