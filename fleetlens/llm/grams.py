@@ -30,6 +30,18 @@ def packed(codes: np.ndarray, n: int) -> np.ndarray:
     return out | np.uint64(n) << np.uint64(61)
 
 
+def hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    """The n-grams of a symbol sequence for n > 5, as 64-bit hashes."""
+    m = len(codes) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    out = packed(codes, 5)[:m]
+    for i in range(5, n):
+        out = (out ^ codes[i:i + m]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _table(test) -> np.ndarray:
     """Truth table of a character test over the basic plane."""
     return np.fromiter((test(chr(i)) for i in range(0x10000)), bool, 0x10000)

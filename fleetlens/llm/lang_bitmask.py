@@ -11,10 +11,16 @@ sampled documents, at ``share`` or more of the highest rate any language has,
 the ``per_lang`` most frequent ones at most.  Training reads at most
 ``docs_per_lang`` documents of each language, chosen by the hash of the id.
 
+A language needs ``min_lang_docs`` documents and a ``min_lang_share`` of all
+documents with one, so there are at most 1 / min_lang_share languages whatever the
+column holds, and the filter that goes to the executors has a fixed largest size.
+
 Defined cases: NULL texts and texts without a letter give ``und`` with score 0;
 so does every text when no language could be learned.  Ties go to the language
 that is first in text order.  Documents with a NULL language or a NULL id teach
-nothing.
+nothing.  Repeated rows are decided each; an empty table gives no rows.  Only
+doc_id, text and lang are read, so extra columns may have any name.  Whole texts
+count, however long.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import annotate, bounded_per_class, doc_texts, held_out, map_arrow
+from fleetlens.llm.common import annotate, bounded_per_class, doc_texts, held_out, map_arrow, quoted
 from fleetlens.llm.grams import Alphabet, code_points, packed, squeeze
 
 N = 4
@@ -97,9 +103,13 @@ class BitSliced:
 
 
 def train(docs: DataFrame, docs_per_lang: int = 1000, per_lang: int = 20000, min_docs: int = 2,
-          share: float = 0.2) -> BitSliced:
+          share: float = 0.2, min_lang_docs: int = 2, min_lang_share: float = 1 / 1024) -> BitSliced:
     known = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
              .where("doc_id is not null and lang is not null").where(~held_out("doc_id", FOLDS, HELD_OUT)))
+    counts = known.groupBy("lang").agg(F.count("*").alias("docs"))
+    every = counts.agg(F.sum("docs")).first()[0] or 0
+    enough = counts.where(F.col("docs") >= max(min_lang_docs, min_lang_share * every)).select("lang")
+    known = known.join(F.broadcast(enough), "lang", "left_semi")  # 1 / min_lang_share rows at most
     # docs_per_lang ids for each language at most: a proven bound for the broadcast.
     chosen = bounded_per_class(known, "doc_id", "lang", docs_per_lang).distinct()
     rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("lang", "text")
@@ -155,4 +165,4 @@ def keep_known_languages(docs: DataFrame, min_coverage: float = 0.1, **how) -> D
     letters, or of whose n-grams the best language contains less than
     ``min_coverage``, is rejected."""
     df, name = annotate(docs, "text", FOUND, _factory(docs.sparkSession, train(docs, **how)))
-    return df.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.coverage") >= min_coverage)).select(*docs.columns)
+    return df.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.coverage") >= min_coverage)).select(*quoted(docs.columns))

@@ -3,18 +3,23 @@ log-count ratios, trained on labelled text.
 
 Training reads at most ``per_class`` labelled documents of each class (chosen
 by the hash of the id, weighted back to the class sizes of all labelled rows).
-Spark counts in how many of them each 3- to 5-gram occurs, keeps, of those with
+Spark counts in how many of them each 5- and 6-gram occurs, keeps, of those with
 a log-count ratio of ``min_ratio`` or more either way, the ``n_features`` with
-the largest standardised ratio, and a logistic
-regression is fitted on the binary features multiplied by their ratios.
-N-grams are held as packed integers, not hashed to buckets, so no clean n-gram
-can share a feature with a toxic one; a bitmap filters the positions of a text
-before the exact lookup.
-
-Defined cases: NULL and empty texts have no n-gram and get the score of the
-intercept, never more than 0.25; labels other than 0 and 1, and labels with a
-NULL id, are not used; of several labels of one id the largest counts.  With no
-labelled rows of both classes every score is 0.
+the largest standardised ratio, and a logistic regression is fitted, until it
+stands still, on the binary features multiplied by their ratios.  Every
+document's feature vector has length one, so a long text of a common language
+does not outweigh a short one of a rare language.  5-grams are packed integers
+and 6-grams 64-bit hashes, not hashes to few buckets, so a clean n-gram does not
+share a feature with a toxic one; a bitmap filters the positions of a text before
+the exact lookup.
+
+Defined cases: NULL and empty texts, and texts without a known n-gram, get the
+score of the intercept; labels other than 0 and 1, and labels with a NULL id, are
+not used; of several labels of one id the largest counts.  With no labelled rows of
+both classes every score is 0.  Repeated rows are scored each, and a labelled id
+that occurs with several texts teaches each of them; an empty table gives no rows.
+Only doc_id, text and the label are read, so extra columns may have any name.
+Whole texts count, however long.
 """
 
 from __future__ import annotations
@@ -27,14 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import annotate, bounded_per_class, doc_texts, held_out, map_arrow, materialise
-from fleetlens.llm.grams import Alphabet, code_points, packed, squeeze
+from fleetlens.llm.common import annotate, bounded_per_class, doc_texts, held_out, map_arrow, materialise, quoted
+from fleetlens.llm.grams import Alphabet, code_points, hashed, packed, squeeze
 
-SIZES = (3, 4, 5)
 FILTER_BITS = 22
 FOLDS, HELD_OUT = 5, 0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY_MAX = 0.25
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
@@ -46,13 +49,14 @@ def text_grams(text: str | None) -> list[np.ndarray]:
     if not len(cp):
         return []
     symbols = squeeze(cp, Alphabet.blanks(cp))
-    return [packed(symbols, n) for n in SIZES]
+    return [packed(symbols, 5), hashed(symbols, 6)]
 
 
 @dataclass
 class LinearModel:
-    grams: np.ndarray    # sorted packed n-grams
-    weights: np.ndarray  # ratio times coefficient
+    grams: np.ndarray    # sorted n-grams
+    ratios: np.ndarray   # their log-count ratios
+    coef: np.ndarray
     bias: float
 
     def __post_init__(self):
@@ -70,10 +74,8 @@ class LinearModel:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
     def score(self, text: str | None) -> float:
-        at = self.features(text)
-        if not len(at):
-            return float(min(_EMPTY_MAX, _sigmoid(self.bias)))
-        return float(_sigmoid(self.bias + self.weights[at].sum()))
+        x = self.ratios[at] if len(at := self.features(text)) else np.zeros(0)
+        return float(_sigmoid(self.bias + (x @ self.coef[at] / np.sqrt(x @ x) if len(x) else 0.0)))
 
 
 def _sigmoid(z):
@@ -119,16 +121,16 @@ def gram_ratios(rows: DataFrame, n_features: int, min_docs: int, min_ratio: floa
     return counts.select("gram", ratio.alias("ratio"), strength.alias("s")).where(F.abs("ratio") >= min_ratio).orderBy(F.desc("s"), "gram").limit(n_features)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, n_features: int = 10000,
-          min_docs: int = 5, min_ratio: float = 1.0, smooth: float = 1.0, steps: int = 300, l2: float = 0.1) -> LinearModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, n_features: int = 20000,
+          min_docs: int = 3, min_ratio: float = 1.0, smooth: float = 1.0, steps: int = 2000, l2: float = 0.01) -> LinearModel:
     rows, weight = training_rows(docs, labels, label, per_class)
     if len(weight) < 2:
-        return LinearModel(np.empty(0, np.uint64), np.empty(0), -40.0)
+        return LinearModel(np.empty(0, np.uint64), np.empty(0), np.empty(0), -40.0)
     best = gram_ratios(rows, n_features, min_docs, min_ratio, smooth).collect()  # n_features rows
     order = np.argsort(np.array([r["gram"] for r in best], np.int64).view(np.uint64))
     grams = np.array([r["gram"] for r in best], np.int64).view(np.uint64)[order]
     ratio = np.array([r["ratio"] for r in best])[order]
-    shared = rows.sparkSession.sparkContext.broadcast(LinearModel(grams, ratio, 0.0))
+    shared = rows.sparkSession.sparkContext.broadcast(LinearModel(grams, ratio, ratio, 0.0))
 
     def featurise(batches):
         for b in batches:
@@ -140,23 +142,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     got = map_arrow(rows, featurise, "label int, at binary").collect()
     coef, bias = _fit([np.frombuffer(r["at"], np.int32) for r in got], np.array([r["label"] for r in got], float),
                       np.array([weight[r["label"]] for r in got]), ratio, steps, l2)
-    return LinearModel(grams, ratio * coef, bias)
+    return LinearModel(grams, ratio, coef, bias)
 
 
-def _fit(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, steps: int, l2: float):
-    """Weighted logistic regression by accelerated gradient descent."""
+def _fit(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, steps: int, l2: float, still: float = 1e-5):
+    """Weighted logistic regression on rows of length one by accelerated
+    gradient descent, until the gradient is ``still`` or ``steps`` are made."""
     of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     at = np.concatenate(docs) if len(of) else np.empty(0, np.int64)
     x, total = ratio[at], weight.sum()
-    # Curvature bound: the largest squared row norm over four.
-    norm = np.bincount(of, x * x, len(docs))
-    rate = 1 / (0.25 * np.percentile(norm, 99) + 1 + l2 / total)
+    x = x / np.sqrt(np.bincount(of, x * x, len(docs)))[of]
+    # Curvature bound: a quarter of the squared row length, intercept included, and the penalty.
+    rate = 1 / (0.25 * 2 + l2 / total)
     w, v, b, bv = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
     for i in range(steps):
-        look, b_look = w + v * (i / (i + 3)), b + bv * (i / (i + 3))
+        pull = i / (i + 3)
+        look, b_look = w + v * pull, b + bv * pull
         err = (_sigmoid(np.bincount(of, x * look[at], len(docs)) + b_look) - y) * weight / total
-        new_w = look - rate * (np.bincount(at, x * err[of], len(ratio)) + l2 / total * look)
-        new_b = b_look - rate * err.sum()
+        slope = np.bincount(at, x * err[of], len(ratio)) + l2 / total * look
+        if np.sqrt(slope @ slope + err.sum() ** 2) < still:
+            break
+        new_w, new_b = look - rate * slope, b_look - rate * err.sum()
         v, bv, w, b = new_w - w, new_b - b, new_w, new_b
     return w, float(b)
 
@@ -186,4 +192,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how
     """The rows of ``docs`` (all columns) that are not predicted toxic."""
     model = train(docs, labels, **how)
     df, name = annotate(docs, "text", FOUND, scorer(docs.sparkSession, model, threshold))
-    return df.where(F.col(f"{name}.predicted") == 0).select(*docs.columns)
+    return df.where(F.col(f"{name}.predicted") == 0).select(*quoted(docs.columns))
