@@ -9,7 +9,10 @@ that score well or read like prose.  Outside an article or main, the elements
 around are taken whole as long as more than half of their text, without
 link lists, is what was kept so far, so titles, short sections and closing
 lines stay.  Menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts and styles inside are left out.
+comments, scripts and styles inside are left out: elements of such a tag or
+landmark role, hidden ones, and those whose class or id has a word that says so
+(names are cut at signs and capitals, and a telling word counts whatever stands
+beside it), unless the element holds most of the page's text.
 
 Text rules: character references are decoded; a block is the text between
 block-level tags; white space in it, line breaks included, becomes one space; blocks are trimmed,
@@ -17,7 +20,12 @@ empty ones dropped, and the rest joined in page order by one line feed.  Defined
 cases: a NULL or empty page, and a page without a paragraph outside
 boilerplate, give the empty text; unclosed elements end where their parent ends
 or, for p, li, dt, dd, tr, td, th and option, at the next block that cannot be
-inside them.
+inside them; a link ends at its end tag, at the next link or with the element it
+began in; elements nested deeper than MAX_DEPTH belong to the one at that depth; a
+tag that never ends (an open quote) ends at its first ">".  Repeated rows give a row
+each, rows with a NULL page_id too; an empty table gives no rows; only page_id, url
+and html are read, so extra columns may have any name.  Parsing takes time linear in
+the page, whatever it holds.
 """
 
 from __future__ import annotations
@@ -45,85 +53,145 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select body html article section main div".split())
 
-BAD_NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|foot|footer|
-    footnav|gdpr|head|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|
-    promo\w*|related|respond|replies|reply|rss|search|share|sharing|shoutbox|sidebar|social|sponsor\w*|subscribe|
-    toolbar|topbar|widget)(?:$|[\s_-])""".replace("\n    ", ""), re.I)
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
+#: Words of class and id names, and roles, of what is not the article.
+BAD_WORDS = frozenset("""ad ads adslot adsense advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments
+    commentlist commenter consent cookie cookies disqus foot footer footnav gdpr header masthead login menu menus menubar modal nav navbar
+    navigation newsletter notice pagination pager popup promo promos promotion promotions related replies reply respond rss search share
+    sharing shoutbox sidebar signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets""".split())
+BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+GOOD_WORDS = frozenset("article body content entry main page post story text".split())
+MAX_DEPTH = 512
 TAG_POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0,
               "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0, "address": -3.0, "html": -10.0, "body": -5.0}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)>|<[!?/][^>]*>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile(r">|=\s*[\"']")
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|(?<![\w-])(hidden)(?![\w-])""", re.I)
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "bad", "points", "chars", "link_chars", "blocks")
+    __slots__ = ("tag", "parent", "children", "bad", "suspect", "points", "chars", "link_chars", "blocks", "depth")
 
-    def __init__(self, tag: str, parent: Element | None, bad: bool, points: float):
-        self.tag, self.parent, self.bad, self.points = tag, parent, bad, points
+    def __init__(self, tag: str, parent: Element | None, bad: bool, suspect: bool, points: float):
+        self.tag, self.parent, self.bad, self.suspect, self.points = tag, parent, bad, suspect, points
         self.children: list[Element] = []
         self.chars = self.link_chars = 0
         self.blocks: list[int] = []  # numbers of the blocks directly inside
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 def _element(tag: str, attrs: str, parent: Element) -> Element:
-    names = " ".join("".join(m) for m in _NAMES.findall(attrs)) if "=" in attrs else ""
-    points = TAG_POINTS.get(tag, 0.0)
-    bad = parent.bad or tag in BOILERPLATE
-    if names and tag not in ("html", "body", "article", "main"):
-        bad = bad or bool(BAD_NAMES.search(names)) and not GOOD_NAMES.search(names)
-    if names and GOOD_NAMES.search(names):
+    """A new element: bad for its tag, its role or because it is hidden, and
+    suspect for its names."""
+    points, bad, suspect, words = TAG_POINTS.get(tag, 0.0), tag in BOILERPLATE, False, set()
+    for key, *values, hidden in _ATTRIBUTE.findall(attrs):
+        key, value = key.lower(), "".join(values)
+        if hidden or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDING.search(value):
+            bad = True
+        elif key == "role":
+            bad = bad or value.strip().lower() in BAD_ROLES
+            words.update(value.lower().split())
+        elif key in ("class", "id"):
+            words.update(w.lower() for w in _WORDS.findall(value))
+    if tag not in ("html", "body"):
+        suspect = not BAD_WORDS.isdisjoint(words)
+    if not suspect and not GOOD_WORDS.isdisjoint(words):
         points += 25
-    e = Element(tag, parent, bad, points)
+    e = Element(tag, parent, bad, suspect, points)
     parent.children.append(e)
     return e
 
 
+def _tag_end(page: str, at: int, plain: bool) -> int:
+    """Where the ">" of a tag is, quoted attribute values skipped; -1 if there is none."""
+    if plain:
+        return page.find(">", at)
+    while (m := _TAG_STOP.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0][-1], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
 def parse(page: str) -> tuple[Element, list[str]]:
     """The tree of non-inline elements, and the text of all blocks in order."""
-    root = Element("#", None, False, -100.0)
-    here, texts, piece, links, in_link = root, [], [], 0, 0
-    at, end = 0, len(page)
+    root = Element("#", None, False, False, -100.0)
+    here, texts, piece, links = root, [], [], 0
+    link: Element | None = None  # the element in which an open link began
+    opened: dict[str, int] = {}
+    at, end, plain = 0, len(page), False
 
     def flush():
         nonlocal piece, links
         if piece:
             text = "".join(piece)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
-            if text and not here.bad:
+            if text:
                 here.blocks.append(len(texts))
                 texts.append(text)
                 here.chars += len(text)
                 here.link_chars += min(links, len(text))
             piece, links = [], 0
 
+    def up_to(e: Element):
+        """Close all elements below ``e``."""
+        nonlocal here, link
+        while here is not e:
+            opened[here.tag] -= 1
+            if link is here:
+                link = None
+            here = here.parent
+
+    def text(start: int, stop: int):
+        nonlocal links
+        if stop > start:
+            piece.append(page[start:stop])
+            if link is not None:
+                links += stop - start
+
     while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            piece.append(page[at:stop])
-            if in_link:
-                links += stop - at
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
+            text(at, end)
             break
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+        text(at, start)
+        closing = page.startswith("/", start + 1)
+        m = _NAME.match(page, start + 1 + closing)
+        if m is None:
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                at = end if stop < 0 else stop + 3
+            elif closing or page.startswith(("!", "?"), start + 1):
+                stop = page.find(">", start)
+                at = end if stop < 0 else stop + 1
+            else:  # a sign of its own
+                text(start, start + 1)
+                at = start + 1
             continue
+        stop = _tag_end(page, m.end(), plain)
+        if stop < 0 and not plain:  # an open quote: from here on tags end at the first ">"
+            plain = True
+            stop = _tag_end(page, m.end(), plain)
+        if stop < 0:
+            break  # no tag ends any more
+        tag, attrs, at = m[0].lower(), page[m.end():stop], stop + 1
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m[1] else 1
+                link = None if closing else here
             elif tag == "br":
                 piece.append(" ")
             continue
         flush()
-        in_link = 0
-        if m[1]:
-            e = here
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                here = e.parent
+        if closing:
+            if opened.get(tag):
+                e = here
+                while e.tag != tag:
+                    e = e.parent
+                up_to(e.parent)
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -131,20 +199,21 @@ def parse(page: str) -> tuple[Element, list[str]]:
             continue
         if tag in VOID:
             continue
-        here = _closed_by(tag, here)
-        here = _element(tag, m[3] or "", here)
-        if m[3] and m[3].endswith("/") and tag in ("svg", "path"):
-            here = here.parent
+        up_to(_closed_by(tag, here, opened))
+        if here.depth >= MAX_DEPTH or attrs.endswith("/") and tag in ("svg", "path"):
+            continue
+        here = _element(tag, attrs, here)
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return root, texts
 
 
-def _closed_by(tag: str, here: Element) -> Element:
+def _closed_by(tag: str, here: Element, opened: dict[str, int]) -> Element:
     """Where a new element goes when it ends open ones."""
     if here.tag == "p":  # no block stands inside a paragraph
         here = here.parent
     group = CLOSES.get(tag)
-    if group and tag != "p":
+    if group and tag != "p" and any(opened.get(g) for g in group):
         e = here
         while e.parent is not None and e.tag not in SCOPES:
             if e.tag in group:
@@ -154,12 +223,24 @@ def _closed_by(tag: str, here: Element) -> Element:
 
 
 def _score(root: Element, texts: list[str]) -> list[Element]:
-    """Passes points up; returns all elements in page order."""
+    """Decides what is boilerplate and passes points up; returns all elements in page order."""
     order, stack = [], [root]
     while stack:
         e = stack.pop()
         order.append(e)
         stack.extend(reversed(e.children))
+    whole = dict.fromkeys(order, 0)  # characters inside that are not bad for their tag
+    for e in reversed(order):
+        whole[e] = 0 if e.bad else whole[e] + e.chars
+        if e.parent is not None:
+            whole[e.parent] += whole[e]
+    for e in order:
+        if e.suspect and 2 * whole[e] <= whole[root]:
+            e.bad = True
+        if e.parent is not None and e.parent.bad:
+            e.bad = True
+        if e.bad:
+            e.blocks, e.chars, e.link_chars = [], 0, 0
     for e in order:
         if e.bad or not e.chars:
             continue
