@@ -10,9 +10,15 @@ and so finds the records that are damaged, missing or extra.
 Nodes are numbered by offset and file number, not by rank, so a lost record
 changes only the nodes above it.  A file holds the pages of a range of
 ``ids_per_file`` ids; pages with a NULL id are spread over NULL_FILES files by
-the hash of their content.  Records of equal id are ordered by url and hash;
-equal rows give equal records one after the other.  A NULL url or html is
-empty.
+the hash of their content.  A record is hashed where it is read, and only its id,
+url, hash and length are sorted to find offsets: the bytes never cross the network.
+Equal records are counted before they are sorted, and ranges of the sorted rows
+carry on from each other's sums, so neither a file nor the copies of a record meet
+in one task.
+
+Defined cases: records of equal id are ordered by url and hash; equal rows give
+equal records one after the other; a NULL url or html is empty; an empty table has
+no records; only page_id, url and html are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,21 +37,37 @@ RECORD = r"""concat('WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:pag
     octet_length(html), '\r\n\r\n', html, '\r\n\r\n')"""
 
 
+#: Copies of one record that one task places.
+COPIES = 50_000
+
+
 def records(pages: DataFrame, ids_per_file: int = 1024) -> DataFrame:
-    """WARC records: page_id, file, start (offset), length, record."""
+    """WARC records: page_id, url, file, length, hash, record."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.select("page_id", "url", F.expr(RECORD).alias("record"))
     file = F.when(F.col("page_id").isNull(), -1 - F.pmod(F.xxhash64("record"), F.lit(NULL_FILES))).otherwise(
         F.floor(F.col("page_id") / ids_per_file))
-    p = p.select("page_id", "url", "record", file.cast("long").alias("file"), F.octet_length("record").cast("long").alias("length"))
-    w = Window.partitionBy("file").orderBy("page_id", "url", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return p.select("page_id", "file", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("start"), "length", "record")
-
-
-def leaves(recs: DataFrame) -> DataFrame:
-    """Level 0: a hash for each record, kept so that the audit reads bytes once."""
-    return materialise(recs.select("page_id", "file", "start", "length", F.sha2("record", 256).alias("hash")), "leaves")
+    return p.select("page_id", "url", file.cast("long").alias("file"), F.octet_length("record").cast("long").alias("length"),
+                    F.sha2("record", 256).alias("hash"), "record")
+
+
+def leaves(recs: DataFrame, *more: str) -> DataFrame:
+    """Level 0: page_id, file, start (offset), length and hash of every record,
+    and the columns ``more`` that depend on a record alone."""
+    keys = ["file", "page_id", "url", "hash", "length", *more]
+    order = [F.col("file"), F.col("page_id").asc_nulls_first(), F.col("url"), F.col("hash"), *map(F.col, more)]
+    groups = recs.groupBy(*keys).agg(F.count("*").alias("_copies"))
+    ranged = groups.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_bytes", F.col("_copies") * F.col("length"))
+    ranged = materialise(ranged, "ranged")
+    ahead = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a file
+    parts = ranged.groupBy("file", "_part").agg(F.sum("_bytes").alias("b")).select("file", "_part", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("file", "_part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_at", F.coalesce(F.sum("_bytes").over(within), F.lit(0))).join(parts, ["file", "_part"])
+    some = F.explode(F.expr(f"sequence(0L, (_copies - 1) div {COPIES}L)"))
+    one = F.explode(F.expr(f"sequence(_chunk * {COPIES}L, least(_copies, (_chunk + 1) * {COPIES}L) - 1)"))
+    dealt = placed.withColumn("_chunk", some).repartition("file", "page_id", "hash", "_chunk").withColumn("_copy", one)
+    return materialise(dealt.select("page_id", "file", (F.col("_base") + F.col("_at") + F.col("_copy") * F.col("length")).alias("start"), "length", "hash", *more), "leaves")
 
 
 class Tree:
