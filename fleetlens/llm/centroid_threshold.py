@@ -165,8 +165,8 @@ def cluster(table: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, scale
 
     found = materialise(map_arrow(rows, run, "vec_id long, cluster int, distance long"), "assigned")
     per = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s"))
-    per = per.crossJoin(per.agg(F.sum("s").alias("all")))  # k rows with one
-    names = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
-    names = found.sparkSession.createDataFrame(names, "cluster int, centroid_sha256 string")
-    per = per.join(F.broadcast(names), "cluster").select("cluster", F.col("s").cast("long").alias("cluster_inertia"), F.col("all").cast("long").alias("inertia"), "centroid_sha256")
+    inertia = {r["cluster"]: int(r["s"]) for r in per.collect()}  # k rows at most
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    per = found.sparkSession.createDataFrame([(i, s, sum(inertia.values()), names[i]) for i, s in inertia.items()],
+                                             "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return found.join(F.broadcast(per), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -2,45 +2,59 @@
 chooses the bucket boundaries with the least padding, and batches under a token
 budget form inside each bucket.
 
-A document's length is its number of words plus one end token.  The histogram
-has a fixed grid: lengths to 1024 exactly, longer ones rounded up to 10
-significant bits, so it has at most 512 cells for each doubling however large
-the corpus is; on this grid the boundaries are optimal.  Every document goes to
-the first bucket whose boundary holds it and is padded to it; a batch of a
+A document's length is the number of its token ids plus one end id; without a
+tokenizer it is the number of its words plus one.  The histogram counts every
+length exactly, so the boundaries are optimal; it has at most as many cells as
+the longest document has tokens, however many documents there are.  Every document
+goes to the first bucket whose boundary holds it and is padded to it; a batch of a
 bucket holds floor(budget / boundary) documents, one at least.  Positions in a
 bucket follow the hash of the id.  They are numbered in slices of a bucket of
 about ``slice_rows`` rows, with offsets from the slice counts, so no task sorts
 a whole bucket.  Rows of equal id and length differ in nothing but their place:
 they are numbered as one group with a count, and places are dealt out by
-``slice_rows`` at a time, so neither does a task hold all copies of one id.
+``slice_rows`` at a time, so neither does a task hold all copies of one id.  Rows
+without an id are dealt to slices by their length and a hash of their text.
 
 Defined cases: a NULL or empty text has length 1; a document longer than the
 budget is a batch of its own; rows with a NULL id take their place by their
-length; with fewer distinct cells than buckets there are fewer buckets; an
-empty table gives no rows.
+length and text; repeated rows take a place each; with fewer distinct lengths than
+buckets there are fewer buckets; an empty table gives no rows; only doc_id and text
+are read, so extra columns may have any name.  Whole texts count, however long.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import doc_texts, materialise
+from fleetlens.llm.common import doc_texts, map_arrow, materialise
+from fleetlens.llm.token_rans import shared_tokenizer
 
 WORD = r"[^\x20\x09-\x0D]+"
-GRID_BITS = 10
+#: Groups into which rows without an id are dealt, by the hash of their text.
+NULL_GROUPS = 4096
 
 
-def token_length(text: str) -> Column:
+def word_length(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long") + 1
 
 
-def grid_cell(n: str) -> Column:
-    """Length rounded up to GRID_BITS significant bits."""
-    step = f"shiftleft(1L, greatest(0, length(bin({n} - 1)) - {GRID_BITS}))"
-    return F.expr(f"(({n} + {step} - 1) div {step}) * {step}")
+def lengths(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
+    """doc_id, salt and n_tokens of every document."""
+    texts = doc_texts(docs).withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(NULL_GROUPS))).otherwise(F.lit(0)).cast("int"))
+    if tokenizer_path is None:
+        return texts.select("doc_id", "salt", word_length("text").alias("n_tokens"))
+
+    def run(batches):
+        tokenizer = shared_tokenizer(tokenizer_path)
+        for b in batches:
+            n = [len(raw) // 4 + 1 for i in range(0, b.num_rows, 256) for raw in tokenizer.encode([t or "" for t in b.column(2).slice(i, 256).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "salt", "n_tokens"])
+
+    return map_arrow(texts.select("doc_id", "salt", "text"), run, "doc_id long, salt int, n_tokens long")
 
 
 def boundaries(cells: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -90,14 +104,13 @@ def _hidden(a, b, c) -> bool:
     return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 32768, slice_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, buckets: int = 16, budget: int = 32768, slice_rows: int = 50_000) -> DataFrame:
     """Per document: doc_id, n_tokens, bucket, padded (its boundary), batch
     (number inside the bucket), place (inside the batch), padding."""
     spark = docs.sparkSession
-    measured = doc_texts(docs).select("doc_id", token_length("text").alias("n_tokens"))
-    groups = measured.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
-    groups = materialise(groups.withColumn("cell", grid_cell("n_tokens")), "lengths")
-    hist = [(r["cell"], r["n"]) for r in groups.groupBy("cell").agg(F.sum("copies").alias("n")).collect()]  # the fixed grid
+    measured = lengths(docs, tokenizer_path)
+    groups = materialise(measured.groupBy("doc_id", "salt", "n_tokens").agg(F.count("*").alias("copies")), "lengths")
+    hist = [(r["n_tokens"], r["n"]) for r in groups.groupBy("n_tokens").agg(F.sum("copies").alias("n")).collect()]  # a row a length
     bounds = boundaries(hist, buckets)
     if not bounds:
         bounds = [1]
@@ -107,18 +120,18 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 32768, slice_rows: in
     slices = [max(1, -(-n // slice_rows)) for n in size]
     per_bucket = F.broadcast(spark.createDataFrame(  # a row per bucket
         [(i, b, max(1, budget // b), slices[i]) for i, b in enumerate(bounds)], "bucket int, padded long, holds long, slices long"))
-    of = "size(filter(array(" + ", ".join(f"{b}L" for b in bounds) + "), b -> b < cell))"
-    order = F.xxhash64(F.coalesce("doc_id", "n_tokens"))
+    of = "size(filter(array(" + ", ".join(f"{b}L" for b in bounds) + "), b -> b < n_tokens))"
+    order = F.xxhash64(F.coalesce("doc_id", "n_tokens"), "salt")
     placed = (groups.withColumn("bucket", F.expr(of)).join(per_bucket, "bucket")
               .withColumn("slice", F.pmod(order, F.col("slices"))))
     counts = placed.groupBy("bucket", "slice").agg(F.sum("copies").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", "slice", F.coalesce(before, F.lit(0)).alias("offset"))
-    earlier = Window.partitionBy("bucket", "slice").orderBy(order, "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("bucket", "slice").orderBy(order, "doc_id", "n_tokens", "salt").rowsBetween(Window.unboundedPreceding, -1)
     part = F.explode(F.expr(f"sequence(0L, (copies - 1) div {slice_rows}L)"))
     copy = F.explode(F.expr(f"sequence(part * {slice_rows}L, least(copies, (part + 1) * {slice_rows}L) - 1)"))
     at = F.col("offset") + F.col("rank") + F.col("copy")
     return (placed.withColumn("rank", F.coalesce(F.sum("copies").over(earlier), F.lit(0))).join(offsets, ["bucket", "slice"])
-            .withColumn("part", part).repartition("doc_id", "n_tokens", "part").withColumn("copy", copy)
+            .withColumn("part", part).repartition("doc_id", "salt", "n_tokens", "part").withColumn("copy", copy)
             .select("doc_id", "n_tokens", "bucket", "padded", F.floor(at / F.col("holds")).cast("long").alias("batch"),
                     F.pmod(at, F.col("holds")).alias("place"), (F.col("padded") - F.col("n_tokens")).alias("padding")))

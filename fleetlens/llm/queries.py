@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import (centroid_threshold, decontaminate, html_extract, jaccard_join, lang_bitmask, minhash_hamming, multiset_hash,
                            packing, quality_gbdt, token_rans, toxicity, warc_merkle, whitening)
-from fleetlens.llm.common import materialise
 from fleetlens.llm.common import read_table as table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -97,14 +96,14 @@ FROM placed"""
 
 @query("op4_warc_merkle", OP4_SQL)
 def op4_warc_merkle(spark, sf_dir):
-    """Audits a stored replica of all pages that lost every record with
-    page_id % 307 = 5 and has the last byte changed where page_id % 211 = 3."""
-    written = warc_merkle.records(table(spark, sf_dir, "pages"))
+    """Audits a replica of all pages that lost every record with
+    page_id % 307 = 5 and has the last byte changed where page_id % 211 = 3.
+    Its records are hashed from their own bytes."""
     damaged = F.when(F.col("page_id") % 211 == 3, F.concat(F.expr("substring(record, 1, char_length(record) - 1)"), F.lit("x")))
-    copy = (written.where("page_id is null or page_id % 307 != 5")
-            .withColumn("record", F.coalesce(damaged, F.col("record"))))
-    replica = materialise(copy, "replica")
-    return warc_merkle.fixity_report(warc_merkle.leaves(written), warc_merkle.leaves(replica))
+    written = warc_merkle.records(table(spark, sf_dir, "pages")).withColumn("copy_hash", F.sha2(F.coalesce(damaged, F.col("record")), 256))
+    both = warc_merkle.leaves(written, "copy_hash")
+    replica = both.where("page_id is null or page_id % 307 != 5").select("page_id", "file", "start", "length", F.col("copy_hash").alias("hash"))
+    return warc_merkle.fixity_report(both.drop("copy_hash"), replica)
 
 
 @query("op5_token_files")
@@ -120,7 +119,8 @@ def op6_html_text(spark, sf_dir):
 
 @query("op7_packing")
 def op7_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query("op8_quality")

@@ -24,9 +24,11 @@ text; an empty table writes no shard.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from dataclasses import dataclass
 from itertools import pairwise
@@ -68,43 +70,75 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), {}, cache_words
+        self.letters, self.last = self._letter_tokenizer()
+
+    def _letter_tokenizer(self):
+        """A tokenizer of the same model without normalising and pattern
+        splitting, for lower-case words of letters between spaces, and which ids
+        end a word.  None unless the model marks the ends of words and the
+        tokenizer splits bytes as this one does."""
+        from tokenizers import Tokenizer
+        plan = json.loads(self.tokenizer.to_str())
+        suffix, splits = plan["model"].get("end_of_word_suffix"), json.dumps(plan["pre_tokenizer"])
+        if plan["model"]["type"] != "BPE" or not suffix or "ByteLevel" not in splits or r"[\\p{L}]+" not in splits:
+            return None, None
+        plan["normalizer"], plan["post_processor"] = None, None
+        plan["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}
+        last = np.zeros(max(plan["model"]["vocab"].values()) + 1, bool)
+        last[[i for token, i in plan["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(plan)), last
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _ids_of_letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: each is one pre-token, so many are
-        encoded as one text and cut apart by pre-token."""
+        encoded as one text and cut where a word ends."""
         out = []
         for i in range(0, len(words), 4096):
             part = words[i:i + 4096]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-            if not len(of) or of[-1] + 1 != len(part):  # the tokenizer sees other letters
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(cut) != len(part) or cut[-1] != 4 * len(ids):  # the tokenizer sees other words
                 out += self._ids(part)
                 continue
-            cut = 4 * np.searchsorted(of, np.arange(len(part) + 1))
-            out += [raw[a:b] for a, b in pairwise(cut.tolist())]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in pairwise([0, *cut])]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isalpha() and unicodedata.is_normalized("NFC", w)] if self.letters else []
+        other = list(set(new).difference(plain))
+        self.cache.update(zip(plain, self._ids_of_letters(plain), strict=True))
+        self.cache.update(zip(other, self._ids(other), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
-        words = [None if _ODD.search(t) else _COMMA.sub(r" \1", t.lower()).split() for t in texts]
+        flat, ends = [], []
+        for t in texts:
+            if not _ODD.search(t):
+                flat += _COMMA.sub(r" \1", t.lower()).split()
+            ends.append(len(flat))
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        new = set().union(*(w for w in words if w)).difference(self.cache)
-        plain = [w for w in new if w.isalpha()]
-        other = list(new.difference(plain))
-        self.cache.update(zip(plain, self._ids_of_letters(plain), strict=True))
-        self.cache.update(zip(other, self._ids(other), strict=True))
-        get = self.cache.__getitem__
-        return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        ids = list(map(self.cache.get, flat))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            self._learn(list({flat[i] for i in gaps}))
+            for i in gaps:
+                ids[i] = self.cache[flat[i]]
+        found, start = [], 0
+        for t, end in zip(texts, ends, strict=True):
+            found.append(self._ids([t])[0] if start == end and t else b"".join(ids[start:end]))
+            start = end
+        return found
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer, with its cache, for each worker process."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
@@ -276,7 +310,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, shard_ids: int
 
     def encode(batches):
         part, seq, docs_of, size = TaskContext.get().partitionId(), 0, [], 0
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = shared_tokenizer(tokenizer_path)
 
         def image():
             return pa.RecordBatch.from_arrays(
@@ -297,7 +331,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, shard_ids: int
         if docs_of:
             yield image()
 
-    rows = (doc_texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first())
+    # Rows of one id are split by their text, equal rows, which are alike in every respect, by where they were read.
+    rows = (doc_texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
     (map_arrow(rows, encode, "part int, seq int, docs long, ids long, image binary")
      .write.option("compression", "none").parquet(path))

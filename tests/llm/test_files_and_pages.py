@@ -85,10 +85,17 @@ def test_pack_edge_rows(spark):
     assert packing.pack(docs_table(spark, [])).count() == 0
 
 
-def test_grid_is_exact_to_1024_and_never_below(spark):
-    got = spark.range(1, 5000).select(F.col("id").alias("n")).select("n", packing.grid_cell("n").alias("c")).collect()
-    assert all(r["c"] == r["n"] for r in got if r["n"] <= 1024)
-    assert all(r["n"] <= r["c"] <= r["n"] * 1.002 for r in got)
+def test_pack_counts_token_ids_and_pads_least(spark):
+    r = random.Random(8)
+    rows = [(i, prose(i, r.randrange(0, 60) if i % 3 else r.randrange(1500, 3000), 10 ** 6)) for i in range(240)] + [(999, None)]
+    plain = tokenizers.Tokenizer.from_file(VOCABULARY)
+    want = {d: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows}
+    got = packing.pack(docs_table(spark, rows), VOCABULARY, buckets=6, budget=20_000).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == want and max(want.values()) > 4096
+    assert sum(r["padding"] for r in got) == plain_padding(list(Counter(want.values()).items()), 6)
+    assert {r["padded"] for r in got} <= set(want.values())  # every boundary is a real length
+    in_batch = Counter((r["bucket"], r["padded"], r["batch"]) for r in got)
+    assert all(n * padded <= 20_000 or n == 1 for (_, padded, _), n in in_batch.items())
 
 
 # --- token files ---
@@ -140,8 +147,8 @@ def test_cached_words_equal_the_tokenizer():
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_cached_words_equal_the_tokenizer_on_any_text(text):
-    got = token_rans._tokenizer(VOCABULARY).encode([text])[0]
-    assert np.frombuffer(got, "<u4").tolist() == token_rans._tokenizer(VOCABULARY).tokenizer.encode(text, add_special_tokens=False).ids
+    got = token_rans.shared_tokenizer(VOCABULARY).encode([text])[0]
+    assert np.frombuffer(got, "<u4").tolist() == token_rans.shared_tokenizer(VOCABULARY).tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("shard_ids", [1 << 22, 300])
@@ -302,6 +309,52 @@ def test_sibling_articles_stay():
     assert html_extract.main_text(page).split("\n") == LONG
 
 
+BAD_NAMES = ["post-comments", "comment-content", "commentlist", "main-menu", "page-footer", "post-share", "content-ad", "entryComments", "siteNav",
+             "related_posts", "cookie-notice", "newsletter-body", "storySidebar", "sponsored article", "AdSlot", "social share", "breadcrumb", "widget text"]
+
+
+@pytest.mark.parametrize("where", ["inside", "before", "after", "nested"])
+def test_boilerplate_by_name_goes_wherever_it_stands(where):
+    """Pages built block by block, so what must stay is known."""
+    for i, name in enumerate(BAD_NAMES):
+        for attr in (f'class="{name}"', f"id='{name}'"):
+            for tag in ("div", "section", "article", "ul"):
+                junk = f"<{tag} {attr}><p>Junk {i}, with commas, and a sentence of some length, as prose has.</p></{tag}>"
+                good = [f"<p>{t}</p>" for t in LONG]
+                body = {"inside": f"<article>{good[0]}{junk}{''.join(good[1:])}</article>", "before": f"{junk}<article>{''.join(good)}</article>",
+                        "after": f"<div class='post'>{''.join(good)}</div>{junk}",
+                        "nested": f"<main><div><section>{''.join(good[:4])}<div>{junk}</div></section>{''.join(good[4:])}</div></main>"}[where]
+                assert html_extract.main_text(f"<html><body>{body}</body></html>").split("\n") == LONG, (name, tag, attr)
+
+
+def test_roles_hidden_parts_and_the_container_of_the_whole_page():
+    junk = [f"<div {a}><p>Junk, with commas, and a sentence of some length, as prose has.</p></div>" for a in (
+        'role="complementary"', "role=navigation", 'role="contentinfo"', "hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"')]
+    page = f"<body class='sidebar-left'><div id='widget-page'><div class='post hidden-title'>{junk[0].join(f'<p>{t}</p>' for t in LONG)}{''.join(junk)}</div></div></body>"
+    assert html_extract.main_text(page).split("\n") == LONG
+
+
+def test_a_block_inside_a_link_is_link_text():
+    links = "".join(f"<div><a href='/{i}'><p>Read, next, a headline that is long enough to count as prose {i}</p></a></div>" for i in range(30))
+    page = f"<body><div>{paragraphs(LONG)}</div><div>{links}</div></body>"
+    assert html_extract.main_text(page).split("\n") == LONG
+    assert html_extract.main_text(f"<body><article><p><a>open link</p>{paragraphs(LONG)}</article></body>").split("\n") == ["open link", *LONG]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a b="', "<", "</x", "<x>", "<x><dt></dt>", '<a b=">" ', "<li>", "<!--", "&amp;", "<div class='a b'><a>", "= '", "<p>a"])
+def test_parsing_takes_linear_time(part):
+    import time
+
+    def seconds(n):
+        page = "<p>start</p>" + part * (n // len(part))
+        t = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - t
+
+    seconds(10_000)
+    assert seconds(4_000_000) < 10 * seconds(1_000_000) + 2
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<p>" + "wört " * 40_000, "y")],
                                   "page_id long, url string, html string, found string")
@@ -331,11 +384,13 @@ def pages_table(spark, n=300):
 
 
 def test_audit_finds_exactly_the_changed_records(spark):
-    recs = warc_merkle.materialise(warc_merkle.records(pages_table(spark), ids_per_file=100), "r").cache()
+    recs = warc_merkle.records(pages_table(spark), ids_per_file=100)
     assert recs.count() == 304
-    bad = recs.withColumn("record", F.when(F.col("page_id") == 700, F.concat("record", F.lit("!"))).otherwise(F.col("record"))).where("page_id is null or page_id != 1400")
-    extra = recs.where("page_id = 21").selectExpr("-5L as page_id", "file", "start + 1000000 as start", "length", "record")
-    a, b = warc_merkle.leaves(recs), warc_merkle.leaves(bad.unionByName(extra))
+    changed = recs.withColumn("copy", F.sha2(F.when(F.col("page_id") == 700, F.concat("record", F.lit("!"))).otherwise(F.col("record")), 256))
+    a = warc_merkle.leaves(changed, "copy")
+    b = a.where("page_id is null or page_id != 1400").select("page_id", "file", "start", "length", F.col("copy").alias("hash"))
+    extra = a.where("page_id = 21").selectExpr("-5L as page_id", "file", "start + 1000000 as start", "length", "hash")
+    a, b = a.drop("copy"), b.unionByName(extra)
     found = {(r["page_id"], r["primary_sha256"] is None, r["replica_sha256"] is None) for r in warc_merkle.audit(a, b, span=500).collect()}
     assert found == {(700, False, False), (1400, False, True), (-5, True, False)}
     report = warc_merkle.fixity_report(a, b, span=500)
@@ -345,19 +400,31 @@ def test_audit_finds_exactly_the_changed_records(spark):
 
 
 def test_records_are_whole_and_offsets_contiguous(spark):
-    got = warc_merkle.records(pages_table(spark, 50), ids_per_file=100).collect()
-    files = {}
-    for r in got:
-        files.setdefault(r["file"], []).append(r)
+    pages = pages_table(spark, 50).unionByName(spark.createDataFrame([(14, "http://h/2", "twice")] * 90, "page_id long, url string, html string"))
+    recs = warc_merkle.records(pages, ids_per_file=100)
+    for r in recs.collect():
         body = r["record"].encode()
-        assert len(body) == r["length"]
+        assert len(body) == r["length"] and hashlib.sha256(body).hexdigest() == r["hash"]
         head, _, rest = body.partition(b"\r\n\r\n")
         assert int(head.rsplit(b": ", 1)[1]) == len(rest) - 4 and head.startswith(b"WARC/1.0\r\n")
+    files, url = {}, {r["hash"]: r["url"] for r in recs.collect()}
+    for r in warc_merkle.leaves(recs).collect():
+        files.setdefault(r["file"], []).append(r)
+    assert sum(map(len, files.values())) == pages.count()
     for rows in files.values():
-        at = 0
-        for r in sorted(rows, key=lambda r: r["start"]):
+        at, rows = 0, sorted(rows, key=lambda r: r["start"])
+        for r in rows:
             assert r["start"] == at
             at += r["length"]
+        keys = [(r["page_id"] is not None, r["page_id"], url[r["hash"]], r["hash"]) for r in rows]
+        assert keys == sorted(keys)
+
+
+def test_copies_of_one_record_are_placed_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc_merkle, "COPIES", 100)
+    pages = spark.createDataFrame([(7, "u", "same")] * 3000 + [(8, "u", f"t{i}") for i in range(3000)], "page_id long, url string, html string")
+    starts = sorted((r["start"], r["length"]) for r in warc_merkle.leaves(warc_merkle.records(pages)).collect())
+    assert len(starts) == 6000 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
 
 
 def test_audit_of_empty_tables(spark):
