@@ -38,7 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    import public_tokenizers
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicates),

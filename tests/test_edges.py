@@ -392,3 +392,12 @@ def test_scratch_needs_a_shared_folder_off_local_mode():
                          master="spark://host:7077", applicationId="a")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(SimpleNamespace(sparkContext=sc))
+
+
+def test_ad_hoc_sql_leaves_the_session_views_as_they_were(spark):
+    from fleetlens.sources.sql import run_sql
+    spark.range(3).createOrReplaceTempView("kept_view")
+    got = run_sql(spark, "SELECT count(*) AS n FROM kept_view JOIN fresh_view USING (id)", {"kept_view": spark.range(5), "fresh_view": spark.range(4)})
+    assert got.first().n == 4 and spark.table("kept_view").count() == 3
+    assert [t.name for t in spark.catalog.listTables(pattern="fresh_view")] == []
+    spark.catalog.dropTempView("kept_view")
