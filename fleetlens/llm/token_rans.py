@@ -24,7 +24,6 @@ text; an empty table writes no shard.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
@@ -53,13 +52,65 @@ END_ID = 1
 
 # --- tokenising -----------------------------------------------------------
 
-#: White space on which the word split below and a tokenizer's own might disagree, and marks of special tokens.
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　İΣ]|<\|")
-_COMMA = re.compile(r"(?<=[a-z])([,.])(?=\s|\Z)")
+#: White space on which the word split below and a tokenizer's own might disagree, letters whose lower case depends on
+#: their neighbours, and NUL, which parts texts here.  Texts with one of these or a mark of special tokens are encoded in one piece.
+_ODD = np.zeros(1 << 16, bool)
+_ODD[[ord(c) for c in map(chr, range(1 << 16)) if re.match(r"[\x00\x1c-\x1f\x85\xa0  -     　İΣ]", c)]] = True
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Characters cut and looked up at once.
+PIECE_CHARS = 1 << 20
+_P = 0x9E3779B97F4A7C15
+_P_INVERSE = pow(_P, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of an odd number modulo 2^64, as many as asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.known):
+            self.known = np.concatenate([np.ones(1, np.uint64), np.full(2 * n, np.uint64(self.base)).cumprod(dtype=np.uint64)])
+        return self.known[:n]
+
+
+class _Words:
+    """Ids of known words in one pool, found by the words' 64-bit hashes."""
+
+    def __init__(self):
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.start, self.count, self.pool = [], [], []
+        self.n = self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 for an unknown one; the keys are sorted."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        count = np.array([len(x) // 4 for x in ids], np.int64)
+        self.start.append(self.size + np.cumsum(count) - count)
+        self.count.append(count)
+        self.pool.append(np.frombuffer(b"".join(ids), "<u4"))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, self.n + np.arange(len(keys)))
+        self.n, self.size = self.n + len(keys), self.size + int(count.sum())
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place in the pool, ids) of each slot, and the pool."""
+        for name in ("start", "count", "pool"):
+            parts = getattr(self, name)
+            if len(parts) > 1:
+                setattr(self, name, [np.concatenate(parts)])
+        return self.start[0], self.count[0], self.pool[0]
 
 
 class WordTokenizer:
-    """Encodes whole texts through a cache of words.
+    """Encodes whole texts through a cache of words, many texts at a time: words
+    are cut, hashed (64 bits) and looked up as arrays.
 
     Right for tokenizers that lower-case, drop white space and never join
     across it, as the default vocabulary's does; a text with unusual white
@@ -69,7 +120,8 @@ class WordTokenizer:
     def __init__(self, path: str, cache_words: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), {}, cache_words
+        self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), _Words(), cache_words
+        self.power, self.inverse = _Powers(_P), _Powers(_P_INVERSE)
         self.letters, self.last = self._letter_tokenizer()
 
     def _letter_tokenizer(self):
@@ -77,20 +129,20 @@ class WordTokenizer:
         splitting, for lower-case words of letters between spaces, and which ids
         end a word.  None unless the model marks the ends of words and the
         tokenizer splits bytes as this one does."""
-        from tokenizers import Tokenizer
-        plan = json.loads(self.tokenizer.to_str())
-        suffix, splits = plan["model"].get("end_of_word_suffix"), json.dumps(plan["pre_tokenizer"])
-        if plan["model"]["type"] != "BPE" or not suffix or "ByteLevel" not in splits or r"[\\p{L}]+" not in splits:
+        from tokenizers import Tokenizer, models, pre_tokenizers
+        model, split = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        suffix, split = getattr(model, "end_of_word_suffix", None), "" if split is None else split.__getstate__().decode()
+        if not isinstance(model, models.BPE) or not suffix or "ByteLevel" not in split or r"[\\p{L}]+" not in split:
             return None, None
-        plan["normalizer"], plan["post_processor"] = None, None
-        plan["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
-            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}
-        last = np.zeros(max(plan["model"]["vocab"].values()) + 1, bool)
-        last[[i for token, i in plan["model"]["vocab"].items() if token.endswith(suffix)]] = True
-        return Tokenizer.from_str(json.dumps(plan)), last
+        letters = Tokenizer(model)  # shares the model
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return letters, last
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids_of_letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: each is one pre-token, so many are
@@ -107,32 +159,106 @@ class WordTokenizer:
             out += [raw[a:b] for a, b in pairwise([0, *cut])]
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isalpha() and unicodedata.is_normalized("NFC", w)] if self.letters else []
-        other = list(set(new).difference(plain))
-        self.cache.update(zip(plain, self._ids_of_letters(plain), strict=True))
-        self.cache.update(zip(other, self._ids(other), strict=True))
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha() and unicodedata.is_normalized("NFC", w)] if self.letters else []
+        other = sorted(set(range(len(words))).difference(plain))
+        for places, ids in ((plain, self._ids_of_letters([words[i] for i in plain])), (other, self._ids([words[i] for i in other]))):
+            for i, x in zip(places, ids, strict=True):
+                out[i] = x
+        return out
+
+    def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The cache slots of the words of all texts in order, and where each
+        text's words end.  The texts hold no NUL, which parts them here."""
+        raw = np.frombuffer("\n\0\n".join(texts).lower().encode("utf-8", "surrogatepass"), np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACES[raw], prepend=True, append=True))
+        first, last = edge[::2], edge[1::2]
+        # A comma or full stop after a letter is a word of its own.
+        end, before = raw[last - 1], raw[np.maximum(last - 2, 0)]
+        two = ((end == 44) | (end == 46)) & (last - first > 1) & (before >= 97) & (before <= 122)
+        at = np.cumsum(1 + two)
+        first, last = np.repeat(first, 1 + two), np.repeat(last, 1 + two)
+        first[at[two] - 1] = last[at[two] - 2] = last[at[two] - 1] - 1
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * self.power.upto(len(raw)), dtype=np.uint64)])
+        keys = (total[last] - total[first]) * self.inverse.upto(len(raw) + 1)[first] + (last - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mark = (last - first == 1) & (raw[first] == 0)
+        ends = np.concatenate([np.flatnonzero(mark) - np.arange(mark.sum()), [len(first) - mark.sum()]])
+        first, last, keys = first[~mark], last[~mark], keys[~mark]
+        unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        if self.cache.n + len(unique) > self.cache_words:
+            self.cache = _Words()
+        slots = self.cache.find(unique)
+        gaps = np.flatnonzero(slots < 0)
+        if len(gaps):
+            data = raw.tobytes()
+            words = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[where[gaps]].tolist(), last[where[gaps]].tolist(), strict=True)]
+            slots[gaps] = self.cache.n + np.arange(len(gaps))
+            self.cache.add(unique[gaps], self._ids_of_words(words))
+        return slots[back], ends
+
+    @staticmethod
+    def _simple(texts: list[str]) -> list[bool]:
+        """Which texts are words between plain white space."""
+        cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        odd = _ODD[np.minimum(cp, 0xFFFF)]
+        odd[:-1] |= (cp[:-1] == 60) & (cp[1:] == 124)
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        out = np.ones(len(texts), bool)
+        out[np.searchsorted(stops, np.flatnonzero(odd), side="right")] = False
+        return out.tolist()
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        """A long text cut at spaces, which no word spans."""
+        out, at = [], 0
+        while len(text) - at > PIECE_CHARS and (stop := text.find(" ", at + PIECE_CHARS)) >= 0:
+            out.append(text[at:stop])
+            at = stop
+        return [*out, text[at:]]
+
+    def _in_groups(self, texts: list[str], whole, some):
+        """``some`` of the simple texts, a bounded number of characters at a
+        time, and ``whole`` of each other one; long texts give several parts."""
+        parts = [(i, p, s) for i, (t, s) in enumerate(zip(texts, self._simple(texts), strict=True)) for p in (self._pieces(t) if s else [t])]
+        found = [[] for _ in texts]
+        group, size = [], 0
+        for k, (i, p, s) in enumerate(parts):
+            if s:
+                group.append((i, p))
+                size += len(p)
+            else:
+                found[i].append(whole(p))
+            if group and (size >= PIECE_CHARS or k == len(parts) - 1):
+                for (j, _), x in zip(group, some([p for _, p in group]), strict=True):
+                    found[j].append(x)
+                group, size = [], 0
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
-        flat, ends = [], []
-        for t in texts:
-            if not _ODD.search(t):
-                flat += _COMMA.sub(r" \1", t.lower()).split()
-            ends.append(len(flat))
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        ids = list(map(self.cache.get, flat))
-        gaps = [i for i, x in enumerate(ids) if x is None]
-        if gaps:
-            self._learn(list({flat[i] for i in gaps}))
-            for i in gaps:
-                ids[i] = self.cache[flat[i]]
-        found, start = [], 0
-        for t, end in zip(texts, ends, strict=True):
-            found.append(self._ids([t])[0] if start == end and t else b"".join(ids[start:end]))
-            start = end
-        return found
+        return [b"".join(f) for f in self._in_groups(texts, lambda t: self._ids([t])[0], self._encode)]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        return [sum(f) for f in self._in_groups(texts, lambda t: len(self._ids([t])[0]) // 4, self._counts)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        slots, ends = self._slots(texts)
+        if not len(slots):
+            return [b""] * len(texts)
+        start, count, pool = self.cache.table()
+        n = count[slots]
+        stop = np.cumsum(n)
+        raw = pool[np.repeat(start[slots] - (stop - n), n) + np.arange(stop[-1])].tobytes()
+        return [raw[a:b] for a, b in pairwise([0, *(4 * np.concatenate([[0], stop])[ends]).tolist()])]
+
+    def _counts(self, texts: list[str]) -> list[int]:
+        slots, ends = self._slots(texts)
+        if not len(slots):
+            return [0] * len(texts)
+        stop = np.concatenate([[0], np.cumsum(self.cache.table()[1][slots])])
+        return np.diff(stop[ends], prepend=0).tolist()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -319,8 +445,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, shard_ids: int
                 names=["part", "seq", "docs", "ids", "image"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                ids, texts = b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256).to_pylist()
+            for i in range(0, b.num_rows, 512):
+                ids, texts = b.column(0).slice(i, 512).to_pylist(), b.column(1).slice(i, 512).to_pylist()
                 for doc, raw in zip(ids, tokenizer.encode([t or "" for t in texts]), strict=True):
                     n = len(raw) // 4 + 1
                     if docs_of and size + n > shard_ids:

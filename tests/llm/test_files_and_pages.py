@@ -144,6 +144,17 @@ def test_cached_words_equal_the_tokenizer():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_texts_of_odd_and_plain_signs_in_small_pieces_equal_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(token_rans, "PIECE_CHARS", 50)
+    signs = [*"aAbzZ .,,..  \n\t\r'!?-12\x00\x0b\x1c\x85\xa0éÉßΣσİıﬁǅ日。😀<|\u3000e\u0301", "'s", "'ll", "The", "ing"]
+    r, mine = random.Random(5), token_rans.WordTokenizer(VOCABULARY, cache_words=300)
+    for _ in range(150):
+        texts = ["".join(r.choice(signs) for _ in range(r.randrange(0, 60 if i else 400))) for i in range(12)]
+        want = [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(g, "<u4").tolist() for g in mine.encode(texts)] == want
+        assert mine.counts(texts) == [len(w) for w in want]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_cached_words_equal_the_tokenizer_on_any_text(text):
