@@ -10,7 +10,9 @@ walks all trees for a batch at a time.
 Defined cases: NULL and empty texts have all-zero statistics and are scored
 like any other; labels other than 0 and 1, and labels with a NULL id, are not
 used; of several labels of one id the largest counts.  With labelled rows of
-one class only, the score is that class; with none it is 0.5.
+one class only, the score is that class; with none it is 0.5.  Repeated rows are
+scored each; an empty table gives no rows; only doc_id, text and the label are
+read, so extra columns may have any name.  Whole texts count, however long.
 """
 
 from __future__ import annotations

@@ -238,3 +238,43 @@ def test_stages_keep_columns_with_odd_names(spark):
     odd = docs.selectExpr("*", "1 as `a.b`", "map('k', 1) as m")
     for got in (toxicity.drop_toxic(odd, labels), lang_bitmask.keep_known_languages(odd)):
         assert got.columns == odd.columns and got.count() > 0
+
+
+def test_splits_equal_a_plain_search():
+    """Every feature and cut of every node tried one by one."""
+    rng = np.random.default_rng(9)
+    for _ in range(12):
+        n, k, width, bins, l2 = 60, 3, 2, 8, 1.0
+        x = np.round(rng.normal(size=(n, k)), 1)
+        g, h, node = rng.normal(size=n), rng.uniform(0.1, 1, n), rng.integers(0, width, n)
+        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
+        binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(k)])
+        feature, threshold, at = quality_gbdt._splits(binned, node, width, g, h, cuts, bins, l2)
+        for i in range(width):
+            mine = node == i
+            whole = g[mine].sum() ** 2 / (h[mine].sum() + l2)
+            gains = {}
+            for j in range(k):
+                for c in cuts[j]:
+                    left, right = mine & (x[:, j] <= c), mine & (x[:, j] > c)
+                    gains[j, c] = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (left, right)) - whole
+            assert abs(gains[feature[i], threshold[i]] - max(gains.values())) < 1e-9
+            assert ((binned[feature[i]] > at[i]) == (x[:, feature[i]] > threshold[i])).all()
+
+
+def test_statistics_equal_plain_counts():
+    import math
+    text = "Ab cd cd EF | 12!\n\nAb cd? x_y é"
+    got = dict(zip(quality_gbdt.STATISTICS, quality_gbdt.statistics(text), strict=True))
+    words, n = text.split(), len(text)
+    want = {"log_chars": math.log1p(n), "log_words": math.log1p(9), "word_length": sum(map(len, words)) / 9, "letters": 15 / n, "upper": 4 / 15, "digits": 2 / n,
+            "blanks": 10 / n, "bars": 1 / 9, "bangs": 1 / 9, "distinct_words": 7 / 9, "top_word": 2 / 9, "repeats": 1 / 9, "log_lines": math.log1p(2),
+            "repeated_lines": 0.0, "line_words": 4.5, "stops": 1 / 9, "signs": 1 / 9, "longest_word": 3.0}
+    words = text.split()
+    want |= {"log_words": math.log1p(len(words)), "word_length": sum(map(len, words)) / len(words), "letters": sum(map(str.isalpha, text)) / n,
+             "upper": 4 / sum(map(str.isalpha, text)), "blanks": sum(map(str.isspace, text)) / n, "distinct_words": len(set(words)) / len(words),
+             "line_words": len(words) / 2}
+    for key in ("bars", "bangs", "top_word", "repeats", "stops", "signs"):
+        want[key] = {"bars": 1, "bangs": 1, "top_word": 2, "repeats": 1, "stops": 1, "signs": 1}[key] / len(words)
+    assert {k: round(got[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}
+    assert quality_gbdt.statistics("") == quality_gbdt.statistics(None) == [0.0] * len(quality_gbdt.STATISTICS)
