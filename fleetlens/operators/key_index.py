@@ -45,20 +45,23 @@ def add_load(spark: SparkSession, root: str, load: DataFrame, key: str) -> DataF
 
     def step(t: Transaction) -> None:
         keys = stored(load.select(F.col(key).cast("long").alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-        twice = keys.where("n > 1")
+        twice, part = keys.where("n > 1"), F.floor(F.col("bucket") * 32768 / RANGE).cast("long")
+        bits = keys.groupBy(F.bitmap_bucket_number("key").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bitmap"))
+        bits = stored(bits.withColumn("part", part))
+        old = None
         if t.has(BITMAPS):
-            hits = stored(known_keys(keys, t.read(BITMAPS)))
+            parts = [f"v{r['part']}" for r in bits.select("part").distinct().collect()]  # one for each 16 million keys
+            old = t.manifest.frame(t.next, BITMAPS, parts)
+            hits = stored(known_keys(keys, old))
             ranges = [r["r"] for r in hits.select(_range("key").alias("r")).distinct().collect()]  # one for each 16 million keys
             before = t.manifest.frame(t.next, KEYS, [f"v{r}" for r in ranges]).select("key", "n")
             both = hits.select("key").join(before, "key").unionByName(hits.select("key", "n"))
             twice = both.groupBy("key").agg(F.sum("n").alias("n")).unionByName(twice.join(hits.select("key"), "key", "left_anti"))
         found.append(stored(twice.select(F.col("key").alias("key_value"), F.col("n").alias("dup_count"))))
-        bits = keys.groupBy(F.bitmap_bucket_number("key").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bitmap"))
-        bits = bits.withColumn("part", F.floor(F.col("bucket") * 32768 / RANGE).cast("long"))
-        if t.has(BITMAPS):
-            old = t.read(BITMAPS).join(bits.select("bucket"), "bucket", "left_semi")
-            bits = old.unionByName(bits).groupBy("bucket", "part").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).select("bucket", "bitmap", "part")
-        t.upsert(BITMAPS, bits.select("bucket", "bitmap", "part"), ["bucket"], "part", F.floor(F.col("bucket") * 32768 / RANGE).cast("long"))
+        if old is not None:
+            same = old.join(bits.select("bucket"), "bucket", "left_semi")
+            bits = same.unionByName(bits).groupBy("bucket", "part").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+        t.upsert(BITMAPS, bits.select("bucket", "bitmap", "part"), ["bucket"], "part", part)
         rows = keys.withColumn("part", _range("key"))
         if t.has(KEYS):
             t.append(KEYS, rows)

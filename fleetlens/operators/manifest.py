@@ -180,7 +180,7 @@ class Transaction:
         folder, counts = self._write(df, partition, rules or {}, limit)
         self.next.tables[name] = {"schema": _nullable(df.schema).jsonValue(), "partition": partition, "folders": self._folders(folder, partition)}
         self.touched = True
-        return counts
+        return counts  # violations of each rule
 
     def append(self, name: str, df: DataFrame, load_id: str | None = None, rules: dict[str, Column] | None = None, limit: int = 0) -> bool:
         """Add rows by column name.  With a ``load_id`` the load is remembered
@@ -194,9 +194,9 @@ class Transaction:
             known = T.StructType.fromJson(self.next.tables[name]["schema"])
             df = df.select(*[F.col(f"`{c}`").cast(known[c].dataType) for c in known.names])
         partition = self.next.tables[name]["partition"] if self.has(name) else None
-        folder, counts = self._write(df, partition, rules or {}, limit)
+        content = {} if load_id is None else {"rows": 0, "digest": "0"}
+        folder, _ = self._write(df, partition, rules or {}, limit, content)
         if load_id is not None:
-            content = {"rows": counts["rows"], "digest": counts["digest"]}
             known_load = self.next.loads.get(load_id)
             if known_load is not None and known_load != content:
                 raise ValueError(f"load {load_id!r} was made before with other content: {known_load}, now {content}")
@@ -247,22 +247,27 @@ class Transaction:
         self.manifest.put(self.next)
         return self.next
 
-    def _write(self, df: DataFrame, partition: str | None, rules: dict[str, Column], limit: int) -> tuple[str, dict]:
-        """Write a folder; the row count, the digest and the rules are observed on the way."""
-        seen = Observation()
+    def _write(self, df: DataFrame, partition: str | None, rules: dict[str, Column], limit: int, content: dict | None = None) -> tuple[str, dict[str, int]]:
+        """Write a folder; the rules' violations and, into ``content``, the row
+        count and the digest are observed on the way."""
+        seen, watched = Observation(), df
         columns = [F.col(f"`{c}`") for c in df.columns]
         digest = F.sum(F.xxhash64(*columns, *[c.isNull() for c in columns]).cast("decimal(38,0)"))  # the hash skips NULLs
-        violations = [F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(f"rule_{i}") for i, c in enumerate(rules.values())]
-        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), digest.cast("string").alias("digest"), *violations)
+        wanted = [F.count(F.lit(1)).alias("rows"), digest.cast("string").alias("digest")] if content else []
+        wanted += [F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(f"rule_{i}") for i, c in enumerate(rules.values())]
+        if wanted:
+            watched = df.observe(seen, *wanted)
         folder = f"data/{uuid.uuid4().hex}"
         w = watched if partition is None else watched.withColumn("_p", _text(partition))
         w = w.write.mode("errorifexists")
         (w if partition is None else w.partitionBy("_p")).parquet(f"{self.manifest.root}/{folder}")
-        got = seen.get
+        got = seen.get if wanted else {}
+        if content:
+            content.update(rows=got["rows"], digest=got["digest"] or "0")
         counts = {name: got[f"rule_{i}"] for i, name in enumerate(rules)}
         if any(v > limit for v in counts.values()):
             raise LoadRejected(counts)
-        return folder, counts | {"rows": got["rows"], "digest": got["digest"] or "0"}
+        return folder, counts
 
     def _folders(self, folder: str, partition: str | None) -> list[dict]:
         if partition is None:

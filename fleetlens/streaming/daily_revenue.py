@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from fleetlens.functions.measures import from_unscaled, unscaled
 from fleetlens.functions.scalars import event_time
 from fleetlens.operators.manifest import Manifest, Transaction
-from fleetlens.operators.tables import stored
 from fleetlens.schemas import TICKET
 
 DAYS = "validation_date date, revenue_cents long, month string"
@@ -80,13 +79,19 @@ def stream_daily_revenue(spark: SparkSession, src_dir: str, out_dir: str, checkp
             new = batch
             if t.has("files"):
                 new = new.join(t.read("files").select(F.col("file").alias(_FILE)), _FILE, "left_anti")
-            new = stored(new)
+            new = new.persist()  # read four times; an executor that is lost reads its files again
+            try:
+                add(t, new)
+            finally:
+                new.unpersist()
+
+        def add(t: Transaction, new: DataFrame) -> None:
             newest = new.agg(F.max("_seconds")).first()[0]
             if newest is None:
                 return
             mark = int(t.next.info.get("watermark", -1 << 62))
             late = (F.unix_date(F.to_date("validated_at")).cast("long") + 1) * 86400 <= mark
-            behind = stored(new.where(late).select(*TICKET.fieldNames(), F.lit(batch_id).cast("long").alias("batch_id")))
+            behind = new.where(late).select(*TICKET.fieldNames(), F.lit(batch_id).cast("long").alias("batch_id"))
             noted[batch_id] = behind.count()
             _add_to_days(t, day_sums(new.where(~late)))
             if noted[batch_id] or not t.has("late"):

@@ -86,6 +86,35 @@ def test_of_two_writers_one_wins_and_the_other_builds_on_it(spark):
     assert values(m.read("t", 1)) == [(0, 0, "z")]
 
 
+def test_an_import_is_seen_whole_or_not_at_all(spark, monkeypatch, tmp_path):
+    from fleetlens.operators.batch_import import import_batch, read_import
+    from tests.fixtures import TICKET_CSV, TRIP_CSV
+
+    def csv(name, text):
+        path = tmp_path / name
+        path.write_text(text)
+        return str(path)
+
+    trips, tickets, root = csv("trips.csv", TRIP_CSV), csv("tickets.csv", TICKET_CSV), str(tmp_path / "tables")
+    import_batch(spark, trips, None, root)
+    old = {t: values(df) for t, df in read_import(spark, root).items()}
+    plain, calls = Transaction.overwrite, []
+    for stop_at in (1, 2, 3):
+        def overwrite(self, name, *a, stop=stop_at, **k):
+            calls.append(name)
+            if len(calls) == stop:
+                raise Stopped
+            return plain(self, name, *a, **k)
+        calls.clear()
+        with monkeypatch.context() as m:
+            m.setattr(Transaction, "overwrite", overwrite)
+            with pytest.raises(Stopped):
+                import_batch(spark, trips, tickets, root)
+        assert {t: values(df) for t, df in read_import(spark, root).items()} == old
+    import_batch(spark, trips, tickets, root)
+    assert read_import(spark, root)["ticket"].count() == 4
+
+
 # --- upsert: the three probed cases
 
 

@@ -167,6 +167,21 @@ def test_late_trips_and_late_tickets_refresh_their_day(spark):
     assert _drain(spark, d, "fresh") == want                             # all files again
 
 
+def test_a_stop_before_the_commit_loses_no_month(spark, monkeypatch):
+    d, day = _kpi_stores(spark), dt.date
+    _add(spark, d, [(1, day(2024, 1, 5)), (2, day(2024, 1, 9)), (3, day(2024, 6, 5))], [(1, "2.00")])
+    want = {"2024-01-05": (10, 2), "2024-01-09": (10, 0), "2024-06-05": (10, 0)}
+    assert _drain(spark, d) == want
+    _add(spark, d, trips=[(4, day(2024, 1, 5))])
+    with monkeypatch.context() as m:
+        m.setattr(Manifest, "put", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(Exception, match="stopped"):
+            _drain(spark, d)
+    table = Manifest(spark, d["k-out"]).read("table")
+    assert {str(r.service_date): (r.total_km, r.total_revenue) for r in table.collect()} == want
+    assert _drain(spark, d) == want | {"2024-01-05": (20, 2)}
+
+
 def test_a_trip_without_a_date_fails(spark):
     d = _kpi_stores(spark)
     _add(spark, d, [(1, dt.date(2024, 1, 5)), (2, None)], [(1, "2.00")])
