@@ -3,6 +3,8 @@ samples, and Arrow-batched row annotation."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -17,14 +19,19 @@ from fleetlens.session import scratch_path
 
 _FIELD = "n:{}"
 _SHIPPED: set[str] = set()
+_BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python workers import this package: its sources go
-    out once per application as a zip that the driver serves."""
+    out once per application as a zip that the driver serves.  Bounds the rows
+    of an Arrow batch as well."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    # Batches of whole texts: Spark's default number of rows (left alone if it was changed) can fill a worker's memory.
+    if spark.conf.get(_BATCH_ROWS, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH_ROWS, "2000")
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     top = os.path.dirname(package)
     path = os.path.join(tempfile.mkdtemp(prefix="fleetlens-py-"), "fleetlens.zip")
@@ -39,9 +46,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with the package at hand on the executors."""
+    """``mapInArrow`` with the package at hand on the executors.  Workers live
+    on for other operators' tasks, so freed memory is handed back around each."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        hand_back()
+        try:
+            yield from fn(batches)
+        finally:
+            hand_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def hand_back() -> None:
+    """Return this process's freed memory to the system, where it can be."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

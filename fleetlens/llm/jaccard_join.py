@@ -44,7 +44,9 @@ from fleetlens.llm.common import doc_texts, free_name, map_arrow, materialise, q
 from fleetlens.llm.linking import SEEDS, Threshold, class_sets, classes_of, find_components, label, leader_pairs, mix, set_key
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CACHE_WORDS = 300_000
+#: Texts whose signatures are held at once.
+SLICE = 500
+_CACHE_WORDS = 100_000
 _CACHE: dict[bytes, int] = {}
 
 SMALLEST_BAND = 8
@@ -171,7 +173,7 @@ def _profiles(texts: DataFrame, width: int, scheme: Scheme) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(scheme)
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             ids, rows, sigs, seen = b.column(0), [], [], set()
             for known, text in zip(ids.is_valid().to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = shingle_set(text, width)

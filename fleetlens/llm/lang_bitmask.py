@@ -37,6 +37,8 @@ from fleetlens.llm.common import annotate, bounded_per_class, doc_texts, held_ou
 from fleetlens.llm.grams import Alphabet, code_points, packed, squeeze
 
 N = 4
+#: Texts whose n-grams are counted at once.
+SLICE = 500
 SLOT_BITS = 19
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 FOLDS, HELD_OUT = 3, 1
@@ -115,7 +117,7 @@ def train(docs: DataFrame, docs_per_lang: int = 1000, per_lang: int = 20000, min
     rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("lang", "text")
 
     def count(batches):
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(np.unique(letter_grams(text)))

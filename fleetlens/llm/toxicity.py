@@ -36,6 +36,8 @@ from fleetlens.llm.common import annotate, bounded_per_class, doc_texts, held_ou
 from fleetlens.llm.grams import Alphabet, code_points, hashed, packed, squeeze
 
 FILTER_BITS = 22
+#: Texts whose n-grams are counted at once.
+SLICE = 200
 FOLDS, HELD_OUT = 5, 0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,7 +101,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
 def gram_ratios(rows: DataFrame, n_features: int, min_docs: int, min_ratio: float, smooth: float) -> DataFrame:
     """The n-grams with the largest standardised log-count ratio: gram, ratio."""
     def count(batches):
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             parts = [(np.unique(np.concatenate(g)), y) for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
                      if (g := text_grams(t))]
             if not parts:
