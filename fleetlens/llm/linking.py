@@ -10,14 +10,21 @@ id leads, and everything below is linear in the size of a bucket:
    leader.  Members are written as their differences from a set in the middle of
    the family: the member nearest to the tokens that most members hold.  All
    members are compared with that one as well.
-3. If x and y differ from the middle in d and e tokens, they differ from each
-   other in d + e - 2 s, s being the number of differences they share.  Two sets
-   of sizes n and m link only if they differ in at most H(n, m) tokens, so a
-   link needs s >= (d + e - H) / 2 shared differences.  Both being in different
-   components, one is not linked to the middle, so s is at least 1.  An inverted
-   index of the rarest differences (prefix filtering) gives the pairs that can
-   reach s; differences that one member has alone never make a pair.  They are
-   compared exactly.
+3. Members that share at least the part t (the threshold) of their own tokens
+   with the middle are around it, the others are far.  If x and y, both around,
+   differ from the middle in d and e tokens, they differ from each other in
+   d + e - 2 s, s being the number of differences they share.  Two sets of sizes
+   n and m link only if they differ in at most H(n, m) tokens, so a link needs
+   s >= (d + e - H) / 2 shared differences.  Both being in different components,
+   one is not linked to the middle, so s is at least 1.
+4. All far members lack most of the middle, so the tokens they lack tell them
+   apart badly and are many.  If x is far, it shares b < t n tokens with the
+   middle; a link with y needs O(n, m) >= t n tokens in common, of which the
+   middle has min(b, b') at most.  So x and y share at least O - min(b, b') >= 1
+   of the tokens that they have and the middle has not.
+5. For both kinds an inverted index of the rarest such tokens (prefix filtering)
+   gives the pairs that can reach that number; tokens that only members of one
+   component have never make a pair.  The pairs are compared exactly.
 
 So every pair of a bucket that could join two components is either compared or
 ruled out by the bound: nothing is capped, dropped or sampled.
@@ -61,6 +68,14 @@ class Threshold:
         """SQL: the most tokens that linked sets of this total size differ in."""
         return f"(({total}) * {self.den - self.num} div {self.den + self.num})"
 
+    def common(self, total: str) -> str:
+        """SQL: the least tokens that linked sets of this total size have in common."""
+        return f"((({total}) * {self.num} + {self.num + self.den - 1}) div {self.num + self.den})"
+
+    def of_own(self, n: str) -> str:
+        """SQL: the least tokens that a set of this size has in common with any it is linked to."""
+        return f"((({n}) * {self.num} + {self.den - 1}) div {self.den})"
+
     def alike(self, n: str, m: str) -> str:
         """SQL: whether sets of these sizes may link."""
         return f"{self.den} * least({n}, {m}) >= {self.num} * greatest({n}, {m})"
@@ -213,25 +228,29 @@ def _open_families(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def _differences(members: DataFrame, sets: DataFrame, centre: str) -> DataFrame:
     """Adds n and m (sizes of the member and of ``centre``), both (tokens they
-    share) and delta (tokens that only one of them has)."""
+    share), plus and minus (tokens that only the member, only ``centre`` has)."""
     own = members.join(sets.select("id", F.col("tokens").alias("x")), "id")
     own = own.join(sets.select(F.col("id").alias(centre), F.col("tokens").alias("y")), centre)
     return own.select(*members.columns, F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"),
-                      F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("delta"))
+                      F.array_except("x", "y").alias("plus"), F.array_except("y", "x").alias("minus"))
 
 
 def _middles(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(lead, centre): the member of each family that is nearest to the tokens
     which most members hold."""
-    first = materialise(_differences(members, sets, "lead").select("lead", "id", "delta"), "first")
-    tokens = first.select("lead", "id", F.explode("delta").alias("t"))
+    first = materialise(_differences(members, sets, "lead").select("lead", "id", F.concat("plus", "minus").alias("delta")), "first")
+    tokens = first.select("lead", F.explode("delta").alias("t"))
     size = first.groupBy("lead").agg(F.count("*").alias("members"))
-    major = tokens.groupBy("lead", "t").agg(F.count("*").alias("c")).join(size, "lead").where("2 * c > members").select("lead", "t")
-    hits = tokens.join(major, ["lead", "t"]).groupBy("lead", "id").agg(F.count("*").alias("h"))
-    far = first.select("lead", "id", F.size("delta").alias("d")).join(hits, ["lead", "id"], "left")
-    best = far.groupBy("lead").agg(F.min(F.struct((F.col("d") - 2 * F.coalesce("h", F.lit(0))).alias("far"), "id")).alias("best"))
+    # Fewer than two mean differences for each family: one array meets every member, not one row for each of its differences.
+    major = (tokens.groupBy("lead", "t").agg(F.count("*").alias("c")).join(size, "lead").where("2 * c > members")
+             .groupBy("lead").agg(F.collect_list("t").alias("major")))
+    major = materialise(major, "major")
+    far = first.join(major, "lead", "left").select("lead", "id", F.size("delta").alias("d"),
+                                                   F.coalesce(F.size(F.array_intersect("delta", "major")), F.lit(0)).alias("h"))
+    far = materialise(far, "far")  # the join alone, so AQE may split a large family; the minimum is aggregated before its shuffle
+    best = far.groupBy("lead").agg(F.min(F.struct((F.col("d") - 2 * F.greatest("h", F.lit(0))).alias("far"), "id")).alias("best"))
     centres = materialise(best.select("lead", F.col("best.id").alias("centre")), "centres")
-    release(first)
+    release(first, major, far)
     return centres
 
 
@@ -239,37 +258,65 @@ def _family_links(members: DataFrame, found: DataFrame, sets: DataFrame, how: Th
     """Links (a, b) inside the families that join different components."""
     centres = _middles(members, sets)
     around = _differences(members.join(centres, "lead"), sets, "centre")
-    around = around.withColumn("near", how.linked(F.col("n"), F.col("m"), F.col("both")))
-    around = materialise(around.select("lead", "id", "centre", "n", "near", "delta"), "around")
+    around = (around.withColumn("near", how.linked(F.col("n"), F.col("m"), F.col("both")))
+              .withColumn("d", F.col("n") + F.col("m") - 2 * F.col("both"))
+              .withColumn("missing", F.expr(f"greatest(0, {how.of_own('n')} - both)"))  # more than 0: far
+              .withColumn("minus", F.expr("CASE WHEN missing = 0 THEN minus END")))
+    around = materialise(around.drop("m"), "around")
     star = around.where("near and id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     star = materialise(star, "star")
     known = materialise(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(star)), "components")
 
-    tokens = around.select("lead", "id", F.explode("delta").alias("t"))
-    shared = tokens.groupBy("lead", "t").agg(F.count("*").alias("c")).where("c > 1")
-    own = (tokens.join(shared, ["lead", "t"]).groupBy("lead", "id")
-           .agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("own")))  # of one document
-    least = around.where("not near").groupBy("lead").agg(F.min(F.size("delta")).alias("least"))  # of those not linked to the middle
-    rows = (_with_component(around.select("lead", "id", "n", "near", F.size("delta").alias("d")), known)
-            .join(own, ["lead", "id"]).join(least, "lead"))
+    # Both around the middle: the one with more differences asks, the other one answers; (d, id) orders them.
+    least = around.where("missing = 0 and not near").groupBy("lead").agg(F.min("d").alias("least"))  # of those not linked to the middle
     largest = how.differences(f"n + n * {how.den} div {how.num}")
-    rows = materialise(rows.select("lead", "id", "component", "n", "d", "own", F.size("own").alias("k"), F.expr(f"{largest}").alias("h"),
-                                   F.when(F.col("near"), F.greatest("d", "least")).otherwise(F.col("d")).alias("other")), "rows")
-
-    def prefix(needed: str, names: dict[str, str]) -> DataFrame:
-        kept = rows.withColumn("p", F.expr(f"k - greatest(1, {needed}) + 1")).where("p > 0")
-        return kept.select("lead", F.posexplode(F.expr("slice(own, 1, p)")).alias("at", "t"),
-                           *[F.col(c).alias(v) for c, v in names.items()]).withColumn(names["k"] + "_at", F.col("at")).drop("at")
-
-    # The one with more differences asks, the other one answers; (d, id) orders them.
-    ask = prefix("d - h", {"id": "x", "component": "cx", "n": "nx", "d": "dx", "k": "kx"})
-    answer = prefix("(d + other - h + 1) div 2", {"id": "y", "component": "cy", "n": "ny", "d": "dy", "k": "ky"})
-    needed = f"((dx + dy - {how.differences('nx + ny')} + 1) div 2)"
-    may = F.expr(f"cx != cy and (dy, y) < (dx, x) and {how.alike('nx', 'ny')} and kx_at <= kx - {needed} and ky_at <= ky - {needed}")
-    pairs = (ask.alias("q").join(answer.alias("r"), (F.col("q.lead") == F.col("r.lead")) & (F.col("q.t") == F.col("r.t")) & may)
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    pairs = materialise(pairs, "pairs")
+    by_differences = (_sharing(_with_component(around.where("missing = 0"), known), F.concat("plus", "minus")).join(least, "lead")
+                      .withColumn("other", F.expr("CASE WHEN near THEN greatest(d, least) ELSE d END"))
+                      .select("lead", "id", "component", "n", "own", F.col("d").alias("value"), F.col("d").alias("rank"),
+                              F.expr(f"d - {largest}").alias("asks"), F.expr(f"(d + other - {largest} + 1) div 2").alias("answers")))
+    differing = _meeting(by_differences, how, f"((value_x + value_y - {how.differences('n_x + n_y')} + 1) div 2)")
+
+    # One far from it, or both: a far one asks.
+    least = around.where("missing > 0").groupBy("lead").agg(F.min("missing").alias("least"))
+    by_own = (_sharing(_with_component(around, known), F.col("plus")).join(least, "lead")
+              .select("lead", "id", "component", "n", "own", F.col("both").alias("value"), F.col("missing").alias("rank"),
+                      F.expr("CASE WHEN missing > 0 THEN missing END").alias("asks"), F.expr("CASE WHEN missing > 0 THEN missing ELSE least END").alias("answers")))
+    beyond = _meeting(by_own, how, f"({how.common('n_x + n_y')} - least(value_x, value_y))")
+
+    pairs = materialise(differing.unionByName(beyond).distinct(), "pairs")
     late = _compared(pairs, sets, how).where("linked").select("a", "b")
     out = materialise(star.unionByName(late), "family_links")
-    release(centres, around, star, known, rows, pairs)
+    release(centres, around, star, known, differing, beyond, pairs)
     return out
+
+
+def _sharing(rows: DataFrame, tokens: Column) -> DataFrame:
+    """Adds own: those of a row's tokens that members of another component of
+    the family have too, the rarest first.  Rows without one are left out."""
+    every = rows.select("lead", "id", "component", F.explode(tokens).alias("t"))
+    shared = (every.groupBy("lead", "t").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+              .where("lo != hi").select("lead", "t", "c"))
+    own = (every.join(shared, ["lead", "t"]).groupBy("lead", "id")
+           .agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("own")))  # of one document
+    return rows.join(own, ["lead", "id"])
+
+
+def _meeting(rows: DataFrame, how: Threshold, needed: str) -> DataFrame:
+    """(a, b) of different components of a family that may share the ``needed``
+    number of tokens in ``own``.  ``asks`` and ``answers`` are the least that any
+    pair of the row needs as the higher and as the lower one by (rank, id); no
+    ``asks``: the row only answers."""
+    rows = materialise(rows.withColumn("k", F.size("own")), "rows")
+
+    def prefix(role: str, at: str) -> DataFrame:
+        kept = rows.withColumn("p", F.expr(f"k - greatest(1, {role}) + 1")).where(f"{role} is not null and p > 0")
+        return kept.select("lead", F.posexplode(F.expr("slice(own, 1, p)")).alias(f"at_{at}", "t"),
+                           *[F.col(c).alias(f"{c}_{at}") for c in ("id", "component", "n", "value", "rank", "k")])
+
+    may = F.expr(f"component_x != component_y and (rank_y, id_y) < (rank_x, id_x) and {how.alike('n_x', 'n_y')}"
+                 f" and at_x <= k_x - {needed} and at_y <= k_y - {needed}")
+    pairs = (prefix("asks", "x").alias("q").join(prefix("answers", "y").alias("r"), (F.col("q.lead") == F.col("r.lead")) & (F.col("q.t") == F.col("r.t")) & may)
+             .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
+    pairs = materialise(pairs, "meeting")
+    release(rows)
+    return pairs

@@ -58,7 +58,7 @@ _ODD = np.zeros(1 << 16, bool)
 _ODD[[ord(c) for c in map(chr, range(1 << 16)) if re.match(r"[\x00\x1c-\x1f\x85\xa0  -     　İΣ]", c)]] = True
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Characters cut and looked up at once.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from fleetlens.llm import linking
 from fleetlens.llm.components import components
 from fleetlens.llm.jaccard_join import allocate, keep_one_per_component, near_duplicates, shingle_set
 
@@ -96,6 +97,65 @@ def test_copies_too_far_from_their_leader_still_find_each_other(spark):
     assert got == want and 3 < len({c for _, c in want.values()}) < 150
 
 
+def linked_components(spark, sets, how):
+    """{id: component} of sets that all meet in one bucket, by linking."""
+    ids = sorted(sets)
+    pairs = spark.createDataFrame([(ids[0], i) for i in ids[1:]], "a long, b long")
+    tokens = spark.createDataFrame([(i, sorted(sets[i])) for i in ids], "id long, tokens array<long>")
+    classes = spark.createDataFrame([(i, i) for i in ids], "id long, node long")
+    return {r["id"]: r["component"] for r in linking.find_components(pairs, tokens, classes, linking.Threshold(*how)).collect()}
+
+
+def test_far_members_are_not_indexed_by_what_they_lack(spark, monkeypatch):
+    """400 sets with 20 of the 100 tokens around which 500 others lie: rows for
+    what they lack grew with their number times the size of a set."""
+    near = {i: {*range(100), 1000 + i} for i in range(500)}
+    far = {500 + i: {*range(20), *range(10_000 + 100 * i, 10_080 + 100 * i)} for i in range(400)}
+    twins = {2000 + i: far[500 + i] - {10_000 + 100 * i} for i in range(0, 400, 100)}
+    held, real = [], linking.materialise
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "rows":
+            held.append(out.selectExpr("coalesce(sum(size(own)), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(linking, "materialise", watched)
+    got = linked_components(spark, near | far | twins, (80, 100))
+    assert {got[i] for i in near} == {0} and all(got[t] == got[t - 1500] == t - 1500 for t in twins)
+    assert sum(held) < 2 * 80 * 2 * len(twins)
+
+
+@pytest.mark.parametrize(("seed", "how"), [(1, (80, 100)), (2, (85, 100)), (3, (1, 2))])
+def test_members_around_and_far_from_the_middle_find_each_other(spark, seed, how):
+    """Sets with ever smaller parts of a common text and of one of six others,
+    so links also cross the line between far and around."""
+    r, (num, den) = random.Random(seed), how
+    sets = {i: {*range(100), 5000 + i} for i in range(30)}
+    for i in range(30, 230):
+        g = 1000 * (1 + r.randrange(6))
+        part = r.choice([0, 5, 30, 60, 75, 80, 85, 90, 100])
+        one = {*range(part), *range(g, g + r.choice([10, 15, 20, 25, 30, 60, 100]))}
+        sets[i] = one - set(r.sample(sorted(one), r.randrange(6))) | {9000 + r.randrange(40) for _ in range(r.randrange(4))}
+    sets = {i: s for i, s in sets.items() if s not in [sets[j] for j in range(i) if j in sets]}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    want = {i: find(i) for i in sets}
+    got = linked_components(spark, sets, how)
+    assert {i: got.get(i, i) for i in sets} == want
+    assert 3 < len(set(want.values())) < len(sets) - 30
+
+
 def test_edge_rows(spark):
     got = near_duplicates(edge_docs(spark, clash=True)).collect()
     assert len(got) == edge_docs(spark).count()
