@@ -138,13 +138,25 @@ def q_pk_incremental(spark, d):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+#: A file is written by one task, which reads its tickets.
+_TICKETS_A_FILE = 2_000_000
+
+
+def _deal(ticket, files):
+    """Tickets in so many partitions, by all columns: those of one trip, or of none, do not meet in one."""
+    return ticket.repartition(files, *ticket.columns)
+
+
 @register("stream_late_rows", DAILY_REVENUE_SQL)
 def q_stream_late_rows(spark, d):
     """Tickets in files that each span all days, so most are late from the
-    second micro-batch on; they are kept beside the table and merged."""
+    second of three micro-batches on; they are kept beside the table and merged.
+    A micro-batch is one file, or as many as its tickets fill."""
     src, out = scratch_path(spark, "late-tickets"), scratch_path(spark, "late-out")
-    T(spark, d).ticket.select(*TICKET.fieldNames()).repartition(3, "trip_id").write.parquet(src)
-    stream_daily_revenue(spark, src, out, scratch_path(spark, "late-ckpt"), watermark="30 days", files_per_trigger=1)
+    ticket = T(spark, d).ticket.select(*TICKET.fieldNames())
+    files = max(1, -(-ticket.count() // (3 * _TICKETS_A_FILE)))
+    _deal(ticket, 3 * files).write.parquet(src)
+    stream_daily_revenue(spark, src, out, scratch_path(spark, "late-ckpt"), watermark="30 days", files_per_trigger=files)
     return merge_late(spark, out)
 
 

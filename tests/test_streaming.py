@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from fleetlens.operators.manifest import Manifest
 from fleetlens.schemas import TICKET, TRIP
 from fleetlens.session import scratch_path
+from fleetlens.sources.bindings import INPUT_SCHEMAS
 from fleetlens.streaming.daily_revenue import merge_late, stream_daily_revenue
 from fleetlens.streaming.orphans import heartbeat, stream_orphans
 from fleetlens.streaming.upsert_kpi import MONTH, read_trip_store, recompute_days, stream_upsert_kpi, with_month
@@ -200,6 +201,32 @@ def test_a_batch_reads_only_the_months_it_touches(spark):
     assert "PartitionFilters: [service_month" in plan
 
 
+def test_late_rows_query_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Three files, whatever the input, left a third of all tickets to one task;
+    half of these tickets are of one trip."""
+    from fleetlens.plans import load_queries
+    rows = [(i if i % 2 else 7, 1, 1, i % 7, 1.0, float(i % 100) / 4, 0.0, 0.0, "N", "O", dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 50)) for i in range(3000)]
+    spark.createDataFrame(rows, INPUT_SCHEMAS["lineitem"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, real = [], load_queries.stream_daily_revenue
+
+    def watched(session, src, *args, **how):
+        seen.append([r["count"] for r in session.read.parquet(src).groupBy(F.input_file_name()).count().collect()])
+        run = real(session, src, *args, **how)
+        seen.append([n for _, n in run.dropped])
+        return run
+
+    monkeypatch.setattr(load_queries, "_TICKETS_A_FILE", 200, raising=False)
+    monkeypatch.setattr(load_queries, "stream_daily_revenue", watched)
+    got = {r["validation_date"]: r["revenue"] for r in load_queries.q_stream_late_rows(spark, str(tmp_path)).collect()}
+    want = {}
+    for r in rows:
+        want[r[-1].date()] = want.get(r[-1].date(), 0) + Decimal(r[5])
+    assert got == want
+    files, late = seen
+    assert sum(files) == 3000 and len(files) == 15 and max(files) < 500
+    assert len(late) == 3 and late[0] == 0 and min(late[1:]) > 0
+
+
 # --- orphans
 
 
