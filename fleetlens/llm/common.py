@@ -19,6 +19,8 @@ from fleetlens.session import scratch_path
 
 _FIELD = "n:{}"
 _SHIPPED: set[str] = set()
+#: Rows of a few numbers that a join may broadcast: about 10 MB, Spark's own bound on a table's size.
+FEW_ROWS = 200_000
 _BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
@@ -101,6 +103,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` narrow rows, for the side of a join that is
+    broadcast while these are few.  More are shuffled."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the folders of materialised frames that nothing reads any more."""
     for df in frames:

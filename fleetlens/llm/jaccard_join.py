@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     classes = classes_of(profiles)
     pairs = leader_pairs(profiles, classes)
     sets = class_sets(texts, pairs, classes, lambda text: shingle_set(text, width))
-    found = find_components(pairs, sets, classes, Threshold(num, den))
+    how = Threshold(num, den)
+    found = find_components(pairs, sets, classes, how, plausible=lambda p: p.where(how.alike("n_a", "n_b")))
     release(pairs, sets)
     return label(profiles, classes, found)
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_arrow, materialise, release
+from fleetlens.llm.common import map_arrow, materialise, release, small
 from fleetlens.llm.components import components
 
 #: Times that families are handed over to a common smallest leader.
@@ -100,7 +100,8 @@ def classes_of(profiles: DataFrame) -> DataFrame:
 
 
 def leader_pairs(profiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) of classes: the leader of a bucket and each other member, once.
+    """(a, b, n_a, n_b) of classes: the leader of a bucket and each other member,
+    once, and the sizes of their sets.
 
     Leaders are a grouped minimum, aggregated before the shuffle; a key that one
     document has alone goes no further.
@@ -112,10 +113,11 @@ def leader_pairs(profiles: DataFrame, classes: DataFrame) -> DataFrame:
     release(lead)
     # From documents to their classes; copies of one class are no pair.
     name = materialise(profiles.select("doc_id", "k1", "k2", "n").where("n > 0 and doc_id is not null")
-                       .join(classes, ["k1", "k2", "n"]).select("doc_id", "node").distinct(), "names")
-    pairs = (met.join(name.select(F.col("doc_id").alias("a"), F.col("node").alias("ca")), "a")
-             .join(name.select(F.col("doc_id").alias("b"), F.col("node").alias("cb")), "b")
-             .where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+                       .join(classes, ["k1", "k2", "n"]).select("doc_id", "node", "n").distinct(), "names")
+    rows = name.count()
+    pairs = (met.join(small(name.select(F.col("doc_id").alias("a"), F.col("node").alias("ca"), F.col("n").alias("n_a")), rows), "a")
+             .join(small(name.select(F.col("doc_id").alias("b"), F.col("node").alias("cb"), F.col("n").alias("n_b")), rows), "b")
+             .where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "n_a", "n_b").distinct())
     pairs = materialise(pairs, "pairs")  # a is the leader's class, also where another class has a smaller number
     release(met, name)
     return pairs
@@ -126,8 +128,9 @@ def class_sets(texts: DataFrame, pairs: DataFrame, classes: DataFrame, sets_of,
     the set of a text.  Up to ``few`` ids (16 MB of longs) may be broadcast."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = materialise(nodes.join(classes, "node").select("node", "id", "k1", "k2", "n"), "needed")
-    ids = materialise(needed.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    wanted = texts.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi").select("text")
+    ids = needed.select(F.col("id").alias("doc_id"))
+    rows = needed.count()
+    wanted = texts.join(F.broadcast(ids) if rows <= few else ids, "doc_id", "left_semi").select("text")
 
     def run(batches):
         for b in batches:
@@ -146,9 +149,9 @@ def class_sets(texts: DataFrame, pairs: DataFrame, classes: DataFrame, sets_of,
                                               pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(tokens))], names=["k1", "k2", "n", "tokens"])
 
     made = map_arrow(wanted, run, "k1 long, k2 long, n long, tokens array<long>")
-    sets = made.join(needed, ["k1", "k2", "n"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    sets = made.join(small(needed, rows), ["k1", "k2", "n"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
     sets = materialise(sets.withColumnRenamed("node", "id"), "sets")
-    release(needed, ids)
+    release(needed)
     return sets
 
 
@@ -160,68 +163,67 @@ def set_key(tokens: np.ndarray) -> tuple[int, int, int]:
 def find_components(pairs: DataFrame, sets: DataFrame, classes: DataFrame, how: Threshold, plausible=None) -> DataFrame:
     """(id, component) of every class that is linked.
 
-    ``pairs`` are leaders and members (a, b), ``sets`` (id, tokens).
-    ``plausible`` may drop pairs that an index rules out before they are compared.
+    ``pairs`` are leaders and members (a, b), each once, ``sets`` (id, tokens).
+    ``plausible`` may drop pairs that their sizes or an index rule out before
+    they are compared.
     """
     near = pairs if plausible is None else plausible(pairs)
     same = classes.where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))  # texts of one id
     links = materialise(_compared(near, sets, how).where("linked").select("a", "b").unionByName(same), "links")
     found = materialise(components(links), "components")
-    members = _open_families(_memberships(pairs), found)
-    if members.isEmpty():
+    release(links)
+    members = _open_families(pairs, found)
+    if members is None:
         return found
-    more = _family_links(members, found, sets, how)
-    both = materialise(components(links.unionByName(more)), "components")
-    release(found, members, more, links)
+    both = _within_families(members, found, sets, how)
+    release(found, members)
     return both
 
 
 def label(profiles: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (NULL for a NULL id)."""
     # Copies of one class are joined to one row; AQE splits a hot class.
-    rep = profiles.select("doc_id", "n", "k1", "k2").join(classes.withColumnRenamed("id", "rep"), ["k1", "k2", "n"], "left")
-    rep = rep.join(found, F.col("node") == F.col("id"), "left")
+    named = classes.join(found.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
+    rep = profiles.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     return rep.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, how: Threshold) -> DataFrame:
     """(a, b, linked), decided on the whole sets."""
-    size = sets.select("id", F.size("tokens").alias("n"))
-    pairs = (pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("r")), "a")
-             .join(size.select(F.col("id").alias("b"), F.col("n").alias("s")), "b").where(how.alike("r", "s")).select("a", "b"))
-    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    both = (pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a"))
     return both.select("a", "b", how.linked(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))).alias("linked"))
 
 
-def _memberships(pairs: DataFrame) -> DataFrame:
-    """(lead, id), the leader itself included."""
-    return pairs.select(F.col("a").alias("lead"), F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("lead"), F.col("a").alias("id"))).distinct()
-
-
 def _with_component(members: DataFrame, found: DataFrame) -> DataFrame:
-    return members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return members.join(small(found, found.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _open_families(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The memberships of families in which a pair is undecided: their members
-    besides the leader lie in several components.
+def _open_families(pairs: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The memberships (lead, id), the leader included, of families in which a
+    pair is undecided: their members besides the leader lie in several
+    components.  None if there are none.
 
     The buckets of one group of near copies have many leaders whose families are
     much the same.  A family of which most members have the same smallest leader is
     handed over to that one, as a whole, so every pair still shares a family;
     memberships never become more by that."""
-    other = F.when(F.col("id") != F.col("lead"), F.col("component"))
-    wide = _with_component(members, found).groupBy("lead").agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo != hi").select("lead")
-    kept = materialise(members.join(wide, "lead", "left_semi"), "families")
+    others = pairs.select(F.col("a").alias("lead"), F.col("b").alias("id"))
+    wide = (_with_component(others, found).groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+            .where("lo != hi").select("lead"))
+    kept = materialise(others.join(wide, "lead", "left_semi").unionByName(wide.select("lead", F.col("lead").alias("id"))), "families")
+    rows = kept.count()
+    if not rows:
+        release(kept)
+        return None
     for _ in range(HAND_OVERS):
         home = kept.groupBy("id").agg(F.min("lead").alias("home"))
-        votes = kept.join(home, "id").groupBy("lead", "home").agg(F.count("*").alias("n"))
-        size = kept.groupBy("lead").agg(F.count("*").alias("members"))
-        to = votes.join(size, "lead").where("2 * n > members").select("lead", F.col("home").alias("to"))
+        votes = kept.join(small(home, rows), "id").groupBy("lead", "home").agg(F.count("*").alias("n"))
+        most = votes.groupBy("lead").agg(F.sum("n").alias("members"), F.max(F.struct("n", "home")).alias("most"))
+        to = most.where("2 * most.n > members").select("lead", F.col("most.home").alias("to"))
         last = kept
-        kept = materialise(last.join(to, "lead", "left").select(F.coalesce("to", "lead").alias("lead"), "id").distinct(), "families")
+        kept = materialise(last.join(small(to, rows), "lead", "left").select(F.coalesce("to", "lead").alias("lead"), "id").distinct(), "families")
         release(last)
     return kept
 
@@ -242,7 +244,7 @@ def _middles(members: DataFrame, sets: DataFrame) -> DataFrame:
     tokens = first.select("lead", F.explode("delta").alias("t"))
     size = first.groupBy("lead").agg(F.count("*").alias("members"))
     # Fewer than two mean differences for each family: one array meets every member, not one row for each of its differences.
-    major = (tokens.groupBy("lead", "t").agg(F.count("*").alias("c")).join(size, "lead").where("2 * c > members")
+    major = (tokens.groupBy("lead", "t").agg(F.count("*").alias("c")).join(small(size, members.count()), "lead").where("2 * c > members")
              .groupBy("lead").agg(F.collect_list("t").alias("major")))
     major = materialise(major, "major")
     far = first.join(major, "lead", "left").select("lead", "id", F.size("delta").alias("d"),
@@ -254,8 +256,9 @@ def _middles(members: DataFrame, sets: DataFrame) -> DataFrame:
     return centres
 
 
-def _family_links(members: DataFrame, found: DataFrame, sets: DataFrame, how: Threshold) -> DataFrame:
-    """Links (a, b) inside the families that join different components."""
+def _within_families(members: DataFrame, found: DataFrame, sets: DataFrame, how: Threshold) -> DataFrame:
+    """(id, component) with the links inside the families that join different
+    components of ``found``."""
     centres = _middles(members, sets)
     around = _differences(members.join(centres, "lead"), sets, "centre")
     around = (around.withColumn("near", how.linked(F.col("n"), F.col("m"), F.col("both")))
@@ -263,31 +266,37 @@ def _family_links(members: DataFrame, found: DataFrame, sets: DataFrame, how: Th
               .withColumn("missing", F.expr(f"greatest(0, {how.of_own('n')} - both)"))  # more than 0: far
               .withColumn("minus", F.expr("CASE WHEN missing = 0 THEN minus END")))
     around = materialise(around.drop("m"), "around")
-    star = around.where("near and id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    star = materialise(star, "star")
+    star = around.where("near and id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
     known = materialise(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(star)), "components")
+    least = around.groupBy("lead").agg(F.expr("min(CASE WHEN missing = 0 AND NOT near THEN d END)").alias("least_d"),  # of those not linked to the middle
+                                       F.expr("min(CASE WHEN missing > 0 THEN missing END)").alias("least_missing"))
+    each = materialise(_with_component(around, known).join(small(least, centres.count()), "lead"), "each")
 
     # Both around the middle: the one with more differences asks, the other one answers; (d, id) orders them.
-    least = around.where("missing = 0 and not near").groupBy("lead").agg(F.min("d").alias("least"))  # of those not linked to the middle
     largest = how.differences(f"n + n * {how.den} div {how.num}")
-    by_differences = (_sharing(_with_component(around.where("missing = 0"), known), F.concat("plus", "minus")).join(least, "lead")
-                      .withColumn("other", F.expr("CASE WHEN near THEN greatest(d, least) ELSE d END"))
+    by_differences = (_sharing(each.where("missing = 0 and least_d is not null"), F.concat("plus", "minus"))
+                      .withColumn("other", F.expr("CASE WHEN near THEN greatest(d, least_d) ELSE d END"))
                       .select("lead", "id", "component", "n", "own", F.col("d").alias("value"), F.col("d").alias("rank"),
                               F.expr(f"d - {largest}").alias("asks"), F.expr(f"(d + other - {largest} + 1) div 2").alias("answers")))
-    differing = _meeting(by_differences, how, f"((value_x + value_y - {how.differences('n_x + n_y')} + 1) div 2)")
+    around_rows = materialise(by_differences.withColumn("k", F.size("own")), "rows")
+    differing = _meeting(around_rows, how, f"((value_x + value_y - {how.differences('n_x + n_y')} + 1) div 2)")
 
     # One far from it, or both: a far one asks.
-    least = around.where("missing > 0").groupBy("lead").agg(F.min("missing").alias("least"))
-    by_own = (_sharing(_with_component(around, known), F.col("plus")).join(least, "lead")
+    by_own = (_sharing(each.where("least_missing is not null"), F.col("plus"))
               .select("lead", "id", "component", "n", "own", F.col("both").alias("value"), F.col("missing").alias("rank"),
-                      F.expr("CASE WHEN missing > 0 THEN missing END").alias("asks"), F.expr("CASE WHEN missing > 0 THEN missing ELSE least END").alias("answers")))
-    beyond = _meeting(by_own, how, f"({how.common('n_x + n_y')} - least(value_x, value_y))")
+                      F.expr("CASE WHEN missing > 0 THEN missing END").alias("asks"), F.expr("CASE WHEN missing > 0 THEN missing ELSE least_missing END").alias("answers")))
+    far_rows = materialise(by_own.withColumn("k", F.size("own")), "rows")
+    beyond = _meeting(far_rows, how, f"({how.common('n_x + n_y')} - least(value_x, value_y))")
 
     pairs = materialise(differing.unionByName(beyond).distinct(), "pairs")
-    late = _compared(pairs, sets, how).where("linked").select("a", "b")
-    out = materialise(star.unionByName(late), "family_links")
-    release(centres, around, star, known, differing, beyond, pairs)
-    return out
+    late = materialise(_compared(pairs, sets, how).where("linked").select("a", "b"), "late")
+    release(centres, around, each, around_rows, far_rows, pairs)
+    if late.isEmpty():
+        release(late)
+        return known
+    both = materialise(components(known.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(late)), "components")
+    release(known, late)
+    return both
 
 
 def _sharing(rows: DataFrame, tokens: Column) -> DataFrame:
@@ -303,10 +312,9 @@ def _sharing(rows: DataFrame, tokens: Column) -> DataFrame:
 
 def _meeting(rows: DataFrame, how: Threshold, needed: str) -> DataFrame:
     """(a, b) of different components of a family that may share the ``needed``
-    number of tokens in ``own``.  ``asks`` and ``answers`` are the least that any
-    pair of the row needs as the higher and as the lower one by (rank, id); no
-    ``asks``: the row only answers."""
-    rows = materialise(rows.withColumn("k", F.size("own")), "rows")
+    number of their ``k`` tokens in ``own``, perhaps several times.  ``asks`` and
+    ``answers`` are the least that any pair of the row needs as the higher and as
+    the lower one by (rank, id); no ``asks``: the row only answers."""
 
     def prefix(role: str, at: str) -> DataFrame:
         kept = rows.withColumn("p", F.expr(f"k - greatest(1, {role}) + 1")).where(f"{role} is not null and p > 0")
@@ -315,8 +323,5 @@ def _meeting(rows: DataFrame, how: Threshold, needed: str) -> DataFrame:
 
     may = F.expr(f"component_x != component_y and (rank_y, id_y) < (rank_x, id_x) and {how.alike('n_x', 'n_y')}"
                  f" and at_x <= k_x - {needed} and at_y <= k_y - {needed}")
-    pairs = (prefix("asks", "x").alias("q").join(prefix("answers", "y").alias("r"), (F.col("q.lead") == F.col("r.lead")) & (F.col("q.t") == F.col("r.t")) & may)
-             .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
-    pairs = materialise(pairs, "meeting")
-    release(rows)
-    return pairs
+    return (prefix("asks", "x").alias("q").join(prefix("answers", "y").alias("r"), (F.col("q.lead") == F.col("r.lead")) & (F.col("q.t") == F.col("r.t")) & may)
+             .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")))

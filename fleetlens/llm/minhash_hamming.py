@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 80, den: int = 1
     pairs = leader_pairs(profiles, classes)
     carriers = (profiles.where("signature is not null").join(classes, ["k1", "k2", "n"])
                 .groupBy("node").agg(F.min("signature").alias("signature")).withColumnRenamed("node", "id"))  # equal sets, equal signatures
-    near = materialise(within(pairs, carriers, distance), "near")
+    near = materialise(within(pairs.where(how.alike("n_a", "n_b")), carriers, distance), "near")
     sets = class_sets(texts, pairs, classes, lambda text: shingle_set(text, width))
     found = find_components(pairs, sets, classes, how, plausible=lambda _: near)
     release(pairs, sets, near)

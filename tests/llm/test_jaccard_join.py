@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fleetlens.llm import linking
+from fleetlens.llm import common, linking
 from fleetlens.llm.components import components
 from fleetlens.llm.jaccard_join import allocate, keep_one_per_component, near_duplicates, shingle_set
 
@@ -156,6 +156,31 @@ def test_members_around_and_far_from_the_middle_find_each_other(spark, seed, how
     assert 3 < len(set(want.values())) < len(sets) - 30
 
 
+def test_written_steps_of_a_family_are_few(spark, monkeypatch):
+    """Each written step costs a task for every partition, however few its rows
+    are; a family whose middle links all of it needs no further components."""
+    sets = {0: {*range(85), *range(2000, 2015)}} | {i: {*range(100), 1000 + i} for i in range(1, 40)} | {50: {*range(85), *range(3000, 3015)}}
+    written, real = [], linking.materialise
+
+    def watched(df, name):
+        written.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(linking, "materialise", watched)
+    got = linked_components(spark, sets, (80, 100))
+    assert {got[i] for i in sets} == {0}
+    assert len(written) <= 16 and written.count("components") <= 2
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_shuffled_and_broadcast_joins_give_the_same(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    base = prose("hub", 120, 10 ** 6)
+    rows = [(i, edited(base, f"hub{i}", 7 if i == 0 else i % 10)) for i in range(60)] + [(100 + i, base) for i in range(5)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_table(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_edge_rows(spark):
     got = near_duplicates(edge_docs(spark, clash=True)).collect()
     assert len(got) == edge_docs(spark).count()
