@@ -21,6 +21,8 @@ _FIELD = "n:{}"
 _SHIPPED: set[str] = set()
 #: Rows of a few numbers that a join may broadcast: about 10 MB, Spark's own bound on a table's size.
 FEW_ROWS = 200_000
+#: What this worker process holds for the next tasks: at most one thing, by its kind and key.
+_STORED: dict[tuple, object] = {}
 _BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
@@ -47,12 +49,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema, keeps: str | None = None) -> DataFrame:
     """``mapInArrow`` with the package at hand on the executors.  Workers live
-    on for other operators' tasks, so freed memory is handed back around each."""
+    on for other operators' tasks, so each task lets go of what is ``stored`` of
+    another kind than ``keeps``, and freed memory is handed back around it."""
     ship(df.sparkSession)
 
     def run(batches):
+        let_go(keeps)
         hand_back()
         try:
             yield from fn(batches)
@@ -62,6 +66,22 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def stored(kind: str, key, make: Callable[[], object]):
+    """What ``make`` returns, made once and kept in this process until something
+    else is stored or a task that keeps no such kind begins."""
+    found = _STORED.get((kind, key))
+    if found is None:
+        _STORED.clear()
+        found = _STORED[kind, key] = make()
+    return found
+
+
+def let_go(but: str | None = None) -> None:
+    """Drop what this process keeps, unless it is of the kind ``but``."""
+    for k in [k for k in _STORED if k[0] != but]:
+        del _STORED[k]
+
+
 def hand_back() -> None:
     """Return this process's freed memory to the system, where it can be."""
     gc.collect()
@@ -144,13 +164,14 @@ def free_name(taken: list[str], base: str) -> str:
 
 def annotate(df: DataFrame, column: str, fields: list[T.StructField],
              factory: Callable[[], Callable[[list], list[pa.Array]]],
-             keep: list[str] | None = None) -> tuple[DataFrame, str]:
+             keep: list[str] | None = None, keeps: str | None = None) -> tuple[DataFrame, str]:
     """Append one struct column computed from the text column, batch by batch.
 
     ``factory`` builds, once per task, a function from a list of texts (None
     for NULL) to one Arrow array per field.  The columns named in ``keep`` (all
     by default) pass through unchanged; leaving out the text saves its way
-    back.  Returns the frame and the name of the new column.
+    back.  ``keeps`` is the kind of what the factory has ``stored``.  Returns the
+    frame and the name of the new column.
     """
     kept = df.columns if keep is None else keep
     name = free_name(kept, "found")
@@ -173,7 +194,7 @@ def annotate(df: DataFrame, column: str, fields: list[T.StructField],
     # Positional names inside the exchange with Python: column names of the caller may be anything.
     renamed = df.toDF(*in_names)
     schema = T.StructType([*(renamed.schema.fields[i] for i in places), T.StructField(out_names[-1], struct)])
-    return map_arrow(renamed, run, schema).toDF(*kept, name), name
+    return map_arrow(renamed, run, schema, keeps).toDF(*kept, name), name
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:

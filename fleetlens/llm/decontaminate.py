@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import annotate, doc_texts, quoted
+from fleetlens.llm.common import annotate, doc_texts, quoted, stored
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -135,15 +135,9 @@ class Matcher:
         return out
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(name: str, windows) -> Matcher:
     """The matcher of one block; a worker process keeps the last one."""
-    if name not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[name] = Matcher(windows.value)
-    return _MATCHERS[name]
+    return stored("matcher", name, lambda: Matcher(windows.value))
 
 
 def _scan(docs: DataFrame, windows: list, keep: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -159,7 +153,7 @@ def _scan(docs: DataFrame, windows: list, keep: list[str] | None = None) -> tupl
                     pa.array([f[2] for f in found], pa.list_(pa.string()))]
         return score
 
-    return annotate(docs, "text", FOUND, factory, keep)
+    return annotate(docs, "text", FOUND, factory, keep, "matcher")
 
 
 def _blocks(benchmark: DataFrame, window: int, block_nodes: int) -> list[DataFrame]:

@@ -40,14 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import doc_texts, free_name, map_arrow, materialise, quoted, release
+from fleetlens.llm.common import doc_texts, free_name, map_arrow, materialise, quoted, release, stored
 from fleetlens.llm.linking import SEEDS, Threshold, class_sets, classes_of, find_components, label, leader_pairs, mix, set_key
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Texts whose signatures are held at once.
 SLICE = 500
 _CACHE_WORDS = 100_000
-_CACHE: dict[bytes, int] = {}
 
 SMALLEST_BAND = 8
 BAND_RATIO = 1.5
@@ -66,11 +65,12 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_CACHE) > _CACHE_WORDS:
-        _CACHE.clear()
-    for w in set(words).difference(_CACHE):
-        _CACHE[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_CACHE.__getitem__, words), np.uint64, len(words))
+    cache = stored("words", "hashes", dict)
+    if len(cache) > _CACHE_WORDS:
+        cache.clear()
+    for w in set(words).difference(cache):
+        cache[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.full(n, np.uint64(min(width, len(h))))
     for i in range(min(width, len(h))):
@@ -191,7 +191,7 @@ def _profiles(texts: DataFrame, width: int, scheme: Scheme) -> DataFrame:
                 [ids, pa.array(k[:, 2].astype(np.int64)), pa.array(k[:, 0].view(np.int64)), pa.array(k[:, 1].view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "sigs"])
 
-    return materialise(map_arrow(texts, run, "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "profiles")
+    return materialise(map_arrow(texts, run, "doc_id long, n long, k1 long, k2 long, sigs array<long>", "words"), "profiles")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -148,7 +148,7 @@ def class_sets(texts: DataFrame, pairs: DataFrame, classes: DataFrame, sets_of,
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(k[:, i])) for i in range(3)),
                                               pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(tokens))], names=["k1", "k2", "n", "tokens"])
 
-    made = map_arrow(wanted, run, "k1 long, k2 long, n long, tokens array<long>")
+    made = map_arrow(wanted, run, "k1 long, k2 long, n long, tokens array<long>", "words")
     sets = made.join(small(needed, rows), ["k1", "k2", "n"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
     sets = materialise(sets.withColumnRenamed("node", "id"), "sets")
     release(needed)

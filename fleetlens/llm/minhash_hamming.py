@@ -113,7 +113,7 @@ def _profiles(texts: DataFrame, width: int, how: Threshold, distance: int) -> Da
                  pa.ListArray.from_arrays(pa.array(ends * SYMBOLS), pa.array(keys(signatures, distance).reshape(-1).view(np.int64)))],
                 names=["doc_id", "n", "k1", "k2", "signature", "sigs"])
 
-    return materialise(map_arrow(texts, run, "doc_id long, n long, k1 long, k2 long, signature binary, sigs array<long>"), "profiles")
+    return materialise(map_arrow(texts, run, "doc_id long, n long, k1 long, k2 long, signature binary, sigs array<long>", "words"), "profiles")
 
 
 def within(pairs: DataFrame, signatures: DataFrame, distance: int) -> DataFrame:

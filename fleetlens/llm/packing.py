@@ -49,12 +49,12 @@ def lengths(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
         return texts.select("doc_id", "salt", word_length("text").alias("n_tokens"))
 
     def run(batches):
-        tokenizer = shared_tokenizer(tokenizer_path)
+        tokenizer = shared_tokenizer(tokenizer_path, only_counts=True)
         for b in batches:
             n = [1 + k for i in range(0, b.num_rows, 512) for k in tokenizer.counts([t or "" for t in b.column(2).slice(i, 512).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "salt", "n_tokens"])
 
-    return map_arrow(texts.select("doc_id", "salt", "text"), run, "doc_id long, salt int, n_tokens long")
+    return map_arrow(texts.select("doc_id", "salt", "text"), run, "doc_id long, salt int, n_tokens long", "tokenizer")
 
 
 def boundaries(cells: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -107,7 +107,6 @@ def _hidden(a, b, c) -> bool:
 def pack(docs: DataFrame, tokenizer_path: str | None = None, buckets: int = 16, budget: int = 32768, slice_rows: int = 50_000) -> DataFrame:
     """Per document: doc_id, n_tokens, bucket, padded (its boundary), batch
     (number inside the bucket), place (inside the batch), padding."""
-    spark = docs.sparkSession
     measured = lengths(docs, tokenizer_path)
     groups = materialise(measured.groupBy("doc_id", "salt", "n_tokens").agg(F.count("*").alias("copies")), "lengths")
     hist = [(r["n_tokens"], r["n"]) for r in groups.groupBy("n_tokens").agg(F.sum("copies").alias("n")).collect()]  # a row a length
@@ -118,12 +117,15 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, buckets: int = 16,
     for length, n in hist:
         size[sum(b < length for b in bounds)] += n
     slices = [max(1, -(-n // slice_rows)) for n in size]
-    per_bucket = F.broadcast(spark.createDataFrame(  # a row per bucket
-        [(i, b, max(1, budget // b), slices[i]) for i, b in enumerate(bounds)], "bucket int, padded long, holds long, slices long"))
+    def of_bucket(values: list[int]) -> Column:
+        return F.expr(f"element_at(array({', '.join(f'{v}L' for v in values)}), bucket + 1)")
+
     of = "size(filter(array(" + ", ".join(f"{b}L" for b in bounds) + "), b -> b < n_tokens))"
     order = F.xxhash64(F.coalesce("doc_id", "n_tokens"), "salt")
-    placed = (groups.withColumn("bucket", F.expr(of)).join(per_bucket, "bucket")
-              .withColumn("slice", F.pmod(order, F.col("slices"))))
+    # Few numbers a bucket as literals: rows of the driver's would take Python workers of a second kind on the executors.
+    placed = (groups.withColumn("bucket", F.expr(of)).withColumn("padded", of_bucket(bounds))
+              .withColumn("holds", of_bucket([max(1, budget // b) for b in bounds]))
+              .withColumn("slice", F.pmod(order, of_bucket(slices))))
     counts = placed.groupBy("bucket", "slice").agg(F.sum("copies").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", "slice", F.coalesce(before, F.lit(0)).alias("offset"))

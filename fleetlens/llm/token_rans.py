@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import doc_texts, map_arrow
+from fleetlens.llm.common import doc_texts, map_arrow, stored
 from fleetlens.session import scratch_path
 
 MAGIC = 0x31534E52
@@ -76,10 +76,12 @@ class _Powers:
 
 
 class _Words:
-    """Ids of known words in one pool, found by the words' 64-bit hashes."""
+    """Ids of known words in one pool, or only their number, found by the words'
+    64-bit hashes."""
 
-    def __init__(self):
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+    def __init__(self, only_counts: bool):
+        self.only_counts = only_counts
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.start, self.count, self.pool = [], [], []
         self.n = self.size = 0
 
@@ -91,21 +93,21 @@ class _Words:
         return np.where(self.keys[at] == keys, self.slots[at], -1)
 
     def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        count = np.array([len(x) // 4 for x in ids], np.int64)
-        self.start.append(self.size + np.cumsum(count) - count)
+        count = np.array([len(x) // 4 for x in ids], np.int32)
         self.count.append(count)
-        self.pool.append(np.frombuffer(b"".join(ids), "<u4"))
+        if not self.only_counts:
+            self.start.append(self.size + np.cumsum(count, dtype=np.int64) - count)
+            self.pool.append(np.frombuffer(b"".join(ids), "<u4"))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, self.n + np.arange(len(keys)))
         self.n, self.size = self.n + len(keys), self.size + int(count.sum())
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first place in the pool, ids) of each slot, and the pool."""
-        for name in ("start", "count", "pool"):
-            parts = getattr(self, name)
-            if len(parts) > 1:
-                setattr(self, name, [np.concatenate(parts)])
-        return self.start[0], self.count[0], self.pool[0]
+    def whole(self, name: str) -> np.ndarray:
+        """``start`` (first place in the pool) or ``count`` (ids) of each slot, or the ``pool``."""
+        parts = getattr(self, name)
+        if len(parts) > 1:
+            setattr(self, name, [np.concatenate(parts)])
+        return getattr(self, name)[0]
 
 
 class WordTokenizer:
@@ -114,13 +116,14 @@ class WordTokenizer:
 
     Right for tokenizers that lower-case, drop white space and never join
     across it, as the default vocabulary's does; a text with unusual white
-    space or special-token marks is encoded in one piece instead.
+    space or special-token marks is encoded in one piece instead.  With
+    ``only_counts`` it keeps no ids of words, a third of the memory.
     """
 
-    def __init__(self, path: str, cache_words: int = 1_500_000):
+    def __init__(self, path: str, cache_words: int = 1_500_000, only_counts: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), _Words(), cache_words
+        self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), _Words(only_counts), cache_words
         self.power, self.inverse = _Powers(_P), _Powers(_P_INVERSE)
         self.letters, self.last = self._letter_tokenizer()
 
@@ -187,7 +190,7 @@ class WordTokenizer:
         first, last, keys = first[~mark], last[~mark], keys[~mark]
         unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if self.cache.n + len(unique) > self.cache_words:
-            self.cache = _Words()
+            self.cache = _Words(self.cache.only_counts)
         slots = self.cache.find(unique)
         gaps = np.flatnonzero(slots < 0)
         if len(gaps):
@@ -247,7 +250,7 @@ class WordTokenizer:
         slots, ends = self._slots(texts)
         if not len(slots):
             return [b""] * len(texts)
-        start, count, pool = self.cache.table()
+        start, count, pool = map(self.cache.whole, ("start", "count", "pool"))
         n = count[slots]
         stop = np.cumsum(n)
         raw = pool[np.repeat(start[slots] - (stop - n), n) + np.arange(stop[-1])].tobytes()
@@ -257,18 +260,13 @@ class WordTokenizer:
         slots, ends = self._slots(texts)
         if not len(slots):
             return [0] * len(texts)
-        stop = np.concatenate([[0], np.cumsum(self.cache.table()[1][slots])])
+        stop = np.concatenate([[0], np.cumsum(self.cache.whole("count")[slots])])
         return np.diff(stop[ends], prepend=0).tolist()
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def shared_tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str, only_counts: bool = False) -> WordTokenizer:
     """One tokenizer, with its cache, for each worker process."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return stored("tokenizer", (path, only_counts), lambda: WordTokenizer(path, only_counts=only_counts))
 
 
 # --- the coder ------------------------------------------------------------
@@ -460,7 +458,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, shard_ids: int
     # Rows of one id are split by their text, equal rows, which are alike in every respect, by where they were read.
     rows = (doc_texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
-    (map_arrow(rows, encode, "part int, seq int, docs long, ids long, image binary")
+    (map_arrow(rows, encode, "part int, seq int, docs long, ids long, image binary", "tokenizer")
      .write.option("compression", "none").parquet(path))
 
 

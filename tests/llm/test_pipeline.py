@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from fleetlens.llm import lang_bitmask, toxicity
+from fleetlens.llm import common, jaccard_join, lang_bitmask, packing, token_rans, toxicity
 
 from .helpers import docs_table, edge_docs, edited, prose
 from .test_decontaminate import brute as contaminated
 from .test_jaccard_join import brute as grouped
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,6 +78,48 @@ def test_stages_take_odd_rows(spark):
         assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == docs.count()
 
 
+def test_workers_let_go_of_what_other_operators_keep(spark):
+    """A worker process holds one operator's tokenizer, matcher or words at most."""
+    docs = docs_table(spark, [(i, prose(i, 40)) for i in range(40)]).coalesce(1)
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([", ".join(k for k, _ in common._STORED)] * b.num_rows)], names=["held"])
+
+    def in_worker(keeps=None):
+        return {r["held"] for r in common.map_arrow(docs.select("doc_id"), held, "held string", keeps).collect()}
+
+    packing.lengths(docs, VOCABULARY).collect()
+    jaccard_join.near_duplicates(docs)
+    assert in_worker("words") <= {"words", ""}  # or a worker that has not worked yet
+    assert in_worker() == {""}
+    common.stored("words", "hashes", dict)
+    assert common.stored("tokenizer", 1, list) is common.stored("tokenizer", 1, list)
+    assert list(common._STORED) == [("tokenizer", 1)]
+    common.let_go("tokenizer")
+    assert list(common._STORED) == [("tokenizer", 1)]
+    common.let_go()
+    assert not common._STORED
+
+
+def test_packing_takes_no_rows_of_the_driver(spark):
+    """They are unpickled by Python workers of a second kind, with a daemon of their own, on every executor."""
+    docs = docs_table(spark, [(i, prose(i, 5 + i)) for i in range(60)])
+    docs = corpus_pipeline.materialise(docs, "docs")
+    plan = packing.pack(docs, VOCABULARY, buckets=4)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_counting_keeps_no_ids_of_words():
+    texts = [prose(i, 300) for i in range(20)] + ["Ünïcode, words. \u00a0odd", ""]
+    counting, whole = token_rans.WordTokenizer(VOCABULARY, only_counts=True), token_rans.WordTokenizer(VOCABULARY)
+    for _ in range(2):
+        assert counting.counts(texts) == [len(x) // 4 for x in whole.encode(texts)] == whole.counts(texts)
+    assert counting.cache.n == whole.cache.n > 0 and not counting.cache.pool and not counting.cache.start
+    small = token_rans.WordTokenizer(VOCABULARY, cache_words=10, only_counts=True)
+    assert small.counts(texts) == counting.counts(texts) and small.cache.only_counts and not small.cache.pool
+
+
 def test_every_operator_has_its_query():
     names = list(__spark_entry__.queries())
     assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
