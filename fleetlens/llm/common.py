@@ -24,18 +24,22 @@ FEW_ROWS = 200_000
 #: What this worker process holds for the next tasks: at most one thing, by its kind and key.
 _STORED: dict[tuple, object] = {}
 _BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python workers import this package: its sources go
     out once per application as a zip that the driver serves.  Bounds the rows
-    of an Arrow batch as well."""
+    and bytes of an Arrow batch as well."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     # Batches of whole texts: Spark's default number of rows (left alone if it was changed) can fill a worker's memory.
     if spark.conf.get(_BATCH_ROWS, _DEFAULT_ROWS) == _DEFAULT_ROWS:
         spark.conf.set(_BATCH_ROWS, "2000")
+    # And by size, as texts may be long: the buffers of larger batches add up in executors and workers.
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, "1m")
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     top = os.path.dirname(package)
     path = os.path.join(tempfile.mkdtemp(prefix="fleetlens-py-"), "fleetlens.zip")

@@ -102,6 +102,17 @@ def test_workers_let_go_of_what_other_operators_keep(spark):
     assert not common._STORED
 
 
+def test_batches_of_long_texts_are_bounded_by_their_size(spark):
+    docs = docs_table(spark, [(i, "x" * 20_000) for i in range(400)]).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"])
+
+    got = [r["bytes"] for r in common.map_arrow(docs.select("doc_id", "text"), sizes, "bytes long").collect()]
+    assert sum(got) > 7_000_000 and max(got) < 1_200_000
+
+
 def test_packing_takes_no_rows_of_the_driver(spark):
     """They are unpickled by Python workers of a second kind, with a daemon of their own, on every executor."""
     docs = docs_table(spark, [(i, prose(i, 5 + i)) for i in range(60)])
